@@ -42,6 +42,14 @@ class IsolationParams:
         return math.ceil(self.sample / _WORD)
 
 
+def _spread(df: DataFrame, *by: str) -> DataFrame:
+    """Full parallelism for a step whose rows are few bytes but much work.
+
+    A given number of partitions is not merged by adaptive execution, which only looks at bytes.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def draw_samples(pool: DataFrame, p: IsolationParams) -> DataFrame:
     """(o_id, d_id, trial, traj_id, idx): per pair and trial, ``sample`` different trips of the pool (B1).
 
@@ -50,7 +58,7 @@ def draw_samples(pool: DataFrame, p: IsolationParams) -> DataFrame:
     and trial.
     """
     trial = F.explode(F.sequence(F.lit(0), F.lit(p.trials - 1))).alias("trial")
-    drawn = pool.select(*OD, "traj_id", trial).withColumn(
+    drawn = _spread(pool.select(*OD, "traj_id"), "traj_id").select(*OD, "traj_id", trial).withColumn(
         "_h", hash60(F.lit(p.seed), F.lit("s"), F.col("trial"), F.col("traj_id"))
     )
     w = Window.partitionBy(*OD, "trial").orderBy("_h", "traj_id")
@@ -78,7 +86,8 @@ def first_picks(routes: DataFrame, p: IsolationParams) -> DataFrame:
     Pick k of a trial takes the edge at position hash % length.  Later picks of the same edge change
     nothing and are dropped here, inside the row.
     """
-    rows = routes.select(*OD, "route_id", "edges", F.md5(path_text(F.col("edges"))).alias("_key")).select(
+    keyed = routes.select(*OD, "route_id", "edges", F.md5(path_text(F.col("edges"))).alias("_key"))
+    rows = _spread(keyed, *OD, "route_id").select(
         "*", F.explode(F.sequence(F.lit(0), F.lit(p.trials - 1))).alias("trial")
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lists import BLOCK_BITS, id_blocks
+from .lists import BLOCK_BITS, id_blocks, repeated_id_blocks
 
 
 def _first_sites(seq: DataFrame, id_col: str) -> DataFrame:
@@ -24,12 +24,12 @@ def vertex_index(traj_vertices: DataFrame) -> DataFrame:
 
 def edge_postings(traj_edges: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
     """Trip ids per edge, a repeat for each use, in bounded blocks (A5)."""
-    return id_blocks(traj_edges, ["edge_id"], "traj_id", "trajs", keep_repeats=True, block_bits=block_bits)
+    return repeated_id_blocks(traj_edges, ["edge_id"], "traj_id", "trajs", block_bits)
 
 
 def vertex_postings(traj_vertices: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
     """Trip ids per vertex, a repeat for each visit, in bounded blocks (A6, list form)."""
-    return id_blocks(traj_vertices, ["vertex_id"], "traj_id", "trajs", keep_repeats=True, block_bits=block_bits)
+    return repeated_id_blocks(traj_vertices, ["vertex_id"], "traj_id", "trajs", block_bits)
 
 
 def vertex_bitmap(traj_vertices: DataFrame) -> DataFrame:
@@ -56,18 +56,14 @@ def postings_of(postings: DataFrame, key_id: int) -> DataFrame:
 
 def adjacency_out(edges: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
     """Edges leaving each vertex, in bounded blocks."""
-    return id_blocks(
-        edges.select(F.col("s_id").alias("vertex_id"), "edge_id"), ["vertex_id"], "edge_id", "edges",
-        block_bits=block_bits,
-    )
+    ends = edges.select(F.col("s_id").alias("vertex_id"), "edge_id")
+    return id_blocks(ends, ["vertex_id"], "edge_id", "edges", block_bits)
 
 
 def adjacency_in(edges: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
     """Edges entering each vertex, in bounded blocks."""
-    return id_blocks(
-        edges.select(F.col("e_id").alias("vertex_id"), "edge_id"), ["vertex_id"], "edge_id", "edges",
-        block_bits=block_bits,
-    )
+    ends = edges.select(F.col("e_id").alias("vertex_id"), "edge_id")
+    return id_blocks(ends, ["vertex_id"], "edge_id", "edges", block_bits)
 
 
 def incident_edges(edges: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -21,30 +21,29 @@ def block_of(ids: Column, block_bits: int = BLOCK_BITS) -> Column:
 
 
 def id_blocks(
-    df: DataFrame,
-    keys: Sequence[str],
-    id_col: str,
-    list_col: str,
-    *,
-    keep_repeats: bool = False,
-    block_bits: int = BLOCK_BITS,
+    df: DataFrame, keys: Sequence[str], id_col: str, list_col: str, block_bits: int = BLOCK_BITS
 ) -> DataFrame:
-    """(keys, block, n, sorted id list).
+    """(keys, block, n, sorted id list); an id must be listed once per key."""
+    return (
+        df.withColumn("block", block_of(F.col(id_col), block_bits))
+        .groupBy(*keys, "block")
+        .agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(id_col)).alias(list_col))
+    )
+
+
+def repeated_id_blocks(
+    df: DataFrame, keys: Sequence[str], id_col: str, list_col: str, block_bits: int = BLOCK_BITS
+) -> DataFrame:
+    """(keys, block, n, sorted id list) where an id stands as often as it occurs.
 
-    Repeats of an id are first counted with map-side combine, so a block shuffles each id once; with
-    ``keep_repeats`` the list shows every repeat again.
+    Repeats are counted with map-side combine first, so a block shuffles each id once.
     """
     counted = df.groupBy(*keys, id_col).agg(F.count(F.lit(1)).alias("_c"))
+    items = F.sort_array(F.collect_list(F.struct(F.col(id_col).alias("id"), F.col("_c").alias("c"))))
     blocks = (
         counted.withColumn("block", block_of(F.col(id_col), block_bits))
         .groupBy(*keys, "block")
-        .agg(
-            F.sum("_c" if keep_repeats else F.lit(1)).cast("bigint").alias("n"),
-            F.sort_array(F.collect_list(F.struct(F.col(id_col).alias("id"), F.col("_c").alias("c")))).alias("_l"),
-        )
+        .agg(F.sum("_c").cast("bigint").alias("n"), items.alias("_l"))
     )
-    if keep_repeats:
-        ids = F.flatten(F.transform("_l", lambda x: F.array_repeat(x["id"], x["c"].cast("int"))))
-    else:
-        ids = F.transform("_l", lambda x: x["id"])
+    ids = F.flatten(F.transform("_l", lambda x: F.array_repeat(x["id"], x["c"].cast("int"))))
     return blocks.select(*keys, "block", "n", ids.alias(list_col))

@@ -124,7 +124,8 @@ def od_traj_counts(od_trajs: DataFrame) -> DataFrame:
 
 
 def od_traj_lists(od_trajs: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
-    """Trip ids per pair in bounded blocks, with the pair's total size."""
-    blocks = id_blocks(od_trajs, ["o_id", "d_id"], "traj_id", "trajs", block_bits=block_bits)
-    totals = blocks.groupBy("o_id", "d_id").agg(F.sum("n").cast("bigint").alias("total"))
-    return blocks.join(totals, ["o_id", "d_id"]).select("o_id", "d_id", "total", "block", "n", "trajs")
+    """(o_id, d_id, block, n, trajs): trip ids per pair in bounded blocks.
+
+    ``od_traj_counts`` has the size of each pair.
+    """
+    return id_blocks(od_trajs, ["o_id", "d_id"], "traj_id", "trajs", block_bits)

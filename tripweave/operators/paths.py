@@ -25,16 +25,18 @@ def number_sites(visits: DataFrame, order_by: list[str], id_col: str = "vertex_i
 def collapse_repeats(seq: DataFrame, id_col: str = "vertex_id", order_by: list[str] | None = None) -> DataFrame:
     """Drop visits equal to the one just before them and renumber (O1).
 
-    Both windows share the trip partitioning, so this is one exchange.
+    The new site is the running number of kept visits, so one exchange and one sort do it all.
     """
     w = Window.partitionBy("traj_id").orderBy(*(order_by or ["site"]))
     prev = F.lag(id_col).over(w)
-    pos = F.row_number().over(w)
-    kept = seq.select("traj_id", id_col, prev.alias("_prev"), pos.alias("_pos")).where(
-        F.col("_prev").isNull() | (F.col("_prev") != F.col(id_col))
+    new = F.when(prev.isNull() | (prev != F.col(id_col)), 1).otherwise(0)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        seq.withColumn("_new", new)
+        .withColumn("_kept", F.sum("_new").over(upto))
+        .where(F.col("_new") == 1)
+        .select("traj_id", (F.col("_kept") - 1).cast("bigint").alias("site"), id_col)
     )
-    site = F.row_number().over(Window.partitionBy("traj_id").orderBy("_pos")) - 1
-    return kept.select("traj_id", site.cast("bigint").alias("site"), id_col)
 
 
 def pack(seq: DataFrame, id_col: str, path_col: str = "path") -> DataFrame:

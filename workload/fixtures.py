@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripweave.operators import paths
-from tripweave.session import tune
+from tripweave.session import cut_lineage, tune
 
 EDGE_BASE = 1000
 
@@ -24,9 +24,11 @@ def edge_between(s: str, e: str):
 class Fixtures:
     """Lazy input frames over one directory of tables."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, stored: bool = False):
+        """With ``stored``, trips and networks are written once, for queries that read them in several branches."""
         self.spark = tune(spark)
         self.dir = sf_dir
+        self._keep = cut_lineage if stored else (lambda df: df)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -58,8 +60,10 @@ class Fixtures:
             .withColumn("traj_id", F.col("o_custkey"))
             .withColumn("vertex_id", (F.col("s_nationkey") + 1).cast("bigint"))
         )
-        return paths.collapse_repeats(
-            visits, order_by=["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+        return self._keep(
+            paths.collapse_repeats(
+                visits, order_by=["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+            )
         )
 
     # fc: short paths over five vertices with much repetition, collapsed
@@ -78,7 +82,7 @@ class Fixtures:
 
     @cached_property
     def fc_vertices(self) -> DataFrame:
-        return self._fc(self._line)
+        return self._keep(self._fc(self._line))
 
     def fc_edges_of_status(self, open_orders: bool) -> DataFrame:
         """fc trips split into two batches by whether their order is still open; together they are all of fc."""
@@ -101,19 +105,19 @@ class Fixtures:
 
     @cached_property
     def fb_edges(self) -> DataFrame:
-        return self.edges_of(self.fb_vertices)
+        return self._keep(self.edges_of(self.fb_vertices))
 
     @cached_property
     def fb_network(self) -> DataFrame:
-        return self.network_of(self.fb_edges)
+        return self._keep(self.network_of(self.fb_edges))
 
     @cached_property
     def fc_edges(self) -> DataFrame:
-        return self.edges_of(self.fc_vertices)
+        return self._keep(self.edges_of(self.fc_vertices))
 
     @cached_property
     def fc_network(self) -> DataFrame:
-        return self.network_of(self.fc_edges)
+        return self._keep(self.network_of(self.fc_edges))
 
     # fn: a road network with duplicate positions
     @cached_property

@@ -149,21 +149,11 @@ FROM nation
 """)
 
 
-def _blocks(frame: str, keys: str, ids: str, out: str, distinct: bool = False) -> str:
-    d = "DISTINCT " if distinct else ""
+def _blocks(frame: str, keys: str, ids: str, out: str) -> str:
     return f"""
 SELECT {keys}, CAST({ids} >> 12 AS BIGINT) AS block, count(*) AS n,
        string_agg(CAST({ids} AS VARCHAR), ',' ORDER BY {ids}) AS {out}
-FROM (SELECT {d}{keys}, {ids} FROM {frame}) GROUP BY {keys}, block
-"""
-
-
-def _pair_blocks(frame: str) -> str:
-    return f"""
-SELECT o_id, d_id, CAST(sum(count(*)) OVER (PARTITION BY o_id, d_id) AS BIGINT) AS total,
-       CAST(traj_id >> 12 AS BIGINT) AS block, count(*) AS n,
-       string_agg(CAST(traj_id AS VARCHAR), ',' ORDER BY traj_id) AS trajs
-FROM {frame} GROUP BY o_id, d_id, block
+FROM (SELECT {keys}, {ids} FROM {frame}) GROUP BY {keys}, block
 """
 
 
@@ -281,8 +271,8 @@ WHERE a.site < b.site
 """)
 _oracle("od_by_edge_index", ["fb_located"], "SELECT o_id, d_id, traj_id, s_site, e_site FROM fb_located")
 _oracle("od_traj_ids", ["fb_located"], "SELECT DISTINCT o_id, d_id, traj_id FROM fb_located")
-_oracle("od_unordered", ["fb_unordered"], _pair_blocks("fb_unordered"))
-_oracle("od_by_scan", ["fb_through"], _pair_blocks("fb_through"))
+_oracle("od_unordered", ["fb_unordered"], _blocks("fb_unordered", "o_id, d_id", "traj_id", "trajs"))
+_oracle("od_by_scan", ["fb_through"], _blocks("fb_through", "o_id, d_id", "traj_id", "trajs"))
 _oracle("od_traj_counts", ["fc_through"], "SELECT o_id, d_id, count(*) AS n FROM fc_through GROUP BY o_id, d_id")
 _oracle("restrict_trips", ["fb_edges", "fb_unordered"], """
 SELECT traj_id, site, edge_id FROM fb_edges WHERE traj_id IN (SELECT traj_id FROM fb_unordered)

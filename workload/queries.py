@@ -17,16 +17,23 @@ from .fixtures import Fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
-FB_MIN_COUNT = 5
+FB_MIN_COUNT = 2
 FC_MIN_COUNT = 100
 PARAMS = anomaly.IsolationParams(trials=10, sample=64)
 
 
 def query(build: Callable[[Fixtures], DataFrame]):
+    """Register a query that reads its trips once."""
     QUERIES[build.__name__] = lambda spark, sf_dir: build(Fixtures(spark, sf_dir))
     return build
 
 
+def branching_query(build: Callable[[Fixtures], DataFrame]):
+    """Register a query that reads its trips in several branches of the plan, from a table written once."""
+    QUERIES[build.__name__] = lambda spark, sf_dir: build(Fixtures(spark, sf_dir, stored=True))
+    return build
+
+
 def r6(column: str):
     return F.round(column, 6).alias(column)
 
@@ -120,7 +127,7 @@ def load_index(f):
     return src.parse_index(out.format_index(index.edge_index(f.fc_edges))).select("key_id", "traj_id", "site")
 
 
-@query
+@branching_query
 def lookup_postings(f):
     origins = fb_pairs(f).select(F.col("o_id").alias("s_id"))
     keys = f.fb_network.join(origins, "s_id", "left_semi").select(F.col("edge_id").alias("key_id"))
@@ -133,10 +140,10 @@ def load_od_counts(f):
     return od.frequent_od(src.parse_od_counts(lines), FC_MIN_COUNT)
 
 
-@query
+@branching_query
 def load_od_trajs(f):
-    blocks = od.od_traj_lists(od.od_by_scan(f.fc_vertices, fc_pairs(f)))
-    return src.parse_od_trajs(out.format_od_trajs(blocks))
+    through = od.od_by_scan(f.fc_vertices, fc_pairs(f))
+    return src.parse_od_trajs(out.format_od_trajs(od.od_traj_lists(through), od.od_traj_counts(through)))
 
 
 # --- paths --------------------------------------------------------------------------------------
@@ -153,7 +160,7 @@ def long_paths(f):
     return packed.select("traj_id", F.size("path").cast("bigint").alias("n"), ids_text("path"))
 
 
-@query
+@branching_query
 def path_vertices(f):
     return paths.vertex_path(f.fc_edges, f.fc_network)
 
@@ -168,7 +175,7 @@ def path_length_histogram(f):
     return paths.path_length_histogram(f.fb_edges)
 
 
-@query
+@branching_query
 def slice_by_site(f):
     spans = od.od_by_vertex_index(index.vertex_index(f.fb_vertices), fb_pairs(f))
     return paths.slice_by_site(paths.pack(f.fb_vertices, "vertex_id"), spans).select(
@@ -176,30 +183,30 @@ def slice_by_site(f):
     )
 
 
-@query
+@branching_query
 def sub_trajectory(f):
     through = od.od_by_scan(f.fc_vertices, fc_pairs(f))
     cut = paths.sub_trajectory(paths.packed_trips(f.fc_edges, f.fc_network), through)
     return cut.select("o_id", "d_id", "traj_id", path_text(F.col("edges")).alias("path"))
 
 
-@query
+@branching_query
 def contains_vertex(f):
     return paths.containing_vertex(f.fb_vertices, fb_pairs(f).select(F.col("d_id").alias("vertex_id")))
 
 
-@query
+@branching_query
 def contains_ordered(f):
     return od.od_by_scan(f.fb_vertices, fb_pairs(f))
 
 
-@query
+@branching_query
 def suffix_min(f):
     dist = f.fc_network.select("edge_id", (F.col("edge_id") % 97).cast("double").alias("dist"))
     return paths.suffix_min(f.fc_edges, dist).select("traj_id", "site", "dist")
 
 
-@query
+@branching_query
 def trip_min(f):
     dist = f.fc_network.select("edge_id", (F.col("edge_id") % 97).cast("double").alias("dist"))
     return paths.overall_min(f.fc_edges, dist)
@@ -261,7 +268,7 @@ def frequent_od(f):
     return fc_pairs(f)
 
 
-@query
+@branching_query
 def od_by_vertex_index(f):
     return od.od_by_vertex_index(index.vertex_index(f.fb_vertices), fb_pairs(f))
 
@@ -270,34 +277,34 @@ def _fb_located(f):
     return od.od_by_edge_index(index.edge_index(f.fb_edges), f.fb_network, fb_pairs(f))
 
 
-@query
+@branching_query
 def od_by_edge_index(f):
     return _fb_located(f)
 
 
-@query
+@branching_query
 def od_traj_ids(f):
     return od.od_traj_ids(_fb_located(f))
 
 
-@query
+@branching_query
 def od_unordered(f):
     found = od.od_unordered(index.edge_index(f.fb_edges), f.fb_network, fb_pairs(f))
-    return od.od_traj_lists(found).select("o_id", "d_id", "total", "block", "n", ids_text("trajs"))
+    return od.od_traj_lists(found).select("o_id", "d_id", "block", "n", ids_text("trajs"))
 
 
-@query
+@branching_query
 def od_by_scan(f):
     found = od.od_by_scan(f.fb_vertices, fb_pairs(f))
-    return od.od_traj_lists(found).select("o_id", "d_id", "total", "block", "n", ids_text("trajs"))
+    return od.od_traj_lists(found).select("o_id", "d_id", "block", "n", ids_text("trajs"))
 
 
-@query
+@branching_query
 def od_traj_counts(f):
     return od.od_traj_counts(od.od_by_scan(f.fc_vertices, fc_pairs(f)))
 
 
-@query
+@branching_query
 def restrict_trips(f):
     unordered = od.od_unordered(index.edge_index(f.fb_edges), f.fb_network, fb_pairs(f))
     return paths.restrict_trips(f.fb_edges, unordered)
@@ -306,7 +313,7 @@ def restrict_trips(f):
 # --- routes -------------------------------------------------------------------------------------
 
 
-@query
+@branching_query
 def trip_routes(f):
     return routes.trip_routes(f.fc_edges, f.fc_network).select(
         "o_id", "d_id", "route_id", path_text(F.col("vertices")).alias("path"),
@@ -314,37 +321,37 @@ def trip_routes(f):
     )
 
 
-@query
+@branching_query
 def merged_routes(f):
     return fc_routes(f).select("o_id", "d_id", "route_id", path_text(F.col("edges")).alias("path"), "freq")
 
 
-@query
+@branching_query
 def renumbered_routes(f):
     return routes.renumber_routes(fc_routes(f)).select(
         "o_id", "d_id", "route_id", path_text(F.col("edges")).alias("path"), "freq"
     )
 
 
-@query
+@branching_query
 def od_routes(f):
     found = jobs.frequent_pair_routes(f.fc_vertices, f.fc_edges, f.fc_network, FC_MIN_COUNT)
     return found.select("o_id", "d_id", "n_routes", "freq", path_text(F.col("edges")).alias("path"))
 
 
-@query
+@branching_query
 def routes_to_destination(f):
     return routes.routes_to_destination(fc_routes(f), fc_pairs(f)).select(
         "o_id", "d_id", path_text(F.col("vertices")).alias("path"), "freq"
     )
 
 
-@query
+@branching_query
 def od_trips(f):
     return routes.od_trips(fc_routes(f))
 
 
-@query
+@branching_query
 def expand_routes(f):
     found = jobs.count_routes(f.fc_edges, f.fc_network).expansions
     return found.select(
@@ -352,12 +359,12 @@ def expand_routes(f):
     )
 
 
-@query
+@branching_query
 def route_counts(f):
     return routes.route_counts(jobs.count_routes(f.fc_edges, f.fc_network).expanded)
 
 
-@query
+@branching_query
 def sub_route_trips(f):
     """Routes of a pair that contain the pair's most used route as a sub-route, and whether they equal it."""
     merged = fc_routes(f).select("o_id", "d_id", "route_id", "edges", "freq")
@@ -371,24 +378,24 @@ def sub_route_trips(f):
     )
 
 
-@query
+@branching_query
 def trie_nodes(f):
     return trie.trie_nodes(fc_routes(f))
 
 
-@query
+@branching_query
 def trie_edge_nodes(f):
     return trie.trie_nodes(fc_routes(f), "edges", skip_first=False)
 
 
-@query
+@branching_query
 def trie_leaves(f):
     return trie.trie_leaves(trie.trie_nodes(fc_routes(f))).groupBy("o_id", F.col("element").alias("d_id")).agg(
         F.count(F.lit(1)).alias("n_routes"), F.sum("end_freq").cast("bigint").alias("n")
     )
 
 
-@query
+@branching_query
 def trie_merge(f):
     stored = routes.merge_routes(routes.trip_routes(f.fc_edges_of_status(False), f.fc_network))
     new = routes.merge_routes(routes.trip_routes(f.fc_edges_of_status(True), f.fc_network))
@@ -400,12 +407,12 @@ def trie_merge(f):
 # --- destinations -------------------------------------------------------------------------------
 
 
-@query
+@branching_query
 def transfer_matrix(f):
     return jobs.transfer_matrices(f.fb_edges, f.fb_network, fb_pairs(f))
 
 
-@query
+@branching_query
 def arrivals(f):
     return transfer.arrivals(index.edge_index(f.fb_edges), f.fb_network, fb_pairs(f))
 
@@ -413,7 +420,7 @@ def arrivals(f):
 # --- isolation ----------------------------------------------------------------------------------
 
 
-@query
+@branching_query
 def trial_samples(f):
     given = jobs.scoring_input(f.fc_edges, f.fc_network, fc_pairs(f))
     return anomaly.draw_samples(given.pool, PARAMS).select(
@@ -421,14 +428,14 @@ def trial_samples(f):
     )
 
 
-@query
+@branching_query
 def isolation_counts(f):
     given = jobs.scoring_input(f.fc_edges, f.fc_network, fc_pairs(f))
     counts = anomaly.isolation_counts(given.routes, given.pool, given.postings, PARAMS)
     return counts.select("o_id", "d_id", "route_id", F.col("trial").cast("bigint").alias("trial"), "cnt")
 
 
-@query
+@branching_query
 def anomaly_score(f):
     scored = jobs.score_pairs(f.fc_edges, f.fc_network, fc_pairs(f), PARAMS)
     return scored.select("o_id", "d_id", path_text(F.col("edges")).alias("path"), "freq", r6("score"))
