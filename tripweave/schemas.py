@@ -11,5 +11,6 @@ POSTINGS = "key_id BIGINT, traj_id BIGINT, site BIGINT"
 OD_COUNTS = "o_id BIGINT, d_id BIGINT, n BIGINT"
 OD_TRAJS = "o_id BIGINT, d_id BIGINT, traj_id BIGINT"
 ROUTES = (
-    "o_id BIGINT, d_id BIGINT, route_id BIGINT, edges ARRAY<BIGINT>, vertices ARRAY<BIGINT>, freq BIGINT"
+    "o_id BIGINT, d_id BIGINT, route_id BIGINT, edges ARRAY<BIGINT>, vertices ARRAY<BIGINT>, "
+    "ends ARRAY<BIGINT>, freq BIGINT"
 )
