@@ -22,17 +22,16 @@ def trie_nodes(routes: DataFrame, path_col: str = "vertices", skip_first: bool =
     Columns: o_id, depth, element, node_hi, node_lo, parent_hi, parent_lo, end_freq, pass_freq.
     ``end_freq`` is the number of trips that end exactly at the node, ``pass_freq`` of those that reach
     it.  Vertex paths skip their first element, which is the root; edge paths pass ``skip_first=False``.
-    ``routes`` are merged routes, so route_id names one path.
+    ``routes`` are merged routes, so route_id names one path of its pair.
     """
     path = F.slice(path_col, 2, F.size(path_col)) if skip_first else F.col(path_col)
     steps = routes.select(
-        "o_id", "route_id", "freq", F.size(path).alias("_n"), F.posexplode(path).alias("_i", "element")
+        "o_id", "d_id", "route_id", "freq", F.size(path).alias("_n"), F.posexplode(path).alias("_i", "element")
     ).withColumn("depth", (F.col("_i") + 1).cast("bigint"))
     hi, lo = hash120(F.col("depth"), F.col("element"))
     hashed = steps.withColumn("_hi", hi).withColumn("_lo", lo)
-    upto = Window.partitionBy("o_id", "route_id").orderBy("depth").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
+    by_route = Window.partitionBy("o_id", "d_id", "route_id").orderBy("depth")
+    upto = by_route.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     named = hashed.withColumn("node_hi", F.bit_xor("_hi").over(upto)).withColumn("node_lo", F.bit_xor("_lo").over(upto))
     ends_here = F.when(F.col("depth") == F.col("_n"), F.col("freq")).otherwise(F.lit(0))
     return (

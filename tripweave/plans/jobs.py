@@ -8,6 +8,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import anomaly, index, od, paths, routes, transfer
 from ..session import cut_lineage
@@ -30,8 +31,11 @@ def count_routes(traj_edges: DataFrame, edges: DataFrame) -> RouteCounting:
 
 
 def frequent_pairs(traj_vertices: DataFrame, min_count: int = 100) -> DataFrame:
-    """OD pairs that more than ``min_count`` trips have as their ends."""
-    return od.frequent_od(od.od_count(paths.od_endpoints(traj_vertices)), min_count)
+    """OD pairs that more than ``min_count`` trips have as their ends.
+
+    Written once: the pairs enter several joins, and as a table their real size decides how each is run.
+    """
+    return cut_lineage(od.frequent_od(od.od_count(paths.od_endpoints(traj_vertices)), min_count))
 
 
 def frequent_pair_routes(
@@ -43,6 +47,18 @@ def frequent_pair_routes(
     return routes.od_routes(cut_lineage(routes.routes_between(traj_edges, edges, through)))
 
 
+def pair_vertex_routes(traj_vertices: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Merged vertex routes of the given pairs, cut between the first visits of O and D.
+
+    ``trie.trie_nodes`` turns them into one prefix tree per origin, ``routes.od_trips`` into trips per pair.
+    """
+    spans = od.od_by_vertex_index(index.vertex_index(traj_vertices), pairs)
+    involved = paths.restrict_trips(traj_vertices, spans)
+    cut = paths.slice_by_site(paths.pack(involved, "vertex_id", "vertices"), spans, "vertices")
+    trips = cut.select("o_id", "d_id", F.col("traj_id").alias("route_id"), "vertices", F.lit(1).cast("bigint").alias("freq"))
+    return routes.merge_routes(trips)
+
+
 def transfer_matrices(traj_edges: DataFrame, edges: DataFrame, destinations: DataFrame) -> DataFrame:
     """Transfer matrix of every destination (A3, A10)."""
     return transfer.transfer_matrix(traj_edges, index.edge_index(traj_edges), edges, destinations)

@@ -14,6 +14,12 @@ _ADAPTIVE = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Joins on trips and picks turn few bytes into many rows, so small partitions are worth a task.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
+    # Samples are cut to size in the map tasks up to this many rows per pair and trial.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
+    # Id lists are bounded (operators.lists), so this many of them fit a task before it sorts instead.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
 }
 
 
@@ -42,8 +48,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read back.
 
     For a frame that several later branches read: they prune columns on the written table, its real size
-    is known to the planner, and a lost executor costs a re-read and not a recompute.
+    is known to the planner, and a lost executor costs a re-read and not a recompute.  The tables of one
+    application share a folder, ``<shared folder>/tripweave/<application id>``, to be dropped after it.
     """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/tripweave-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/tripweave/{spark.conf.get('spark.app.id')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -342,14 +342,14 @@ WHERE list_contains(edges, t[1]) AND edges[list_position(edges, t[1]):list_posit
 """)
 
 
-def _nodes(path: str, drop: int) -> str:
+def _nodes(path: str, drop: int, frame: str = "fc_routes") -> str:
     h = "CAST('0x' || substr(md5(concat_ws('|', k, path[k])), {start}, 15) AS BIGINT)"
     return f"""
-WITH p AS (SELECT o_id, route_id, freq, {path}[{drop + 1}:] AS path FROM fc_routes),
+WITH p AS (SELECT o_id, d_id, route_id, freq, {path}[{drop + 1}:] AS path FROM {frame}),
      s AS (SELECT *, {h.format(start=1)} AS h1, {h.format(start=16)} AS h2
            FROM (SELECT *, unnest(range(1, len(path) + 1)) AS k FROM p)),
      named AS (SELECT *, bit_xor(h1) OVER w AS hi, bit_xor(h2) OVER w AS lo
-               FROM s WINDOW w AS (PARTITION BY route_id ORDER BY k))
+               FROM s WINDOW w AS (PARTITION BY o_id, d_id, route_id ORDER BY k))
 SELECT o_id, k AS depth, any_value(path[k]) AS element, any_value(hi) AS node_hi, any_value(lo) AS node_lo,
        any_value(xor(hi, h1)) AS parent_hi, any_value(xor(lo, h2)) AS parent_lo,
        CAST(sum(CASE WHEN k = len(path) THEN freq ELSE 0 END) AS BIGINT) AS end_freq,
@@ -363,6 +363,17 @@ _oracle("trie_edge_nodes", ["fc_routes"], _nodes("edges", 0))
 _oracle("trie_leaves", ["fc_routes"], """
 SELECT o_id, d_id, count(*) AS n_routes, CAST(sum(freq) AS BIGINT) AS n FROM fc_routes GROUP BY o_id, d_id
 """)
+for _f in ("fb", "fc"):
+    _fixture(f"{_f}_pair_routes", [f"{_f}_pairs", f"{_f}_post_v", f"{_f}_vertices"], f"""
+SELECT o_id, d_id, vertices, min(traj_id) AS route_id, count(*) AS freq
+FROM (SELECT o_id, d_id, a.traj_id, list(v.vertex_id ORDER BY v.site) AS vertices
+      FROM {_f}_pairs JOIN {_f}_post_v a ON a.key_id = o_id JOIN {_f}_post_v b ON b.key_id = d_id AND b.traj_id = a.traj_id
+           JOIN {_f}_vertices v ON v.traj_id = a.traj_id AND v.site BETWEEN a.site AND b.site
+      WHERE a.site < b.site GROUP BY 1, 2, 3)
+GROUP BY 1, 2, 3
+""")
+_oracle("pair_tries", ["fc_pair_routes"], _nodes("vertices", 1, "fc_pair_routes"))
+_oracle("pair_trips", ["fb_pair_routes"], "SELECT o_id, d_id, CAST(sum(freq) AS BIGINT) AS n FROM fb_pair_routes GROUP BY 1, 2")
 _oracle("trie_merge", ["fc_routes"], """
 SELECT o_id, d_id, route_id, array_to_string(edges, ',') AS path, freq FROM fc_routes
 """)

@@ -265,7 +265,7 @@ def od_count(f):
 
 @query
 def frequent_od(f):
-    return fc_pairs(f)
+    return od.frequent_od(od.od_count(paths.od_endpoints(f.fc_vertices)), FC_MIN_COUNT)
 
 
 @branching_query
@@ -395,6 +395,16 @@ def trie_leaves(f):
     )
 
 
+@branching_query
+def pair_tries(f):
+    return trie.trie_nodes(jobs.pair_vertex_routes(f.fc_vertices, fc_pairs(f)))
+
+
+@branching_query
+def pair_trips(f):
+    return routes.od_trips(jobs.pair_vertex_routes(f.fb_vertices, fb_pairs(f)))
+
+
 @branching_query
 def trie_merge(f):
     stored = routes.merge_routes(routes.trip_routes(f.fc_edges_of_status(False), f.fc_network))
