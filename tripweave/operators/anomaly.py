@@ -87,13 +87,13 @@ def first_picks(routes: DataFrame, p: IsolationParams) -> DataFrame:
     nothing and are dropped here, inside the row.
     """
     keyed = routes.select(*OD, "route_id", "edges", F.md5(path_text(F.col("edges"))).alias("_key"))
-    rows = _spread(keyed, *OD, "route_id").select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(p.trials - 1))).alias("trial")
-    )
+    trial = F.explode(F.sequence(F.lit(0), F.lit(p.trials - 1))).alias("trial")
+    rows = _spread(keyed, *OD, "route_id").select("*", trial)
+    fixed = F.concat_ws("|", F.lit(str(p.seed)), F.lit("p"), *[F.col(c).cast("string") for c in (*OD, "_key", "trial")])
+    rows = rows.select(*OD, "route_id", "trial", "edges", fixed.alias("_fixed"))
 
     def pick(k: Column) -> Column:
-        h = hash60(F.lit(p.seed), F.lit("p"), *[F.col(c) for c in OD], F.col("_key"), F.col("trial"), k)
-        return F.get("edges", (h % F.size("edges")).cast("int"))
+        return F.get("edges", (hash60(F.col("_fixed"), k) % F.size("edges")).cast("int"))
 
     picked = rows.withColumn("_picks", F.transform(F.sequence(F.lit(1), F.lit(p.max_steps)), pick))
     return picked.select(*OD, "route_id", "trial", "_picks", F.explode(F.array_distinct("_picks")).alias("edge_id")).select(
