@@ -59,11 +59,14 @@ def literal_to_segment(p, s, e):
     return 2 * math.sqrt(max(half * (half - a) * (half - b) * (half - c), 0)) / c
 
 
-def test_nearest_edge_is_the_literal_search(spark, rng):
-    at = {i: (116.3 + rng.uniform(0, 0.02), 39.9 + rng.uniform(0, 0.02)) for i in range(60)}
+@pytest.mark.parametrize("lat0", [-0.01, 39.9, -39.9, 75.0, 89.88])
+def test_nearest_edge_is_the_literal_search(spark, rng, lat0):
+    spread = 0.015 / math.cos(math.radians(lat0))
+    spot = lambda: (116.3 + rng.uniform(0, spread), lat0 + rng.uniform(0, 0.02))
+    at = {i: spot() for i in range(60)}
     at[60] = at[0]
     ends = [(i, rng.randrange(61), rng.randrange(61)) for i in range(300)]
-    points = [(i, 116.3 + rng.uniform(0, 0.02), 39.9 + rng.uniform(0, 0.02)) for i in range(80)]
+    points = [(i, *spot()) for i in range(80)]
     points += [(80 + i, *at[i]) for i in range(10)]
     got = network.nearest_edges(
         spark.createDataFrame(points, "point_id long, lng double, lat double"),
@@ -77,6 +80,7 @@ def test_nearest_edge_is_the_literal_search(spark, rng):
         found = [(round(literal_to_segment((x, y), at[s], at[e]), 5), k) for k, s, e in ends if near(at[s]) and near(at[e])]
         if found:
             want[i] = min(found)
+    assert len(want) > 40
     result = {p: (e, m) for p, e, m in rows(got, "point_id", "edge_id", "metres")}
     assert result.keys() == want.keys()
     for i, (m, e) in want.items():

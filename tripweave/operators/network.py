@@ -10,6 +10,7 @@ from ..functions import geo, geohash
 
 DEFAULT_RADIUS_M = 500.0
 _MARGIN = 1 + 1e-9
+_POLAR = 89.9
 
 
 def duplicate_vertices(vertices: DataFrame) -> DataFrame:
@@ -86,7 +87,7 @@ def _col(lng: Column, row: Column, radius_m: float) -> Column:
     A column is at least as wide as the half-width of any box centred in the row above or below.
     """
     step = geo.half_height_deg(radius_m)
-    far = F.least(F.greatest(F.abs(row - 1), F.abs(row + 2)) * F.lit(step), F.lit(89.9))
+    far = F.least(F.greatest(F.abs(row - 1), F.abs(row + 2)) * F.lit(step), F.lit(_POLAR))
     return F.floor(lng / geo.half_width_deg(far, radius_m))
 
 
@@ -96,6 +97,16 @@ def _home_cell(df: DataFrame, lng: str, lat: str, radius_m: float) -> DataFrame:
     )
 
 
+def _cells_between(df: DataFrame, lng: str, lat: str, h: Column, w: Column, radius_m: float) -> DataFrame:
+    """Every cell within lng +- w and lat +- h; NULL w means all columns."""
+    first, last = _row(F.col(lat) - h, radius_m), _row(F.col(lat) + h, radius_m)
+    rows = df.withColumn("_row", F.explode(F.sequence(first, last)))
+    west = F.greatest(F.coalesce(F.col(lng) - w, F.lit(-180.0)), F.lit(-180.0))
+    east = F.least(F.coalesce(F.col(lng) + w, F.lit(180.0)), F.lit(180.0))
+    lo, hi = _col(west, F.col("_row"), radius_m), _col(east, F.col("_row"), radius_m)
+    return rows.withColumn("_col", F.explode(F.sequence(lo, hi)))
+
+
 def _near_cells(df: DataFrame, lng: str, lat: str, radius_m: float) -> DataFrame:
     """Every cell that the box around the row's position can touch: about 3 rows of 3 columns.
 
@@ -103,11 +114,18 @@ def _near_cells(df: DataFrame, lng: str, lat: str, radius_m: float) -> DataFrame
     """
     h = F.lit(geo.half_height_deg(radius_m) * _MARGIN)
     w = geo.half_width_deg(F.col(lat), radius_m) * F.lit(_MARGIN)
-    first, last = _row(F.col(lat) - h, radius_m), _row(F.col(lat) + h, radius_m)
-    rows = df.withColumn("_row", F.explode(F.sequence(first, last)))
-    west, east = F.greatest(F.col(lng) - w, F.lit(-180.0)), F.least(F.col(lng) + w, F.lit(180.0))
-    lo, hi = _col(west, F.col("_row"), radius_m), _col(east, F.col("_row"), radius_m)
-    return rows.withColumn("_col", F.explode(F.sequence(lo, hi)))
+    return _cells_between(df, lng, lat, h, w, radius_m)
+
+
+def _reached_from_cells(df: DataFrame, lng: str, lat: str, radius_m: float) -> DataFrame:
+    """Every cell that holds a position whose box can contain the row's position.
+
+    Boxes widen toward the poles, so the widest box a height away decides; at a pole all columns do.
+    """
+    height = geo.half_height_deg(radius_m) * _MARGIN
+    far = F.abs(lat) + F.lit(height)
+    w = F.when(far < _POLAR, geo.half_width_deg(far, radius_m) * F.lit(_MARGIN))
+    return _cells_between(df, lng, lat, F.lit(height), w, radius_m)
 
 
 def region_vertices(centres: DataFrame, vertices: DataFrame, radius_m: float = DEFAULT_RADIUS_M) -> DataFrame:
@@ -152,7 +170,8 @@ def nearest_edges(
     Distances are compared after rounding to ``digits``; ties go to the smaller edge_id.  Points without
     an edge in their box have no row.
 
-    Points at the same position and edges with the same geometry are taken once, so copies never multiply;
+    Points at the same position and edges with the same geometry are taken once, so copies never multiply.
+    The edges, the smaller side, are copied to the cells around them and each position stays one row;
     candidates go straight into a map-side minimum and are not shuffled.
     """
     spots = points.select("lng", "lat").distinct()
@@ -161,8 +180,8 @@ def nearest_edges(
     segments = located.groupBy(*shape).agg(F.min("edge_id").alias("edge_id")).withColumn(
         "_c", geo.haversine(*[F.col(x) for x in shape])
     )
-    near = _near_cells(spots, "lng", "lat", radius_m)
-    home = _home_cell(segments, "s_lng", "s_lat", radius_m)
+    spots = _home_cell(spots, "lng", "lat", radius_m)
+    segments = _reached_from_cells(segments, "s_lng", "s_lat", radius_m)
     p_lng, p_lat = F.col("lng"), F.col("lat")
     both = geo.in_box(F.col("s_lng"), F.col("s_lat"), p_lng, p_lat, radius_m) & geo.in_box(
         F.col("e_lng"), F.col("e_lat"), p_lng, p_lat, radius_m
@@ -176,7 +195,7 @@ def nearest_edges(
         digits,
     )
     best = (
-        near.join(home, ["_row", "_col"])
+        spots.join(segments, ["_row", "_col"])
         .where(both)
         .select("lng", "lat", "edge_id", metres.alias("metres"))
         .groupBy("lng", "lat")
