@@ -6,8 +6,10 @@ Three different questions, kept apart:
 * by scan: some visit of D comes after the first visit of O (J7);
 * unordered: the trip uses an edge leaving O and an edge entering D, in any order (J6).
 
-All pairs are answered in one job.  Each join is an equi-join whose other side has one row per key, or
-whose key includes the trip, so a hot vertex fills partitions that adaptive execution can split.
+All pairs are answered in one job.  What the listed pairs need is filtered first, then spread by trip
+once.  Grouping and joining within trips stays in those partitions, so a hot vertex is spread over all of
+them, and the rows that the list of pairs multiplies are not shuffled while the list is small enough to
+be broadcast.
 """
 
 from __future__ import annotations
@@ -16,7 +18,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lists import BLOCK_BITS, id_blocks
-from .paths import visit_extent
 
 
 def od_count(endpoints: DataFrame) -> DataFrame:
@@ -38,21 +39,56 @@ def _pairs(od: DataFrame) -> DataFrame:
     return od.select("o_id", "d_id").distinct()
 
 
+def _endpoints(pairs: DataFrame, name: str) -> DataFrame:
+    """Every vertex that is an O or a D of some pair."""
+    return pairs.select(F.explode(F.array("o_id", "d_id")).alias(name)).distinct()
+
+
+def _by_trip(df: DataFrame) -> DataFrame:
+    """One exchange by trip for all grouping and joining within trips."""
+    return df.repartition("traj_id")
+
+
+def _match(at_o: DataFrame, at_d: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(o_id, d_id, traj_id, s_site, e_site) for listed pairs whose O and D are met in the same trip.
+
+    ``at_o`` and ``at_d`` are spread by trip and have one row per trip and vertex.  The Ds of a trip stand
+    next to each of its Os before the pairs multiply the rows, so the multiplied rows need no exchange.
+    """
+    met = at_d.groupBy("traj_id").agg(F.collect_list(F.struct("d_id", "e_site")).alias("_m"))
+    met = met.select("traj_id", F.col("_m.d_id").alias("_ds"), F.col("_m.e_site").alias("_es"))
+    at = F.array_position("_ds", F.col("d_id"))
+    both = at_o.join(met, "traj_id").join(pairs, "o_id").where(at > 0)
+    return both.select("o_id", "d_id", "traj_id", "s_site", F.get("_es", (at - 1).cast("int")).alias("e_site"))
+
+
+def _in_order(matched: DataFrame) -> DataFrame:
+    return matched.where(F.col("s_site") < F.col("e_site"))
+
+
 def od_by_vertex_index(postings: DataFrame, od: DataFrame) -> DataFrame:
     """(o_id, d_id, traj_id, s_site, e_site) with s_site < e_site, from a vertex index."""
-    at_o = postings.select(F.col("key_id").alias("o_id"), "traj_id", F.col("site").alias("s_site"))
-    at_d = postings.select(F.col("key_id").alias("d_id"), "traj_id", F.col("site").alias("e_site"))
-    return (
-        at_o.join(_pairs(od), "o_id")
-        .join(at_d, ["traj_id", "d_id"])
-        .where(F.col("s_site") < F.col("e_site"))
-        .select("o_id", "d_id", "traj_id", "s_site", "e_site")
-    )
+    pairs = _pairs(od)
+    met = _by_trip(postings.join(_endpoints(pairs, "key_id"), "key_id", "left_semi"))
+    at_o = met.select(F.col("key_id").alias("o_id"), "traj_id", F.col("site").alias("s_site"))
+    at_d = met.select(F.col("key_id").alias("d_id"), "traj_id", F.col("site").alias("e_site"))
+    return _in_order(_match(at_o, at_d, pairs))
+
 
+def _uses(postings: DataFrame, edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(traj_id, site, o_id, d_id) by trip, for postings of edges out of an O or into a D.
 
-def _first_use(postings: DataFrame, edges: DataFrame, end: str, out: str, site: str) -> DataFrame:
-    ends = edges.select(F.col("edge_id").alias("key_id"), F.col(end).alias(out))
-    return postings.join(ends, "key_id").groupBy(out, "traj_id").agg(F.min("site").alias(site))
+    o_id is the edge's start if that is an O, d_id its end if that is a D; the other one is NULL.
+    """
+    o = pairs.select("o_id").distinct()
+    d = pairs.select("d_id").distinct()
+    ends = (
+        edges.join(o, edges["s_id"] == o["o_id"], "left")
+        .join(d, edges["e_id"] == d["d_id"], "left")
+        .where(F.col("o_id").isNotNull() | F.col("d_id").isNotNull())
+        .select(F.col("edge_id").alias("key_id"), "o_id", "d_id")
+    )
+    return _by_trip(postings.join(ends, "key_id").select("traj_id", "site", "o_id", "d_id"))
 
 
 def od_by_edge_index(postings: DataFrame, edges: DataFrame, od: DataFrame) -> DataFrame:
@@ -62,16 +98,10 @@ def od_by_edge_index(postings: DataFrame, edges: DataFrame, od: DataFrame) -> Da
     over a single edge is not found.
     """
     pairs = _pairs(od)
-    leaving = edges.join(pairs.select(F.col("o_id").alias("s_id")).distinct(), "s_id", "left_semi")
-    entering = edges.join(pairs.select(F.col("d_id").alias("e_id")).distinct(), "e_id", "left_semi")
-    at_o = _first_use(postings, leaving, "s_id", "o_id", "s_site")
-    at_d = _first_use(postings, entering, "e_id", "d_id", "e_site")
-    return (
-        at_o.join(pairs, "o_id")
-        .join(at_d, ["traj_id", "d_id"])
-        .where(F.col("s_site") < F.col("e_site"))
-        .select("o_id", "d_id", "traj_id", "s_site", "e_site")
-    )
+    uses = _uses(postings, edges, pairs)
+    at_o = uses.where(F.col("o_id").isNotNull()).groupBy("o_id", "traj_id").agg(F.min("site").alias("s_site"))
+    at_d = uses.where(F.col("d_id").isNotNull()).groupBy("d_id", "traj_id").agg(F.min("site").alias("e_site"))
+    return _in_order(_match(at_o, at_d, pairs))
 
 
 def od_traj_ids(located: DataFrame) -> DataFrame:
@@ -82,40 +112,24 @@ def od_traj_ids(located: DataFrame) -> DataFrame:
 def od_unordered(postings: DataFrame, edges: DataFrame, od: DataFrame) -> DataFrame:
     """(o_id, d_id, traj_id) for trips with an edge out of O and an edge into D, in any order."""
     pairs = _pairs(od)
-    leaving = edges.join(pairs.select(F.col("o_id").alias("s_id")).distinct(), "s_id", "left_semi")
-    entering = edges.join(pairs.select(F.col("d_id").alias("e_id")).distinct(), "e_id", "left_semi")
-    users_o = (
-        postings.join(leaving.select(F.col("edge_id").alias("key_id"), F.col("s_id").alias("o_id")), "key_id")
-        .select("o_id", "traj_id")
-        .distinct()
-    )
-    users_d = (
-        postings.join(entering.select(F.col("edge_id").alias("key_id"), F.col("e_id").alias("d_id")), "key_id")
-        .select("d_id", "traj_id")
-        .distinct()
-    )
-    return (
-        users_o.join(pairs, "o_id")
-        .join(users_d, ["traj_id", "d_id"], "left_semi")
-        .select("o_id", "d_id", "traj_id")
-    )
+    uses = _uses(postings, edges, pairs)
+    at_o = uses.where(F.col("o_id").isNotNull()).groupBy("o_id", "traj_id").agg(F.min("site").alias("s_site"))
+    at_d = uses.where(F.col("d_id").isNotNull()).groupBy("d_id", "traj_id").agg(F.min("site").alias("e_site"))
+    return _match(at_o, at_d, pairs).select("o_id", "d_id", "traj_id")
 
 
 def od_by_scan(traj_vertices: DataFrame, od: DataFrame) -> DataFrame:
     """(o_id, d_id, traj_id) for trips where some visit of D follows the first visit of O.
 
-    Needs no pass over every (pair, trip): containment is first_site(O) < last_site(D), so two
-    equi-joins on the per-trip extents answer it.
+    Needs no pass over every (pair, trip): containment is first_site(O) < last_site(D) per trip.
     """
-    extent = visit_extent(traj_vertices)
-    at_o = extent.select("traj_id", F.col("vertex_id").alias("o_id"), "first_site")
-    at_d = extent.select("traj_id", F.col("vertex_id").alias("d_id"), "last_site")
-    return (
-        at_o.join(_pairs(od), "o_id")
-        .join(at_d, ["traj_id", "d_id"])
-        .where(F.col("first_site") < F.col("last_site"))
-        .select("o_id", "d_id", "traj_id")
+    pairs = _pairs(od)
+    met = _by_trip(
+        traj_vertices.select("traj_id", "site", "vertex_id").join(_endpoints(pairs, "vertex_id"), "vertex_id", "left_semi")
     )
+    at_o = met.groupBy(F.col("vertex_id").alias("o_id"), "traj_id").agg(F.min("site").alias("s_site"))
+    at_d = met.groupBy(F.col("vertex_id").alias("d_id"), "traj_id").agg(F.max("site").alias("e_site"))
+    return _in_order(_match(at_o, at_d, pairs)).select("o_id", "d_id", "traj_id")
 
 
 def od_traj_counts(od_trajs: DataFrame) -> DataFrame:

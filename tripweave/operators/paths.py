@@ -142,13 +142,6 @@ def sub_trajectory(packed: DataFrame, od_trajs: DataFrame) -> DataFrame:
     return joined.select("o_id", "d_id", "traj_id", part.alias("edges"))
 
 
-def visit_extent(traj_vertices: DataFrame) -> DataFrame:
-    """First and last site of every vertex within every trip: all that ordered containment needs."""
-    return traj_vertices.groupBy("traj_id", "vertex_id").agg(
-        F.min("site").alias("first_site"), F.max("site").alias("last_site")
-    )
-
-
 def containing_vertex(traj_vertices: DataFrame, wanted: DataFrame) -> DataFrame:
     """(vertex_id, traj_id) for every trip that visits a wanted vertex."""
     return (

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as fp
-from .paths import packed_trips, sub_trajectory, visit_extent
+from .od import od_by_scan
+from .paths import packed_trips, sub_trajectory
 
 PATH_COLUMNS = ("edges", "vertices", "ends")
 
@@ -92,18 +93,9 @@ def add_routes(stored: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def _containing(routes: DataFrame) -> DataFrame:
-    """(o_id, d_id, f_id): route f runs through O and then D of another pair that has routes."""
-    pairs = routes.select("o_id", "d_id").distinct()
+    """(o_id, d_id, f_id): route f runs through O and then D of a pair that has routes."""
     visits = routes.select(F.col("route_id").alias("traj_id"), F.posexplode("vertices").alias("site", "vertex_id"))
-    extent = visit_extent(visits)
-    at_o = extent.select("traj_id", F.col("vertex_id").alias("o_id"), "first_site")
-    at_d = extent.select("traj_id", F.col("vertex_id").alias("d_id"), "last_site")
-    return (
-        at_o.join(pairs, "o_id")
-        .join(at_d, ["traj_id", "d_id"])
-        .where(F.col("first_site") < F.col("last_site"))
-        .select("o_id", "d_id", F.col("traj_id").alias("f_id"))
-    )
+    return od_by_scan(visits, routes).withColumnRenamed("traj_id", "f_id")
 
 
 def route_expansions(routes: DataFrame) -> DataFrame:

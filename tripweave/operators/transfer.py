@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 
 def arrivals(postings: DataFrame, edges: DataFrame, destinations: DataFrame) -> DataFrame:
-    """(d_id, traj_id, last_site): where each trip first enters each destination."""
+    """(d_id, traj_id, last_site): where each trip first enters each destination.
+
+    Spread by trip, which is how ``transfer_matrix`` joins it.
+    """
     into = edges.join(
         destinations.select(F.col("d_id").alias("e_id")).distinct(), "e_id", "left_semi"
     ).select(F.col("edge_id").alias("key_id"), F.col("e_id").alias("d_id"))
-    return postings.join(into, "key_id").groupBy("d_id", "traj_id").agg(F.min("site").alias("last_site"))
+    entered = postings.join(into, "key_id").select("d_id", "traj_id", "site").repartition("traj_id")
+    return entered.groupBy("d_id", "traj_id").agg(F.min("site").alias("last_site"))
 
 
 def transfer_matrix(
