@@ -15,7 +15,7 @@ from ..session import cut_lineage
 
 
 @dataclass(frozen=True)
-class RouteCounting:
+class CountedRoutes:
     """Merged routes, their expansions, and own plus created routes."""
 
     routes: DataFrame
@@ -23,11 +23,11 @@ class RouteCounting:
     expanded: DataFrame
 
 
-def count_routes(traj_edges: DataFrame, edges: DataFrame) -> RouteCounting:
+def count_routes(traj_edges: DataFrame, edges: DataFrame) -> CountedRoutes:
     """Trips to merged routes to expansions."""
     merged = cut_lineage(routes.merge_routes(routes.trip_routes(traj_edges, edges)))
     expansions = cut_lineage(routes.route_expansions(merged))
-    return RouteCounting(merged, expansions, routes.expanded_routes(merged, expansions))
+    return CountedRoutes(merged, expansions, routes.expanded_routes(merged, expansions))
 
 
 def frequent_pairs(traj_vertices: DataFrame, min_count: int = 100) -> DataFrame:
