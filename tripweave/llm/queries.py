@@ -7,11 +7,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripweave.llm import archive, bpe, language, quality, secret_scan
+from tripweave.llm import archive, bpe, decontaminate, embedding, jaccard, language, quality, secret_scan
 from tripweave.llm.common import remainder, table
 from tripweave.session import shared_folder
 
 
+def op1_embedding_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors by cosine 0.9."""
+    return embedding.join(table(spark, sf_dir, "embeddings"))
+
+
 def op4_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages through legacy archives to WARC and back: one row per page with its record's type and digest."""
     at = f"{shared_folder(spark).rstrip('/')}/archives/{uuid.uuid4().hex}"
@@ -34,6 +39,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).withColumn("held_out", remainder("doc_id", 3) == 1).select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and classes of all documents by similarity 0.8 on five-word shingles."""
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document by patterns and by models trained on what the patterns label."""
     docs = table(spark, sf_dir, "documents")
@@ -45,11 +55,20 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in every document."""
+    items = decontaminate.question_and_answer(table(spark, sf_dir, "benchmark"))
+    return decontaminate.flagged(table(spark, sf_dir, "documents"), items)
+
+
 QUERIES = {
+    "op1_embedding_copies": op1_embedding_copies,
     "op4_arc_to_warc": op4_arc_to_warc,
     "op5_language": op5_language,
     "op6_quality": op6_quality,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_secrets": op8_secrets,
     "op9_bpe": op9_bpe,
+    "op10_decontaminate": op10_decontaminate,
 }
 ORACLE_SQL: dict[str, str] = {}
