@@ -49,14 +49,18 @@ def slices(batch: pa.RecordBatch, column: str, size: int = BATCH_BYTES):
         at = to
 
 
-def map_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """``df.mapInArrow`` whose workers find this package where the driver has it.
+def ship(spark) -> None:
+    """Let Python workers find this package where the driver has it.
 
     That holds on one machine and where all machines have the same path; elsewhere ship it with --py-files.
     """
-    env = df.sparkSession.sparkContext.environment
+    env = spark.sparkContext.environment
     if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH", ""), _ROOT]))
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

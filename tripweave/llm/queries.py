@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripweave.llm import archive, bpe, decontaminate, embedding, jaccard, language, quality, secret_scan
+from tripweave.llm import archive, bpe, decontaminate, embedding, jaccard, language, ppm, quality, secret_scan, suffix
 from tripweave.llm.common import remainder, table
 from tripweave.session import shared_folder
 
@@ -17,6 +17,19 @@ def op1_embedding_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.join(table(spark, sf_dir, "embeddings"))
 
 
+def op2_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code length of every document under a model of those whose remainder is not 2."""
+    held_out = remainder("doc_id", 7) == 2
+    docs = table(spark, sf_dir, "documents")
+    cols = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    return ppm.score(docs, ~held_out).withColumn("held_out", held_out).select(*cols)
+
+
+def op3_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 400-byte strings that occur more than once."""
+    return suffix.remove(table(spark, sf_dir, "documents"))
+
+
 def op4_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages through legacy archives to WARC and back: one row per page with its record's type and digest."""
     at = f"{shared_folder(spark).rstrip('/')}/archives/{uuid.uuid4().hex}"
@@ -63,6 +76,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_embedding_copies": op1_embedding_copies,
+    "op2_ppm_score": op2_ppm_score,
+    "op3_repeated_bytes": op3_repeated_bytes,
     "op4_arc_to_warc": op4_arc_to_warc,
     "op5_language": op5_language,
     "op6_quality": op6_quality,
