@@ -14,10 +14,13 @@ import struct
 
 import ahocorasick
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from tripweave.llm.common import map_texts
+from tripweave.llm.common import map_arrow, map_texts, slices
 
 _PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 #: Words with the space before them, and white space as the pattern above takes it.
@@ -233,3 +236,28 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         return {"doc_id": batch.column("doc_id"), "n_tokens": [len(i) // 4 for i in ids], "ids_sha256": [sha(i) for i in ids], "decoded_sha256": [sha(c.decode(i)) for i in ids]}
 
     return map_texts(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def add_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """``docs``, all rows and columns, with n_tokens and ids (little-endian 32-bit integers); a null text is empty.
+
+    Every encoding is decoded again and held against its text.  Columns of these names are replaced.
+    """
+    path = path or default_vocabulary()
+    kept = [c for c in docs.columns if c not in ("n_tokens", "ids")]
+    schema = StructType([*(docs.schema[c] for c in kept), StructField("n_tokens", LongType()), StructField("ids", BinaryType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        c = coder(path)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                ids = [c.encode(t) for t in texts]
+                for t, i in zip(texts, ids):
+                    if c.decode(i) != t.encode():
+                        raise ValueError("a text is not what its tokens decode to")
+                new = [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), *new], schema=arrow)
+
+    return map_arrow(docs, run, schema)

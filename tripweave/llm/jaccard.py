@@ -9,6 +9,7 @@ on the sets themselves.
 
 from __future__ import annotations
 
+import hashlib
 from math import comb
 
 import numpy as np
@@ -60,6 +61,10 @@ def sets_of(texts: list[str | None], n: int) -> list[np.ndarray]:
     return [np.unique(grams[a:b]) for a, b in zip(gat[:-1], gat[1:])]
 
 
+def _digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
 def minhash(sets: list[np.ndarray]) -> np.ndarray:
     """32-bit MinHash values, a row for each set, none of them empty."""
     flat, at = np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])])
@@ -81,11 +86,9 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
         keys = np.zeros((len(some), BANDS), np.uint64)
         for r in range(ROWS):
             keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + values[:, r::ROWS].astype(np.uint64) + np.arange(BANDS, dtype=np.uint64))
-        import hashlib
-
         return {
             "doc_id": batch.column("doc_id").take(pa.array(some)),
-            "set_key": [hashlib.blake2b(sets[k].tobytes(), digest_size=16).digest() for k in some],
+            "set_key": [_digest(sets[k].tobytes()) for k in some],
             "size": [len(sets[k]) for k in some],
             "early": [v.tobytes() for v in (values[:, :EARLY] & np.uint32(0xFFFF)).astype(np.uint16)],
             "bands": pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())),
@@ -181,23 +184,25 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: float =
 
     ``n_links`` counts the other documents linked directly, ``class_id`` is the smallest doc_id reachable by
     links, ``kept`` marks it.  Case and the kind of white space make no difference.  A text without a word has
-    no links; rows that repeat a doc_id are one document, that of the least text; rows without doc_id are left out.
+    no links; of rows that repeat a doc_id the one whose n-grams have the least digest counts; rows without doc_id
+    are left out.
     """
     rows = docs.filter("doc_id is not null").select("doc_id", "text")
     signed = cut_lineage(signatures(rows, n))
-    classes = cut_lineage(
-        signed.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("weight"))
-    )
-    mine = signed.join(classes, "set_key")
-    own = mine.filter("doc_id = rep").select("rep", "early", "bands").dropDuplicates(["rep"])
+    keys = cut_lineage(signed.groupBy("doc_id").agg(F.min("set_key").alias("set_key")))
+    classes = cut_lineage(keys.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("weight")))
+    first = classes.select(F.col("rep").alias("doc_id"), "set_key", "rep")
+    own = signed.join(first, ["doc_id", "set_key"]).select("rep", "early", "bands").dropDuplicates(["rep"])
     clusters = cut_lineage(_clusters(own, threshold, tolerance))
 
     def grams(batch):
-        return {"rep": batch.column("doc_id"), "grams": [s.tobytes() for s in sets_of(batch.column("text").to_pylist(), n)]}
+        sets = [s.tobytes() for s in sets_of(batch.column("text").to_pylist(), n)]
+        return {"rep": batch.column("doc_id"), "set_key": [_digest(s) for s in sets], "grams": sets}
 
-    wanted = clusters.join(classes, "rep").select("rep", F.col("root").alias("cluster"), "weight")
-    texts = rows.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    members = wanted.join(map_texts(texts, grams, "rep long, grams binary"), "rep")
+    wanted = cut_lineage(clusters.join(classes, "rep").select("rep", "set_key", F.col("root").alias("cluster"), "weight"))
+    texts = rows.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    sets = map_texts(texts, grams, "rep long, set_key binary, grams binary").dropDuplicates(["rep", "set_key"])
+    members = wanted.join(sets, ["rep", "set_key"]).select("cluster", "rep", "weight", "grams")
     links = cut_lineage(_links(members, threshold, tolerance))
     roots = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     least = roots.groupBy("root").agg(F.min("node").alias("class_id"))
@@ -207,7 +212,7 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: float =
         classes.join(counts, "rep", "left").join(linked, "rep", "left")
         .select("set_key", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("class_id", "rep").alias("class_id"))
     )
-    per_doc = signed.join(per_class, "set_key").select(F.col("doc_id").alias("_id"), "n_links", "class_id")
+    per_doc = keys.join(per_class, "set_key").select(F.col("doc_id").alias("_id"), "n_links", "class_id")
     ids = rows.select("doc_id").distinct()
     return ids.join(per_doc, ids["doc_id"] == per_doc["_id"], "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tripweave.llm.common import arrow_schema, cut_lineage, map_arrow, ship, slices, words_of
 
-ORDER = 4
+ORDER = 5
 #: Bytes of text in a block, about.
 BLOCK_BYTES = 16 << 20
 RUN, WORD = 0, 1
