@@ -98,6 +98,9 @@ def fit(labelled: DataFrame, per_lang: int = 400, clusters: int = 4, slack: floa
     ids = (
         labelled.filter("lang is not null and text is not null")
         .select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+        # a language may hold most rows: first the best of each of 64 parts of it, then the best of those
+        .withColumn("k", F.row_number().over(Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h", "doc_id")))
+        .filter(F.col("k") <= per_lang)
         .withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
         .filter(F.col("k") <= per_lang)
         .select(F.col("doc_id").alias("picked"))
