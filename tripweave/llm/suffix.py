@@ -22,8 +22,8 @@ from tripweave.llm.common import arrow_schema, cut_lineage, map_arrow, map_group
 GRAM = 32
 #: Depth in bytes to which quicksort goes before blind tries take over.
 SHALLOW = 32
-#: Surroundings of one group that are sorted in one task; larger groups are split by string.
-LIMIT = 400
+#: Surroundings of one group that are sorted in one task; larger groups are cut by ranges of strings, WAYS at a time.
+LIMIT, WAYS = 400, 8
 _PLACE = 31  # low bits of a hash that hold the place, so that the first of equal hashes wins
 
 
@@ -214,38 +214,76 @@ def _surroundings(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame
 
 
 def _sorted_groups(rows: DataFrame, length: int) -> DataFrame:
-    """(key, near, lo, hi): bytes left of the anchor, from lo to hi, of the strings that another row has too."""
+    """(key, near, lo, hi): bytes left of the anchor, from lo to hi, of the strings that another row of ``sub`` has.
+
+    ``rows`` has (sub, key, near, left, right); only the strings within ``left`` and ``right`` are compared.
+    """
 
     def run(t, first):
         key, near = np.asarray(t.column("key")), np.asarray(t.column("near"))
         left, right = t.column("left").to_pylist(), t.column("right").to_pylist()
-        out = []
+        out = [np.zeros((0, 3), int)]
         for a, b in zip(first, np.r_[first[1:], len(key)]):
-            got = repeated(left[a:b], right[a:b], length)
-            out.append(got + [a, 0, 0])
-        got = np.concatenate(out) if out else np.zeros((0, 3), int)
+            out.append(repeated(left[a:b], right[a:b], length) + [a, 0, 0])
+        got = np.concatenate(out)
         return {"key": key[got[:, 0]], "near": near[got[:, 0]], "lo": got[:, 1].astype(np.int32), "hi": got[:, 2].astype(np.int32)}
 
-    return map_groups(rows, "key", run, "key long, near long, lo int, hi int")
+    return map_groups(rows.select("sub", "key", "near", "left", "right"), "sub", run, "key long, near long, lo int, hi int")
 
 
-def _split_groups(rows: DataFrame, length: int) -> DataFrame:
-    """The same for groups of any size: strings are counted by hash, over all tasks."""
+def _narrowed(rows: DataFrame, length: int) -> DataFrame:
+    """Each row of (key, near, left, right, lo, hi) cut into WAYS ranges of lo to hi: (sub, cut, key, near, lo, hi).
+
+    All strings of a range hold the same middle, whose hash names the new group ``sub``; ``cut`` is a digest of
+    all that the strings of the range reach.
+    """
 
     def run(batch):
-        out = {"key": [], "near": [], "x": [], "h": []}
-        for key, near, left, right in zip(*(batch.column(c).to_pylist() for c in ("key", "near", "left", "right"))):
-            a = np.frombuffer(left + right, np.uint8)
-            start = np.arange(len(a) - length + 1)
-            out["key"] += [key] * len(start)
-            out["near"] += [near] * len(start)
-            out["x"] += (len(left) - start).tolist()
-            out["h"] += range_hashes(prefix_hashes(a), start, start + length).view(np.int64).tolist()
+        out = {k: [] for k in ("sub", "cut", "key", "near", "lo", "hi")}
+        number = lambda *parts: int.from_bytes(hashlib.blake2b(b"".join(parts), digest_size=8).digest(), "little", signed=True)
+        for key, near, left, right, lo, hi in zip(*(batch.column(c).to_pylist() for c in ("key", "near", "left", "right", "lo", "hi"))):
+            width = -(-(hi - lo + 1) // WAYS)
+            for x in range(lo, hi + 1, width):
+                y = min(x + width - 1, hi)
+                if max(x, length - len(right)) > min(y, len(left)):
+                    continue  # none of this row's strings
+                tag = key.to_bytes(8, "little", signed=True) + x.to_bytes(4, "little") + y.to_bytes(4, "little")
+                reach = left[max(len(left) - y, 0) :]
+                out["sub"].append(number(tag, left[len(left) - x :], right[: length - y]))
+                out["cut"].append(number(len(reach).to_bytes(4, "little"), reach, right[: length - x]))
+                for k, v in (("key", key), ("near", near), ("lo", x), ("hi", y)):
+                    out[k].append(v)
         return out
 
-    strings = cut_lineage(map_texts(rows, run, "key long, near long, x int, h long", "right"))
-    twice = strings.groupBy("key", "x", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return strings.join(twice, ["key", "x", "h"]).select("key", "near", F.col("x").alias("lo"), F.col("x").alias("hi"))
+    return map_texts(rows, run, "sub long, cut long, key long, near long, lo int, hi int", "right")
+
+
+def _large_groups(base: DataFrame, length: int) -> DataFrame:
+    """The result of :func:`_sorted_groups` for groups of any size.
+
+    A group is cut by ranges of strings, round after round, until its parts are small enough to sort.  Rows
+    that are equal in all a range reaches are settled by counting them, and only one of them goes on; a range of
+    one string settles all rows, so there are few rounds, and each has WAYS rows at most for each row before.
+    """
+    rows = base.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(length - GRAM))
+    out = []
+    while True:
+        parts = cut_lineage(_narrowed(rows, length))
+        kinds = cut_lineage(parts.groupBy("sub", "cut").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "near", "lo", "hi")).alias("at")))
+        out.append(parts.join(kinds.filter("n > 1").select("sub", "cut"), ["sub", "cut"]).select("key", "near", "lo", "hi"))
+        subs = kinds.groupBy("sub").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+        left = cut_lineage(kinds.join(subs, "sub").select("sub", "m", "at.*").join(base, ["key", "near"]))
+        reach = left.filter(F.col("m") <= LIMIT).select(
+            "sub", "key", "near", F.expr("substring(left, greatest(length(left) - hi, 0) + 1)").alias("left"), F.expr(f"substring(right, 1, {length} - lo)").alias("right")
+        )
+        out.append(_sorted_groups(reach, length))
+        rows = left.filter(F.col("m") > LIMIT).select("key", "near", "left", "right", "lo", "hi")
+        if not rows.take(1):
+            break
+    spans = out[0]
+    for more in out[1:]:
+        spans = spans.unionByName(more)
+    return spans
 
 
 def repeats(texts: DataFrame, length: int) -> DataFrame:
@@ -257,12 +295,12 @@ def repeats(texts: DataFrame, length: int) -> DataFrame:
     kinds = found.groupBy("key", "near").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("text_id", "place", "first", "last")).alias("at"))
     kinds = cut_lineage(kinds)
     keys = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    wanted = kinds.join(keys, "key").select("key", "near", "m", "at.*")
-    rows = _surroundings(texts, wanted.drop("m"), length)
-    large = keys.filter(F.col("m") > LIMIT).select("key")
-    rows = cut_lineage(rows)
-    some = _sorted_groups(rows.join(large, "key", "left_anti"), length)
-    more = _split_groups(rows.join(large, "key", "left_semi"), length)
+    wanted = kinds.join(keys, "key").select("key", "near", "at.*")
+    rows = _surroundings(texts, wanted, length)
+    rows = cut_lineage(rows.join(keys, "key"))
+    some = _sorted_groups(rows.filter(F.col("m") <= LIMIT).withColumn("sub", F.col("key")), length)
+    large = rows.filter(F.col("m") > LIMIT).drop("m")
+    more = _large_groups(large, length) if large.take(1) else some.limit(0)
     again = kinds.filter("n > 1").select("key", "near", F.lit(0).alias("lo"), F.lit(length).alias("hi"))
     spans = cut_lineage(some.unionByName(more).unionByName(again))
     hit = found.join(spans, ["key", "near"]).select(
