@@ -44,14 +44,32 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder and read back.
+    """``df`` written once to the shared folder and read back: this runs a job.
 
     For a frame that several later branches read: they prune columns on the written table, its real size
-    is known to the planner, and a lost executor costs a re-read and not a recompute.  The tables of one
-    application share a folder, ``<shared folder>/tripweave/<application id>``, to be dropped after it.
+    is known to the planner, and a lost executor costs a re-read and not a recompute.  The shuffle files of
+    the job go when it ends.  The tables of one application share a folder,
+    ``<shared folder>/tripweave/<application id>``, to be dropped after it; :func:`release` drops one earlier.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/tripweave/{spark.conf.get('spark.app.id')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_at = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the tables of frames that :func:`cut_lineage` gave; nothing may read them any more."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._cut_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
