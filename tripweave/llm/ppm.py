@@ -21,10 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripweave.llm.common import arrow_schema, cut_lineage, map_arrow, ship, slices, words_of
+from tripweave.session import release
 
 ORDER = 5
 #: Bytes of text in a block, about.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
+#: Bytes of text that a task works on at a time: its arrays take some fifty times as much.
+_PIECE = 1 << 19
 RUN, WORD = 0, 1
 #: The key of a text's end among the words.
 END = 1
@@ -70,7 +73,7 @@ def _requests(dealt: DataFrame) -> DataFrame:
             return key, np.bincount(inverse, np.concatenate([n for _, n in parts]), len(key)).astype(np.int64)
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", _PIECE):
                 texts, learn = _plain(part), np.asarray(part.column("learn")).astype(np.float64)
                 blocks = np.asarray(part.column("block"))
                 for block in np.unique(blocks):
@@ -92,8 +95,8 @@ def _requests(dealt: DataFrame) -> DataFrame:
     return map_arrow(dealt, run, ddl)
 
 
-def _probabilities(runs: DataFrame) -> DataFrame:
-    """(key, value): log10 of the probability of the last byte of each run, from (key, n).
+def _probabilities(runs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(key, value): log10 of the probability of the last byte of each run, from (key, n); and the tables it reads.
 
     ``runs`` has every run that is asked for; n is 0 where it was not learned.
     """
@@ -115,7 +118,7 @@ def _probabilities(runs: DataFrame) -> DataFrame:
         contexts.append(cut_lineage(ctx))
     # from the longest context down; each round settles the runs whose byte was seen there
     left = runs.select("key", F.lit(0.0).alias("lp"), F.lit(0).cast("long").alias("x_n"), F.lit(0).cast("long").alias("x_d"))
-    done = []
+    done, read = [], [*tables[:-1], *contexts]
     for order in range(ORDER, -1, -1):
         mask = F.lit((1 << (8 * (order + 1))) - 1)
         ctx = contexts[order]
@@ -129,6 +132,7 @@ def _probabilities(runs: DataFrame) -> DataFrame:
             "key", F.col("n").isNotNull().alias("settled"), (F.col("lp") + here).alias("lp"),
             F.when(new, F.col("x_n")).otherwise(F.col("excluded")).alias("x_n"), F.when(new, F.col("x_d")).otherwise(F.col("kinds")).alias("x_d"),
         ))
+        read.append(step)
         done.append(step.filter("settled").select("key", F.col("lp").alias("value")))
         left = step.filter("not settled").drop("settled")
     # never learned at all: the same share for each of the bytes that are left
@@ -136,7 +140,7 @@ def _probabilities(runs: DataFrame) -> DataFrame:
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out
+    return out, read
 
 
 def score(docs: DataFrame, learn) -> DataFrame:
@@ -151,47 +155,80 @@ def score(docs: DataFrame, learn) -> DataFrame:
     blocks = int((rows.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0) // BLOCK_BYTES) + 1
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary"))), F.lit(blocks)).cast("int"))
     asked = cut_lineage(_requests(dealt.repartition("block")))
-    known = cut_lineage(asked.groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    known = cut_lineage(asked.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("blocks")))
     words = known.filter(F.col("kind") == WORD)
     total, distinct = words.filter("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    values = words.select("kind", "key", F.col("n").cast("double").alias("value")).unionByName(
-        _probabilities(known.filter(F.col("kind") == RUN).select("key", "n")).select(F.lit(RUN).cast("byte").alias("kind"), "key", "value")
-    )
-    replies = asked.select("block", "kind", "key").join(cut_lineage(values), ["kind", "key"])
+    chances, read = _probabilities(known.filter(F.col("kind") == RUN).select("key", "n"))
+    # a word that one block alone holds has there the count that it has anywhere
+    shared = words.filter("blocks > 1").select("kind", "key", F.col("n").cast("double").alias("value"))
+    values = cut_lineage(shared.unionByName(chances.select(F.lit(RUN).cast("byte").alias("kind"), "key", "value")))
+    release(known, *read)
+    replies = asked.select("block", "kind", "key").join(values, ["kind", "key"])
     ddl = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     schema = arrow_schema(ddl)
     spread = total + distinct + 1
 
     def work(key, texts, replies):
+        kinds, keys, values = (np.asarray(replies.column(c)) for c in ("kind", "key", "value"))
         reply = {}
-        kinds, keys, values = (np.asarray(replies.column(c).combine_chunks() if replies.num_rows else replies.column(c)) for c in ("kind", "key", "value"))
         for kind in (RUN, WORD):
             k, v = keys[kinds == kind], values[kinds == kind]
             order = np.argsort(k)
             reply[kind] = k[order], v[order]
-        end = reply[WORD][1][np.searchsorted(reply[WORD][0], END)] if texts.num_rows else 0
+        del kinds, keys, values, replies
+        batches = texts.to_batches()
+
+        def pieces():
+            for batch in batches:
+                for part in slices(batch, "text", _PIECE):
+                    yield part, _plain(part)
+
+        def counts(keys):
+            """Of sorted different keys: the counts by the replies, and which have none."""
+            k, v = reply[WORD]
+            place = np.minimum(np.searchsorted(k, keys), max(len(k) - 1, 0))
+            there = k[place] == keys if len(k) else np.zeros(len(keys), bool)
+            return np.where(there, v[place] if len(k) else 0.0, 0.0), ~there
+
+        alone = []  # what this block has learned of words that no other block holds
+        for part, plain in pieces():
+            learn = np.asarray(part.column("learn")).astype(np.float64)
+            k, at = word_keys(plain)
+            u, inverse = np.unique(np.r_[k, np.full(len(plain), END)], return_inverse=True)
+            missing = counts(u)[1]
+            n = np.bincount(inverse, np.r_[np.repeat(learn, np.diff(at)), learn], len(u))
+            alone.append((u[missing], n[missing]))
+        k = np.concatenate([a for a, _ in alone]) if alone else np.zeros(0, np.int64)
+        u, inverse = np.unique(k, return_inverse=True)
+        local = u, np.bincount(inverse, np.concatenate([n for _, n in alone]) if alone else None, len(u))
+        del alone, k, inverse
+
+        def count_of(keys):
+            u, inverse = np.unique(keys, return_inverse=True)
+            c, missing = counts(u)
+            c[missing] = local[1][np.searchsorted(local[0], u[missing])]
+            return c[inverse]
 
-        def looked(kind, keys):
+        def chance_of(keys):
             u, inverse = np.unique(keys, return_inverse=True)
-            return reply[kind][1][np.searchsorted(reply[kind][0], u)][inverse]
+            return reply[RUN][1][np.searchsorted(reply[RUN][0], u)][inverse]
 
         def sums(v, at):
             return np.add.reduceat(np.r_[v, 0.0], at[:-1]) * (np.diff(at) > 0)
 
         out = []
-        for batch in texts.combine_chunks().to_batches():
-            for part in slices(batch, "text"):
-                plain = _plain(part)
-                keys, at = run_keys(plain)
-                s = sums(looked(RUN, keys), at)
-                keys, at = word_keys(plain)
-                c = looked(WORD, keys)
-                out.append(pa.RecordBatch.from_pydict({
-                    "doc_id": part.column("doc_id"), "n_tokens": np.diff(at) + 1, "n_known": sums((c > 0).astype(float), at).astype(np.int64) + int(end > 0),
-                    "train_tokens": np.full(len(plain), total), "base_score": sums(np.log10((c + 1) / spread), at) + math.log10((end + 1) / spread), "score": s,
-                }, schema=schema))
+        for part, plain in pieces():
+            keys, at = run_keys(plain)
+            s = sums(chance_of(keys), at) if len(keys) else np.zeros(len(plain))
+            keys, at = word_keys(plain)
+            c = count_of(np.r_[keys, END])
+            c, end = c[:-1], c[-1]
+            out.append(pa.RecordBatch.from_pydict({
+                "doc_id": part.column("doc_id"), "n_tokens": np.diff(at) + 1, "n_known": sums((c > 0).astype(float), at).astype(np.int64) + int(end > 0),
+                "train_tokens": np.full(len(plain), total), "base_score": sums(np.log10((c + 1) / spread), at) + math.log10((end + 1) / spread), "score": s,
+            }, schema=schema))
         return pa.Table.from_batches(out, schema)
 
     # pairs of small frames meet: a block's texts and the values that it asked for
     ship(spark)
-    return dealt.select("block", "doc_id", "text").groupBy("block").cogroup(replies.select("block", "kind", "key", "value").groupBy("block")).applyInArrow(work, ddl)
+    return dealt.select("block", "doc_id", "text", "learn").groupBy("block").cogroup(replies.select("block", "kind", "key", "value").groupBy("block")).applyInArrow(work, ddl)
