@@ -25,7 +25,7 @@ from tripweave.session import release
 
 ORDER = 5
 #: Bytes of text in a block, about.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 24 << 20
 #: Bytes of text that a task works on at a time: its arrays take some fifty times as much.
 _PIECE = 1 << 19
 RUN, WORD = 0, 1
@@ -57,40 +57,53 @@ def _plain(batch) -> list[bytes]:
 
 
 def _requests(dealt: DataFrame) -> DataFrame:
-    """(block, kind, key, n) of every run and word of a block: n is its count in the texts to learn from."""
+    """(block, kind, key, n) of every run and word of a block: n is its count in the texts to learn from.
+
+    The rows of a block lie side by side.
+    """
     ddl = "block int, kind byte, key long, n long"
     schema = arrow_schema(ddl)
 
-    def run(batches):
-        held: dict[tuple[int, int], list] = {}
+    def merged(parts):
+        keys = np.concatenate([k for k, _ in parts])
+        order = np.argsort(keys)
+        keys, n = keys[order], np.concatenate([n for _, n in parts])[order]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        return keys[first], np.add.reduceat(n, first)
 
-        def add(block, kind, keys, learn):
-            key, inverse = np.unique(keys, return_inverse=True)
-            held.setdefault((block, kind), []).append((key, np.bincount(inverse, learn, len(key)).astype(np.int64)))
-
-        def merged(parts):
-            key, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-            return key, np.bincount(inverse, np.concatenate([n for _, n in parts]), len(key)).astype(np.int64)
+    def run(batches):
+        held: dict[int, list] = {RUN: [], WORD: []}
+        now = None
+
+        def add(kind, keys, learn):
+            held[kind].append(merged([(keys, learn)]))
+            if len(held[kind]) > 6:
+                held[kind] = [merged(held[kind])]
+
+        def flush():
+            for kind, parts in held.items():
+                if parts:
+                    key, n = merged(parts)
+                    for at in range(0, len(key), 100_000):
+                        k = key[at : at + 100_000]
+                        yield pa.RecordBatch.from_pydict({"block": np.full(len(k), now, np.int32), "kind": np.full(len(k), kind, np.int8), "key": k, "n": n[at : at + 100_000]}, schema=schema)
+                held[kind] = []
 
         for batch in batches:
             for part in slices(batch, "text", _PIECE):
-                texts, learn = _plain(part), np.asarray(part.column("learn")).astype(np.float64)
                 blocks = np.asarray(part.column("block"))
-                for block in np.unique(blocks):
-                    own = np.flatnonzero(blocks == block)
-                    mine, w = [texts[k] for k in own], learn[own]
-                    key, at = run_keys(mine)
-                    add(int(block), RUN, key, np.repeat(w, np.diff(at)))
-                    key, at = word_keys(mine)
-                    add(int(block), WORD, np.r_[key, np.full(len(own), END)], np.r_[np.repeat(w, np.diff(at)), w])
-            for at, parts in held.items():
-                if len(parts) > 8:
-                    held[at] = [merged(parts)]
-        for (block, kind), parts in held.items():
-            key, n = merged(parts)
-            for at in range(0, len(key), 200_000):
-                k = key[at : at + 200_000]
-                yield pa.RecordBatch.from_pydict({"block": np.full(len(k), block, np.int32), "kind": np.full(len(k), kind, np.int8), "key": k, "n": n[at : at + 200_000]}, schema=schema)
+                for at in np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1]]):
+                    if blocks[at] != now:
+                        yield from flush()
+                        now = int(blocks[at])
+                    mine = part.slice(at, int((blocks[at:] != now).argmax()) if (blocks[at:] != now).any() else None)
+                    texts, w = _plain(mine), np.asarray(mine.column("learn")).astype(np.int64)
+                    key, first = run_keys(texts)
+                    if len(key):
+                        add(RUN, key, np.repeat(w, np.diff(first)))
+                    key, first = word_keys(texts)
+                    add(WORD, np.r_[key, np.full(len(texts), END)], np.r_[np.repeat(w, np.diff(first)), w])
+        yield from flush()
 
     return map_arrow(dealt, run, ddl)
 
@@ -154,7 +167,7 @@ def score(docs: DataFrame, learn) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     blocks = int((rows.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0) // BLOCK_BYTES) + 1
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary"))), F.lit(blocks)).cast("int"))
-    asked = cut_lineage(_requests(dealt.repartition("block")))
+    asked = cut_lineage(_requests(dealt.repartition("block").sortWithinPartitions("block")))
     known = cut_lineage(asked.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("blocks")))
     words = known.filter(F.col("kind") == WORD)
     total, distinct = words.filter("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
