@@ -17,6 +17,8 @@ from tripweave.session import cut_lineage
 
 #: Python holds this many bytes of text at a time, or one text where that is longer.
 BATCH_BYTES = 2 << 20
+#: Rows that go to a worker at a time: texts are long, so Spark's default is too many.
+ROWS = 2000
 _ROOT = str(Path(__file__).resolve().parents[2])
 _TABLE = np.random.default_rng(11).integers(0, 1 << 64, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
@@ -50,13 +52,15 @@ def slices(batch: pa.RecordBatch, column: str, size: int = BATCH_BYTES):
 
 
 def ship(spark) -> None:
-    """Let Python workers find this package where the driver has it.
+    """Let Python workers find this package where the driver has it, and send them fewer rows at a time.
 
     That holds on one machine and where all machines have the same path; elsewhere ship it with --py-files.
     """
     env = spark.sparkContext.environment
     if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH", ""), _ROOT]))
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)
 
 
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:

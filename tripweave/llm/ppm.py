@@ -27,7 +27,7 @@ ORDER = 5
 #: Bytes of text in a block, about.
 BLOCK_BYTES = 24 << 20
 #: Bytes of text that a task works on at a time: its arrays take some fifty times as much.
-_PIECE = 1 << 19
+_PIECE = 1 << 18
 RUN, WORD = 0, 1
 #: The key of a text's end among the words.
 END = 1
@@ -88,6 +88,7 @@ def _requests(dealt: DataFrame) -> DataFrame:
                         k = key[at : at + 100_000]
                         yield pa.RecordBatch.from_pydict({"block": np.full(len(k), now, np.int32), "kind": np.full(len(k), kind, np.int8), "key": k, "n": n[at : at + 100_000]}, schema=schema)
                 held[kind] = []
+            pa.default_memory_pool().release_unused()
 
         for batch in batches:
             for part in slices(batch, "text", _PIECE):

@@ -84,10 +84,9 @@ class Models:
         n = np.full((2, SYMBOLS, SYMBOLS), 0.0)
         for label, step, count in rows:
             n[label].flat[step] += count
-        # random strings are alike in all rows, so their rows lean on the overall share of each symbol
-        share = (n[1].sum(axis=0) + 1) / (n[1].sum() + SYMBOLS)
-        secret = (n[1] + 20 * share) / (n[1].sum(axis=1, keepdims=True) + 20)
-        plain = (n[0] + 0.5) / (n[0].sum(axis=1, keepdims=True) + 0.5 * SYMBOLS)
+        # a character rarely met leans on the overall share of what follows, in either model
+        share = (n.sum(axis=1) + 1) / (n.sum(axis=(1, 2)) + SYMBOLS)[:, None]
+        secret, plain = (n + 20 * share[:, None, :]) / (n.sum(axis=2, keepdims=True) + 20)
         self.ratio = np.log(secret / plain).ravel()
 
     def spans(self, text: str, taken: list, least: float, shortest: int) -> list[tuple[int, int, int]]:
