@@ -86,7 +86,7 @@ class Models:
             n[label].flat[step] += count
         # a character rarely met leans on the overall share of what follows, in either model
         share = (n.sum(axis=1) + 1) / (n.sum(axis=(1, 2)) + SYMBOLS)[:, None]
-        secret, plain = (n + 20 * share[:, None, :]) / (n.sum(axis=2, keepdims=True) + 20)
+        plain, secret = (n + 20 * share[:, None, :]) / (n.sum(axis=2, keepdims=True) + 20)
         self.ratio = np.log(secret / plain).ravel()
 
     def spans(self, text: str, taken: list, least: float, shortest: int) -> list[tuple[int, int, int]]:
