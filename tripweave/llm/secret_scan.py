@@ -23,6 +23,8 @@ _SYMBOL = np.full(128, 64, np.int64)
 for _k, _c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"):
     _SYMBOL[ord(_c)] = _k
 SYMBOLS = 65
+#: Steps that the overall share counts as, beside those met from a character.
+LEAN = 1000
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -86,7 +88,7 @@ class Models:
             n[label].flat[step] += count
         # a character rarely met leans on the overall share of what follows, in either model
         share = (n.sum(axis=1) + 1) / (n.sum(axis=(1, 2)) + SYMBOLS)[:, None]
-        plain, secret = (n + 20 * share[:, None, :]) / (n.sum(axis=2, keepdims=True) + 20)
+        plain, secret = (n + LEAN * share[:, None, :]) / (n.sum(axis=2, keepdims=True) + LEAN)
         self.ratio = np.log(secret / plain).ravel()
 
     def spans(self, text: str, taken: list, least: float, shortest: int) -> list[tuple[int, int, int]]:
