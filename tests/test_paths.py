@@ -120,3 +120,11 @@ def test_suffix_min(spark):
         (1, 0, 1.0), (1, 1, 1.0), (1, 2, 4.0), (1, 3, 900000000.0), (2, 0, 900000000.0),
     ]
     assert rows(paths.overall_min(trips, dist), "traj_id", "dist") == [(1, 1.0), (2, 900000000.0)]
+
+
+def test_a_trip_with_an_unknown_edge_is_left_out_whole(spark):
+    trips = spark.createDataFrame([(1, 0, 12), (1, 1, 23), (1, 2, 34), (2, 0, 12)], "traj_id long, site long, edge_id long")
+    network = spark.createDataFrame([(12, 1, 2), (34, 3, 4)], "edge_id long, s_id long, e_id long")
+    assert sorted(map(tuple, paths.vertex_path(trips, network).select("traj_id", "site", "vertex_id").collect())) == [(2, 0, 1), (2, 1, 2)]
+    assert [r.traj_id for r in paths.packed_trips(trips, network).collect()] == [2]
+    assert [tuple(r) for r in paths.rejected_trips(trips, network).collect()] == [(1, 23)]

@@ -150,11 +150,11 @@ def anomaly_scores(routes: DataFrame, pool: DataFrame, postings: DataFrame, p: I
     )
 
 
-def scored_routes_input(packed: DataFrame, located: DataFrame, cap: int | None = 400) -> DataFrame:
+def scored_routes_input(packed: DataFrame, located: DataFrame, cap: int | None = None) -> DataFrame:
     """Merged routes to score: each located trip's part from s_site to e_site.
 
-    ``packed`` has traj_id and edges; ``located`` is the output of ``od_by_edge_index``.  Parts of ``cap``
-    edges or more are left out of the routes, but their trips stay in the pool.
+    ``packed`` has traj_id and edges; ``located`` is the output of ``od_by_edge_index``.  Where ``cap`` is given,
+    parts of that many edges or more are left out of the routes, but their trips stay in the pool.
     """
     part = slice_sites(F.col("edges"), F.col("s_site"), F.col("e_site"))
     parts = located.join(packed.select("traj_id", "edges"), "traj_id").select(*OD, "traj_id", part.alias("edges"))

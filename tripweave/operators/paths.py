@@ -77,10 +77,12 @@ def vertex_to_edge_rows(traj_vertices: DataFrame, edge_id: Column) -> DataFrame:
 def vertex_path(traj_edges: DataFrame, edges: DataFrame) -> DataFrame:
     """Start vertex of every edge, then the end vertex of the last edge (O3).
 
-    Gaps between consecutive edges are not repaired.  Rows with an edge the network lacks are dropped.
+    Gaps between consecutive edges are not repaired.  A trip with an edge the network lacks is left out whole;
+    :func:`rejected_trips` lists these.
     """
     w = Window.partitionBy("traj_id").orderBy("site")
-    ends = traj_edges.join(edges.select("edge_id", "s_id", "e_id"), "edge_id")
+    known = F.min(F.col("s_id").isNotNull() & F.col("e_id").isNotNull()).over(Window.partitionBy("traj_id"))
+    ends = traj_edges.join(edges.select("edge_id", "s_id", "e_id"), "edge_id", "left").withColumn("_known", known).where("_known")
     last = F.lead("site").over(w).isNull()
     here = F.struct(F.col("site"), F.col("s_id").alias("vertex_id"))
     after = F.struct((F.col("site") + 1).alias("site"), F.col("e_id").alias("vertex_id"))
@@ -89,6 +91,12 @@ def vertex_path(traj_edges: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+def rejected_trips(traj_edges: DataFrame, edges: DataFrame) -> DataFrame:
+    """Trips with an edge the network lacks, and each such edge: (traj_id, edge_id)."""
+    whole = edges.where("s_id IS NOT NULL AND e_id IS NOT NULL")
+    return traj_edges.select("traj_id", "edge_id").join(whole.select("edge_id"), "edge_id", "left_anti").select("traj_id", "edge_id").distinct()
+
+
 def od_endpoints(traj_vertices: DataFrame) -> DataFrame:
     """First and last vertex of every trip (O4); combines before the shuffle."""
     return traj_vertices.groupBy("traj_id").agg(
@@ -103,10 +111,14 @@ def path_length_histogram(traj_edges: DataFrame) -> DataFrame:
 
 
 def packed_trips(traj_edges: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row per trip: edges with their start and end vertices, as parallel arrays."""
-    rows = traj_edges.join(edges.select("edge_id", "s_id", "e_id"), "edge_id")
+    """One row per trip: edges with their start and end vertices, as parallel arrays.
+
+    A trip with an edge the network lacks is left out whole; :func:`rejected_trips` lists these.
+    """
+    rows = traj_edges.join(edges.select("edge_id", "s_id", "e_id"), "edge_id", "left")
     items = F.sort_array(F.collect_list(F.struct("site", "edge_id", "s_id", "e_id")))
-    return rows.groupBy("traj_id").agg(items.alias("_l")).select(
+    known = F.min(F.col("s_id").isNotNull() & F.col("e_id").isNotNull())
+    return rows.groupBy("traj_id").agg(items.alias("_l"), known.alias("_known")).where("_known").select(
         "traj_id",
         F.col("_l.edge_id").alias("edges"),
         F.col("_l.s_id").alias("starts"),

@@ -74,7 +74,7 @@ class ScoringInput:
 
 
 def scoring_input(
-    traj_edges: DataFrame, edges: DataFrame, pairs: DataFrame, cap: int | None = 400
+    traj_edges: DataFrame, edges: DataFrame, pairs: DataFrame, cap: int | None = None
 ) -> ScoringInput:
     """Index, locate and cut out the routes of the given pairs."""
     postings = index.edge_index(traj_edges)
@@ -91,7 +91,7 @@ def score_pairs(
     edges: DataFrame,
     pairs: DataFrame,
     params: anomaly.IsolationParams | None = None,
-    cap: int | None = 400,
+    cap: int | None = None,
 ) -> DataFrame:
     """Isolation score of every route of the given pairs."""
     given = scoring_input(traj_edges, edges, pairs, cap)

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from .. import schemas
 
 
-def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Stored table with a fixed schema; a table not written yet is empty."""
+def read_table(spark: SparkSession, path: str, schema: str, absent_is_empty: bool = True) -> DataFrame:
+    """Stored table with a fixed schema; a table not written yet is empty, or an error where that is not wanted."""
+    if not absent_is_empty:
+        return spark.read.schema(schema).parquet(path)
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
@@ -21,7 +23,7 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_postings(spark: SparkSession, path: str) -> DataFrame:
     """Postings sorted by key, so a filter on key_id skips the row groups of other keys."""
-    return read_table(spark, path, schemas.POSTINGS)
+    return read_table(spark, path, schemas.POSTINGS, absent_is_empty=False)
 
 
 def read_routes(spark: SparkSession, path: str, o_id: int | None = None) -> DataFrame:

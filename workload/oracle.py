@@ -403,7 +403,7 @@ QUALIFY row_number() OVER (PARTITION BY o_id, d_id, trial
 """)
 _fixture("scored_routes", ["fc_located", "fc_packed"], """
 SELECT o_id, d_id, edges[s_site + 1:e_site + 1] AS edges, min(traj_id) AS route_id, count(*) AS freq
-FROM fc_located JOIN fc_packed USING (traj_id) WHERE e_site - s_site + 1 < 400
+FROM fc_located JOIN fc_packed USING (traj_id)
 GROUP BY 1, 2, 3
 """)
 _fixture("first_pick", ["scored_routes"], f"""
