@@ -17,7 +17,7 @@ from tripweave.llm.common import components, cut_lineage, forest, map_arrow, map
 import pyarrow as pa
 
 #: Coordinates of a block, of which so many make the grid; vectors of a group in one task.
-BLOCK, GRID, LIMIT = 16, 2, 2000
+BLOCK, GRID, LIMIT = 16, 2, 12_000
 _SLACK = 1e-9
 
 
