@@ -7,9 +7,8 @@ Three different questions, kept apart:
 * unordered: the trip uses an edge leaving O and an edge entering D, in any order (J6).
 
 All pairs are answered in one job.  What the listed pairs need is filtered first, then spread by trip
-once.  Grouping and joining within trips stays in those partitions, so a hot vertex is spread over all of
-them, and the rows that the list of pairs multiplies are not shuffled while the list is small enough to
-be broadcast.
+once.  Grouping within trips stays in those partitions, so a hot vertex is spread over all of them, and pairs are
+matched as lists: rows are made only for the pairs that a trip has.
 """
 
 from __future__ import annotations
@@ -19,6 +18,9 @@ from pyspark.sql import functions as F
 
 from .lists import BLOCK_BITS, id_blocks
 
+#: Ds of one O that stand in one list.
+LISTED = 4096
+
 
 def od_count(endpoints: DataFrame) -> DataFrame:
     """Trips per (o_id, d_id) (A1)."""
@@ -49,36 +51,50 @@ def _by_trip(df: DataFrame) -> DataFrame:
     return df.repartition("traj_id")
 
 
-def _match(at_o: DataFrame, at_d: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(o_id, d_id, traj_id, s_site, e_site) for listed pairs whose O and D are met in the same trip.
+def _pair_blocks(pairs: DataFrame) -> DataFrame:
+    """(o_id, _block): the Ds of every O, dealt by hash into lists of about ``LISTED`` at most."""
+    sizes = pairs.groupBy("o_id").agg(F.count(F.lit(1)).alias("_n"))
+    block = F.pmod(F.xxhash64("d_id"), F.ceil(F.col("_n") / LISTED))
+    blocks = pairs.join(sizes, "o_id").groupBy("o_id", block.alias("_b")).agg(F.collect_list("d_id").alias("_block"))
+    return blocks.select("o_id", "_block")
 
-    ``at_o`` and ``at_d`` are spread by trip and have one row per trip and vertex.  The Ds of a trip stand
-    next to each of its Os before the pairs multiply the rows, so the multiplied rows need no exchange.
-    """
-    met = at_d.groupBy("traj_id").agg(F.collect_list(F.struct("d_id", "e_site")).alias("_m"))
-    met = met.select("traj_id", F.col("_m.d_id").alias("_ds"), F.col("_m.e_site").alias("_es"))
-    at = F.array_position("_ds", F.col("d_id"))
-    both = at_o.join(met, "traj_id").join(pairs, "o_id").where(at > 0)
-    return both.select("o_id", "d_id", "traj_id", "s_site", F.get("_es", (at - 1).cast("int")).alias("e_site"))
 
+def _match(at: DataFrame, pairs: DataFrame, ordered: bool = True) -> DataFrame:
+    """(o_id, d_id, traj_id, s_site, e_site) for listed pairs whose O and D are met in the same trip.
 
-def _in_order(matched: DataFrame) -> DataFrame:
-    return matched.where(F.col("s_site") < F.col("e_site"))
+    ``at`` (traj_id, o_id, s_site, d_id, e_site) is spread by trip and has one row per trip and place, NULL where the
+    place is no O or no D.  A trip's Os and Ds come together in one grouping; each O then meets the lists of
+    its Ds, and only the Ds that the trip has, after O where ``ordered``, become rows.
+    """
+    met = at.groupBy("traj_id").agg(
+        F.collect_list(F.when(F.col("o_id").isNotNull(), F.struct("o_id", "s_site"))).alias("_o"),
+        F.collect_list(F.when(F.col("d_id").isNotNull(), F.struct("d_id", "e_site"))).alias("_d"),
+    )
+    met = met.select("traj_id", "_d", F.inline("_o"))
+    if ordered:
+        met = met.withColumn("_d", F.filter("_d", lambda d: d["e_site"] > F.col("s_site")))
+    hits = met.where(F.size("_d") > 0).join(_pair_blocks(pairs), "o_id").select(
+        "o_id", "traj_id", "s_site", "_d", F.explode(F.array_intersect("_block", F.col("_d.d_id"))).alias("d_id")
+    )
+    at_d = (F.array_position(F.col("_d.d_id"), F.col("d_id")) - 1).cast("int")
+    return hits.select("o_id", "d_id", "traj_id", "s_site", F.get(F.col("_d.e_site"), at_d).alias("e_site"))
 
 
 def od_by_vertex_index(postings: DataFrame, od: DataFrame) -> DataFrame:
     """(o_id, d_id, traj_id, s_site, e_site) with s_site < e_site, from a vertex index."""
     pairs = _pairs(od)
     met = _by_trip(postings.join(_endpoints(pairs, "key_id"), "key_id", "left_semi"))
-    at_o = met.select(F.col("key_id").alias("o_id"), "traj_id", F.col("site").alias("s_site"))
-    at_d = met.select(F.col("key_id").alias("d_id"), "traj_id", F.col("site").alias("e_site"))
-    return _in_order(_match(at_o, at_d, pairs))
+    at = met.select(
+        "traj_id", F.col("key_id").alias("o_id"), F.col("site").alias("s_site"),
+        F.col("key_id").alias("d_id"), F.col("site").alias("e_site"),
+    )
+    return _match(at, pairs)
 
 
 def _uses(postings: DataFrame, edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(traj_id, site, o_id, d_id) by trip, for postings of edges out of an O or into a D.
+    """(traj_id, o_id, s_site, d_id, e_site) by trip: the first edge out of each O and the first into each D.
 
-    o_id is the edge's start if that is an O, d_id its end if that is a D; the other one is NULL.
+    A row is for one O or for one D; the other one is NULL.
     """
     o = pairs.select("o_id").distinct()
     d = pairs.select("d_id").distinct()
@@ -88,7 +104,21 @@ def _uses(postings: DataFrame, edges: DataFrame, pairs: DataFrame) -> DataFrame:
         .where(F.col("o_id").isNotNull() | F.col("d_id").isNotNull())
         .select(F.col("edge_id").alias("key_id"), "o_id", "d_id")
     )
-    return _by_trip(postings.join(ends, "key_id").select("traj_id", "site", "o_id", "d_id"))
+    uses = _by_trip(postings.join(ends, "key_id").select("traj_id", "site", "o_id", "d_id"))
+    either = F.array(
+        F.struct(F.col("o_id").alias("v"), F.lit(True).alias("is_o")),
+        F.struct(F.col("d_id").alias("v"), F.lit(False).alias("is_o")),
+    )
+    first = (
+        uses.select("traj_id", "site", F.inline(either))
+        .where(F.col("v").isNotNull())
+        .groupBy("traj_id", "v", "is_o")
+        .agg(F.min("site").alias("s_site"))
+    )
+    return first.select(
+        "traj_id", F.when(F.col("is_o"), F.col("v")).alias("o_id"), "s_site",
+        F.when(~F.col("is_o"), F.col("v")).alias("d_id"), F.col("s_site").alias("e_site"),
+    )
 
 
 def od_by_edge_index(postings: DataFrame, edges: DataFrame, od: DataFrame) -> DataFrame:
@@ -98,10 +128,7 @@ def od_by_edge_index(postings: DataFrame, edges: DataFrame, od: DataFrame) -> Da
     over a single edge is not found.
     """
     pairs = _pairs(od)
-    uses = _uses(postings, edges, pairs)
-    at_o = uses.where(F.col("o_id").isNotNull()).groupBy("o_id", "traj_id").agg(F.min("site").alias("s_site"))
-    at_d = uses.where(F.col("d_id").isNotNull()).groupBy("d_id", "traj_id").agg(F.min("site").alias("e_site"))
-    return _in_order(_match(at_o, at_d, pairs))
+    return _match(_uses(postings, edges, pairs), pairs)
 
 
 def od_traj_ids(located: DataFrame) -> DataFrame:
@@ -112,10 +139,7 @@ def od_traj_ids(located: DataFrame) -> DataFrame:
 def od_unordered(postings: DataFrame, edges: DataFrame, od: DataFrame) -> DataFrame:
     """(o_id, d_id, traj_id) for trips with an edge out of O and an edge into D, in any order."""
     pairs = _pairs(od)
-    uses = _uses(postings, edges, pairs)
-    at_o = uses.where(F.col("o_id").isNotNull()).groupBy("o_id", "traj_id").agg(F.min("site").alias("s_site"))
-    at_d = uses.where(F.col("d_id").isNotNull()).groupBy("d_id", "traj_id").agg(F.min("site").alias("e_site"))
-    return _match(at_o, at_d, pairs).select("o_id", "d_id", "traj_id")
+    return _match(_uses(postings, edges, pairs), pairs, ordered=False).select("o_id", "d_id", "traj_id")
 
 
 def od_by_scan(traj_vertices: DataFrame, od: DataFrame) -> DataFrame:
@@ -127,9 +151,10 @@ def od_by_scan(traj_vertices: DataFrame, od: DataFrame) -> DataFrame:
     met = _by_trip(
         traj_vertices.select("traj_id", "site", "vertex_id").join(_endpoints(pairs, "vertex_id"), "vertex_id", "left_semi")
     )
-    at_o = met.groupBy(F.col("vertex_id").alias("o_id"), "traj_id").agg(F.min("site").alias("s_site"))
-    at_d = met.groupBy(F.col("vertex_id").alias("d_id"), "traj_id").agg(F.max("site").alias("e_site"))
-    return _in_order(_match(at_o, at_d, pairs)).select("o_id", "d_id", "traj_id")
+    at = met.groupBy("traj_id", F.col("vertex_id").alias("o_id")).agg(
+        F.min("site").alias("s_site"), F.max("site").alias("e_site")
+    )
+    return _match(at.withColumn("d_id", F.col("o_id")), pairs).select("o_id", "d_id", "traj_id")
 
 
 def od_traj_counts(od_trajs: DataFrame) -> DataFrame:
