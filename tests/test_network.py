@@ -46,17 +46,14 @@ def literal_distance(p, q):
 
 
 def literal_to_segment(p, s, e):
+    """The foot of the height lies ``along`` metres from the start; beyond an end, that end counts."""
     a, b, c = literal_distance(p, s), literal_distance(p, e), literal_distance(s, e)
-    if a < 10 or b < 10:
+    if min(a, b) < 10:
         return 0.0
-    if c < 10:
+    along = (a * a + c * c - b * b) / (2 * c) if c >= 10 else 0.0
+    if along <= 0:
         return a
-    if a * a >= b * b + c * c:
-        return b
-    if b * b >= a * a + c * c:
-        return a
-    half = (a + b + c) / 2
-    return 2 * math.sqrt(max(half * (half - a) * (half - b) * (half - c), 0)) / c
+    return b if along >= c else math.sqrt(max(a * a - along * along, 0.0))
 
 
 @pytest.mark.parametrize("lat0", [-0.01, 39.9, -39.9, 75.0, 89.88])
@@ -73,19 +70,38 @@ def test_nearest_edge_is_the_literal_search(spark, rng, lat0):
         spark.createDataFrame(ends, "edge_id long, s_id long, e_id long"),
         spark.createDataFrame([(i, *p) for i, p in at.items()], "vertex_id long, lng double, lat double"),
     )
-    want = {}
-    for i, x, y in points:
-        h, w = literal_box(y, 500)
-        near = lambda q: x - w <= q[0] <= x + w and y - h <= q[1] <= y + h
-        found = [(round(literal_to_segment((x, y), at[s], at[e]), 5), k) for k, s, e in ends if near(at[s]) and near(at[e])]
-        if found:
-            want[i] = min(found)
-    assert len(want) > 40
     result = {p: (e, m) for p, e, m in rows(got, "point_id", "edge_id", "metres")}
-    assert result.keys() == want.keys()
-    for i, (m, e) in want.items():
-        assert result[i][1] == pytest.approx(m, abs=2e-5)
-        assert result[i][0] == e or literal_to_segment(points[i][1:], *[at[v] for v in ends[result[i][0]][1:]]) == pytest.approx(m, abs=2e-5)
+    assert len(result) == len(points)
+    for i, x, y in points:
+        far = {k: literal_to_segment((x, y), at[s], at[e]) for k, s, e in ends}
+        edge, metres = result[i]
+        assert metres == pytest.approx(min(far.values()), abs=1e-3) and far[edge] == pytest.approx(metres, abs=1e-3)
+
+
+def _snap(spark, points, edges, at):
+    got = network.nearest_edges(
+        spark.createDataFrame(points, "point_id long, lng double, lat double"),
+        spark.createDataFrame(edges, "edge_id long, s_id long, e_id long"),
+        spark.createDataFrame(at, "vertex_id long, lng double, lat double"),
+    )
+    return rows(got, "point_id", "edge_id", "metres")
+
+
+def test_nearest_edge_may_be_long(spark):
+    at = [(1, 116.28, 39.9), (2, 116.32, 39.9), (3, 116.3, 39.9028), (4, 116.3004, 39.9028)]
+    got = _snap(spark, [(1, 116.3, 39.9), (2, 116.31, 39.9)], [(10, 1, 2), (11, 3, 4)], at)
+    assert [(p, e) for p, e, _ in got] == [(1, 10), (2, 10)] and all(m < 0.5 for *_, m in got)
+
+
+def test_nearest_edge_may_be_far(spark, rng):
+    at = [(i, 116.3 + rng.uniform(0, 0.5), 39.9 + rng.uniform(0, 0.5)) for i in range(20)]
+    edges = [(i, rng.randrange(20), rng.randrange(20)) for i in range(15)]
+    points = [(1, 116.4, 40.0), (2, 117.9, 41.0), (3, 80.0, 10.0), (4, -60.0, -40.0), (5, None, 1.0)]
+    got = {p: m for p, _, m in _snap(spark, points, edges, at)}
+    where = {i: q for i, *q in at}
+    for i, x, y in points[:4]:
+        assert got[i] == pytest.approx(min(literal_to_segment((x, y), where[s], where[e]) for _, s, e in edges), abs=1e-2)
+    assert len(got) == 4 and _snap(spark, points, [(1, 98, 99)], at) == []
 
 
 def literal_code(lat, lng, precision):

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo, geohash
+from ..session import cut_lineage
 
 DEFAULT_RADIUS_M = 500.0
 _MARGIN = 1 + 1e-9
 _POLAR = 89.9
+_HALF_GLOBE_M = math.pi * geo.EARTH_RADIUS_M
+_WIDEN = 8
 
 
 def duplicate_vertices(vertices: DataFrame) -> DataFrame:
@@ -97,13 +102,11 @@ def _home_cell(df: DataFrame, lng: str, lat: str, radius_m: float) -> DataFrame:
     )
 
 
-def _cells_between(df: DataFrame, lng: str, lat: str, h: Column, w: Column, radius_m: float) -> DataFrame:
-    """Every cell within lng +- w and lat +- h; NULL w means all columns."""
-    first, last = _row(F.col(lat) - h, radius_m), _row(F.col(lat) + h, radius_m)
-    rows = df.withColumn("_row", F.explode(F.sequence(first, last)))
-    west = F.greatest(F.coalesce(F.col(lng) - w, F.lit(-180.0)), F.lit(-180.0))
-    east = F.least(F.coalesce(F.col(lng) + w, F.lit(180.0)), F.lit(180.0))
-    lo, hi = _col(west, F.col("_row"), radius_m), _col(east, F.col("_row"), radius_m)
+def _cells_of_box(df: DataFrame, west: Column, east: Column, south: Column, north: Column, radius_m: float) -> DataFrame:
+    """Every cell that the box touches."""
+    rows = df.withColumn("_row", F.explode(F.sequence(_row(south, radius_m), _row(north, radius_m))))
+    lo = _col(F.greatest(west, F.lit(-180.0)), F.col("_row"), radius_m)
+    hi = _col(F.least(east, F.lit(180.0)), F.col("_row"), radius_m)
     return rows.withColumn("_col", F.explode(F.sequence(lo, hi)))
 
 
@@ -114,18 +117,32 @@ def _near_cells(df: DataFrame, lng: str, lat: str, radius_m: float) -> DataFrame
     """
     h = F.lit(geo.half_height_deg(radius_m) * _MARGIN)
     w = geo.half_width_deg(F.col(lat), radius_m) * F.lit(_MARGIN)
-    return _cells_between(df, lng, lat, h, w, radius_m)
+    x, y = F.col(lng), F.col(lat)
+    return _cells_of_box(df, x - w, x + w, y - h, y + h, radius_m)
 
 
-def _reached_from_cells(df: DataFrame, lng: str, lat: str, radius_m: float) -> DataFrame:
-    """Every cell that holds a position whose box can contain the row's position.
+def _cells_along(segments: DataFrame, radius_m: float) -> DataFrame:
+    """Every cell with a position within ``radius_m`` of the segment; a cell may come more than once.
 
-    Boxes widen toward the poles, so the widest box a height away decides; at a pole all columns do.
+    A segment is cut into pieces of at most two radii, so a long one files a number of cells in proportion to
+    its length.  Boxes are widened by the bend of the great circle against the straight line of degrees, and by a metre.
     """
-    height = geo.half_height_deg(radius_m) * _MARGIN
-    far = F.abs(lat) + F.lit(height)
-    w = F.when(far < _POLAR, geo.half_width_deg(far, radius_m) * F.lit(_MARGIN))
-    return _cells_between(df, lng, lat, F.lit(height), w, radius_m)
+    n = F.greatest(F.ceil(F.col("_c") / (2 * radius_m)), F.lit(1))
+    df = segments.withColumn("_n", n).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)))
+
+    def ends(axis: str) -> tuple[Column, Column]:
+        at = [F.col(f"s_{axis}") + (F.col(f"e_{axis}") - F.col(f"s_{axis}")) * (F.col("_i") + k) / F.col("_n") for k in (0, 1)]
+        return F.least(*at), F.greatest(*at)
+
+    (west, east), (south, north) = ends("lng"), ends("lat")
+    polar = F.least(F.greatest(F.abs("s_lat"), F.abs("e_lat")), F.lit(_POLAR))
+    bend = F.col("_c") * F.col("_c") * F.tan(F.radians(polar)) / F.lit(4 * geo.EARTH_RADIUS_M)
+    df = df.withColumn("_reach", (F.lit(radius_m + 1) + bend) * F.lit(_MARGIN))
+    h = F.col("_reach") * F.lit(geo.half_height_deg(1.0))
+    far = F.greatest(F.abs(south), F.abs(north)) + h
+    w = F.when(far < _POLAR, geo.half_width_deg(far, 1.0) * F.col("_reach")).otherwise(F.lit(360.0))
+    south, north = F.greatest(south - h, F.lit(-90.0)), F.least(north + h, F.lit(90.0))
+    return _cells_of_box(df, west - w, east + w, south, north, radius_m).drop("_n", "_i", "_reach")
 
 
 def region_vertices(centres: DataFrame, vertices: DataFrame, radius_m: float = DEFAULT_RADIUS_M) -> DataFrame:
@@ -165,44 +182,48 @@ def region_edges(edges: DataFrame, regions: DataFrame) -> DataFrame:
 def nearest_edges(
     points: DataFrame, edges: DataFrame, vertices: DataFrame, radius_m: float = DEFAULT_RADIUS_M, digits: int = 6
 ) -> DataFrame:
-    """(point_id, edge_id, metres): the nearest edge with both ends in the box around each point.
+    """(point_id, edge_id, metres): the nearest edge of every point, however far.
 
-    Distances are compared after rounding to ``digits``; ties go to the smaller edge_id.  Points without
-    an edge in their box have no row.
+    Distances are compared after rounding to ``digits``; ties go to the smaller edge_id.  Points without a position,
+    and edges with an end that has none, are left out; an edge does not cross the date line.
+
+    The search goes outwards: edges are filed under the cells within ``radius_m`` of them, and a nearest edge
+    inside that distance is final.  The positions left are searched again with a radius eight times as large, up to the
+    whole globe.  Every level is written (:func:`cut_lineage`), so this runs jobs.
 
     Points at the same position and edges with the same geometry are taken once, so copies never multiply.
-    The edges, the smaller side, are copied to the cells around them and each position stays one row;
-    candidates go straight into a map-side minimum and are not shuffled.
+    Candidates go straight into a map-side minimum and are not shuffled.
     """
-    spots = points.select("lng", "lat").distinct()
-    located = _with_ends(edges.select("edge_id", "s_id", "e_id"), vertices)
     shape = ["s_lng", "s_lat", "e_lng", "e_lat"]
-    segments = located.groupBy(*shape).agg(F.min("edge_id").alias("edge_id")).withColumn(
-        "_c", geo.haversine(*[F.col(x) for x in shape])
-    )
-    spots = _home_cell(spots, "lng", "lat", radius_m)
-    segments = _reached_from_cells(segments, "s_lng", "s_lat", radius_m)
-    p_lng, p_lat = F.col("lng"), F.col("lat")
-    both = geo.in_box(F.col("s_lng"), F.col("s_lat"), p_lng, p_lat, radius_m) & geo.in_box(
-        F.col("e_lng"), F.col("e_lat"), p_lng, p_lat, radius_m
+    located = _with_ends(edges.select("edge_id", "s_id", "e_id"), vertices).dropna(subset=shape)
+    segments = cut_lineage(
+        located.groupBy(*shape).agg(F.min("edge_id").alias("edge_id")).withColumn("_c", geo.haversine(*map(F.col, shape)))
     )
-    metres = F.round(
-        geo.point_to_segment(
-            geo.haversine(p_lng, p_lat, F.col("s_lng"), F.col("s_lat")),
-            geo.haversine(p_lng, p_lat, F.col("e_lng"), F.col("e_lat")),
-            F.col("_c"),
-        ),
-        digits,
-    )
-    best = (
-        spots.join(segments, ["_row", "_col"])
-        .where(both)
-        .select("lng", "lat", "edge_id", metres.alias("metres"))
-        .groupBy("lng", "lat")
-        .agg(F.min(F.struct("metres", "edge_id")).alias("_b"))
-    )
-    return points.join(best, ["lng", "lat"]).select(
-        "point_id", F.col("_b.edge_id").alias("edge_id"), F.col("_b.metres").alias("metres")
+    left = points.select("lng", "lat").dropna().distinct()
+    levels = []
+    while True:
+        whole = radius_m >= _HALF_GLOBE_M
+        found = cut_lineage(_nearest_filed(left, segments, radius_m, digits))
+        final = F.col("metres").isNotNull() if whole else F.coalesce(F.col("metres") <= radius_m, F.lit(False))
+        levels.append(found.where(final))
+        left = found.where(~final).select("lng", "lat")
+        if whole or left.isEmpty():
+            break
+        radius_m *= _WIDEN
+    return points.join(reduce(DataFrame.unionByName, levels), ["lng", "lat"]).select("point_id", "edge_id", "metres")
+
+
+def _nearest_filed(spots: DataFrame, segments: DataFrame, radius_m: float, digits: int) -> DataFrame:
+    """(lng, lat, edge_id, metres): the nearest of the segments filed under each position's cell, NULL if there is none."""
+    lng, lat = F.col("lng"), F.col("lat")
+    to_start = geo.haversine(lng, lat, F.col("s_lng"), F.col("s_lat"))
+    to_end = geo.haversine(lng, lat, F.col("e_lng"), F.col("e_lat"))
+    metres = F.round(geo.point_to_segment(to_start, to_end, F.col("_c")), digits)
+    best = F.when(F.col("edge_id").isNotNull(), F.struct(metres.alias("metres"), "edge_id"))
+    met = _home_cell(spots, "lng", "lat", radius_m).join(_cells_along(segments, radius_m), ["_row", "_col"], "left")
+    return (
+        met.select("lng", "lat", best.alias("_b")).groupBy("lng", "lat").agg(F.min("_b").alias("_b"))
+        .select("lng", "lat", "_b.edge_id", "_b.metres")
     )
 
 

@@ -490,8 +490,7 @@ SELECT a.centre_id, edge_id FROM fn_edges JOIN regions a ON a.vertex_id = s_id
 _oracle("nearest_edge", ["fp_points", "fn_located"], f"""
 WITH d AS (SELECT point_id, edge_id, {_haversine("lng", "lat", "s_lng", "s_lat")} AS a,
                   {_haversine("lng", "lat", "e_lng", "e_lat")} AS b, {_haversine("s_lng", "s_lat", "e_lng", "e_lat")} AS c
-           FROM fp_points JOIN fn_located
-             ON {_box("s_lng", "s_lat", "lng", "lat")} AND {_box("e_lng", "e_lat", "lng", "lat")}),
+           FROM fp_points CROSS JOIN fn_located),
      m AS (SELECT point_id, edge_id,
                   round(CASE WHEN a < 10 OR b < 10 THEN 0 WHEN c < 10 THEN a
                              WHEN a * a >= b * b + c * c THEN b WHEN b * b >= a * a + c * c THEN a
