@@ -28,8 +28,13 @@ def literal_count(route, o, d, trial, sample, trips, p):
             return count
 
 
-def literal_sample(pool, trial, p):
-    return [t for _, t in sorted((h60(p.seed, "s", trial, t), t) for t in pool)][: p.sample]
+def literal_sample(pool, o, d, trial, p):
+    numbered = [t for _, t in sorted((h60(p.seed, "n", t) % 4096, t) for t in pool)]
+    taken = set()
+    for j in range(max(len(pool) - p.sample, 0), len(pool)):
+        t = h60(p.seed, "s", o, d, trial, j) % (j + 1)
+        taken.add(j if t in taken else t)
+    return [numbered[i] for i in taken]
 
 
 @pytest.mark.parametrize(
@@ -57,12 +62,12 @@ def test_counts_are_the_literal_loop(spark, rng, params):
     want = {}
     for o, d, r, edges in rows(given.routes, "o_id", "d_id", "route_id", "edges"):
         for trial in range(params.trials):
-            sample = literal_sample(pool[(o, d)], trial, params)
+            sample = literal_sample(pool[(o, d)], o, d, trial, params)
             want[(o, d, r, trial)] = literal_count(edges, o, d, trial, sample, walks.edges, params)
     assert got == want
     samples = anomaly.draw_samples(given.pool, params)
     assert rows(samples, "o_id", "d_id", "trial", "traj_id") == sorted(
-        (*k, trial, t) for k, ids in pool.items() for trial in range(params.trials) for t in literal_sample(ids, trial, params)
+        (*k, trial, t) for k, ids in pool.items() for trial in range(params.trials) for t in literal_sample(ids, *k, trial, params)
     )
 
 

@@ -22,6 +22,7 @@ from ..functions.paths import path_text, slice_sites
 
 OD = ["o_id", "d_id"]
 _WORD = 64
+_BUCKETS = 4096
 
 # Fixed value: the Euler constant as the score formula uses it.
 EULER = 0.57721566
@@ -50,34 +51,62 @@ def _spread(df: DataFrame, *by: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
+def _numbered(pool: DataFrame, p: IsolationParams) -> DataFrame:
+    """(o_id, d_id, traj_id, pos): the trips of every pair numbered from 0.
+
+    A pair's trips are dealt into ``_BUCKETS`` by hash, numbered inside each, and shifted by the sizes of the buckets
+    before it, so a hot pair is not one task.
+    """
+    bucket = hash60(F.lit(p.seed), F.lit("n"), F.col("traj_id")) % _BUCKETS
+    keyed = pool.select(*OD, "traj_id", bucket.alias("_bucket"))
+    before = Window.partitionBy(*OD).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        keyed.groupBy(*OD, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+        .select(*OD, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    )
+    inside = Window.partitionBy(*OD, "_bucket").orderBy("traj_id")
+    ranked = keyed.withColumn("_rn", F.row_number().over(inside))
+    return ranked.join(offsets, [*OD, "_bucket"]).select(*OD, "traj_id", (F.col("_off") + F.col("_rn") - 1).alias("pos"))
+
+
 def draw_samples(pool: DataFrame, p: IsolationParams) -> DataFrame:
     """(o_id, d_id, trial, traj_id, idx): per pair and trial, ``sample`` different trips of the pool (B1).
 
-    Trips are ordered by hash and the first ones taken; a smaller pool is taken whole.  The rank filter
-    is applied in every map task before the shuffle, so a hot pair ships at most ``sample`` rows per task
-    and trial.
+    Positions are drawn inside one row per pair and trial by Floyd's method: for j from N - n to N - 1 a random position
+    up to j is taken, or j itself where that one is taken already; every sample is equally likely.  So rows grow with
+    pairs x trials x ``sample`` whatever the pool; a smaller pool is taken whole.
     """
+    sizes = pool.groupBy(*OD).agg(F.count(F.lit(1)).alias("_size"))
     trial = F.explode(F.sequence(F.lit(0), F.lit(p.trials - 1))).alias("trial")
-    drawn = _spread(pool.select(*OD, "traj_id"), "traj_id").select(*OD, "traj_id", trial).withColumn(
-        "_h", hash60(F.lit(p.seed), F.lit("s"), F.col("trial"), F.col("traj_id"))
-    )
-    w = Window.partitionBy(*OD, "trial").orderBy("_h", "traj_id")
-    return (
-        drawn.withColumn("_rn", F.row_number().over(w))
-        .where(F.col("_rn") <= p.sample)
-        .select(*OD, "trial", "traj_id", (F.col("_rn") - 1).alias("idx"))
+    rows = _spread(sizes.select(*OD, "_size", trial), *OD, "trial")
+    first = F.greatest(F.col("_size") - p.sample, F.lit(0).cast("bigint"))
+
+    def step(j: Column) -> Column:
+        return F.struct(j.alias("j"), (hash60(F.lit(p.seed), F.lit("s"), *map(F.col, [*OD, "trial"]), j) % (j + 1)).alias("t"))
+
+    drawn = F.aggregate(
+        F.transform(F.sequence(first, F.col("_size") - 1), step),
+        F.array().cast("array<bigint>"),
+        lambda taken, x: F.array_append(taken, F.when(F.array_contains(taken, x["t"]), x["j"]).otherwise(x["t"])),
     )
+    picks = rows.select(*OD, "trial", F.posexplode(drawn).alias("idx", "pos"))
+    return picks.join(_numbered(pool, p), [*OD, "pos"]).select(*OD, "trial", "traj_id", "idx")
 
 
-def sample_masks(samples: DataFrame, postings: DataFrame, p: IsolationParams) -> DataFrame:
-    """(o_id, d_id, trial, edge_id, m0, m1, ...): which sampled trips use the edge anywhere."""
+def sample_masks(samples: DataFrame, postings: DataFrame, routes: DataFrame, p: IsolationParams) -> DataFrame:
+    """(o_id, d_id, trial, edge_id, m0, m1, ...): which sampled trips use the edge anywhere.
+
+    Only edges of the pair's own routes can be picked, so only these have masks (J13).
+    """
     uses = postings.select(F.col("key_id").alias("edge_id"), "traj_id")
     bit = F.expr(f"shiftleft(1L, cast(idx % {_WORD} AS int))")
     words = [
         F.bit_or(F.when(F.floor(F.col("idx") / _WORD) == i, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"m{i}")
         for i in range(p.words)
     ]
-    return samples.join(uses, "traj_id").groupBy(*OD, "trial", "edge_id").agg(*words)
+    needed = routes.select(*OD, F.explode("edges").alias("edge_id")).distinct()
+    used = samples.join(uses, "traj_id").join(needed, [*OD, "edge_id"], "left_semi")
+    return used.groupBy(*OD, "trial", "edge_id").agg(*words)
 
 
 def first_picks(routes: DataFrame, p: IsolationParams) -> DataFrame:
@@ -107,7 +136,7 @@ def isolation_counts(routes: DataFrame, pool: DataFrame, postings: DataFrame, p:
     ``routes`` are merged routes (route_id unique within a pair), ``pool`` the trips (o_id, d_id, traj_id)
     to sample from, ``postings`` the edge index of whole trips.
     """
-    masks = sample_masks(draw_samples(pool, p), postings, p)
+    masks = sample_masks(draw_samples(pool, p), postings, routes, p)
     words = [f"m{i}" for i in range(p.words)]
     zero = F.lit(0).cast("bigint")
     picks = first_picks(routes, p).join(masks, [*OD, "trial", "edge_id"], "left")

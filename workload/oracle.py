@@ -395,11 +395,22 @@ GROUP BY 1, 2, 3, 4
 
 _H = "CAST('0x' || substr(md5(concat_ws('|', {args})), 1, 15) AS BIGINT)"
 
-_fixture("samples", ["fc_located"], f"""
-SELECT o_id, d_id, trial, traj_id
-FROM fc_located CROSS JOIN (SELECT unnest(range(0, {PARAMS.trials})) AS trial)
-QUALIFY row_number() OVER (PARTITION BY o_id, d_id, trial
-        ORDER BY {_H.format(args=f"{PARAMS.seed}, 's', trial, traj_id")}, traj_id) <= {PARAMS.sample}
+_fixture("pools", ["fc_located"], "SELECT o_id, d_id, count(*) AS n FROM fc_located GROUP BY 1, 2")
+# One position is drawn per step; of the states only the last of each trial is used.
+_fixture("drawn", ["pools"], f"""
+SELECT o_id, d_id, trial, n, greatest(n - {PARAMS.sample}, 0) AS j, CAST([] AS BIGINT[]) AS taken
+FROM pools CROSS JOIN (SELECT unnest(range(0, {PARAMS.trials})) AS trial)
+UNION ALL
+SELECT o_id, d_id, trial, n, j + 1, list_append(taken, CASE WHEN list_contains(taken, t) THEN j ELSE t END)
+FROM (SELECT *, {_H.format(args=f"{PARAMS.seed}, 's', o_id, d_id, trial, j")} % (j + 1) AS t FROM drawn WHERE j < n)
+""")
+_fixture("samples", ["drawn", "fc_located"], f"""
+SELECT o_id, d_id, trial, traj_id, idx
+FROM (SELECT o_id, d_id, trial, unnest(taken) AS pos, unnest(range(0, len(taken))) AS idx FROM drawn WHERE j = n)
+JOIN (SELECT o_id, d_id, traj_id,
+             row_number() OVER (PARTITION BY o_id, d_id
+               ORDER BY {_H.format(args=f"{PARAMS.seed}, 'n', traj_id")} % 4096, traj_id) - 1 AS pos
+      FROM fc_located) USING (o_id, d_id, pos)
 """)
 _fixture("scored_routes", ["fc_located", "fc_packed"], """
 SELECT o_id, d_id, edges[s_site + 1:e_site + 1] AS edges, min(traj_id) AS route_id, count(*) AS freq
@@ -414,28 +425,29 @@ FROM (SELECT o_id, d_id, route_id, trial, k,
                          CROSS JOIN (SELECT unnest(range(1, {PARAMS.max_steps + 1})) AS k))
 GROUP BY 1, 2, 3, 4, 5
 """)
-# The k-th pick drops a sampled trip that lacks the picked edge, so a trip leaves at its first such pick.
-# At most end_size trips are left once the (end_size + 1)-th longest surviving one has left.
-_fixture("counts", ["samples", "first_pick", "fc_post_e"], f"""
+# The sampled trips that use an edge are a bit string; those left after k picks are the AND of the strings so far.
+_NONE = f"CAST(repeat('0', {PARAMS.sample}) AS BIT)"
+_fixture("masks", ["samples", "fc_post_e"], f"""
+SELECT o_id, d_id, trial, key_id AS edge_id, bit_or(set_bit({_NONE}, CAST(idx AS INTEGER), 1)) AS m
+FROM samples JOIN fc_post_e USING (traj_id) GROUP BY 1, 2, 3, 4
+""")
+_fixture("counts", ["masks", "first_pick"], f"""
 SELECT o_id, d_id, route_id, trial,
-       CAST(least({PARAMS.max_steps}, greatest(1,
-         coalesce(list_reverse_sort(list(fail))[{PARAMS.end_size + 1}], 1))) AS BIGINT) AS cnt
-FROM (SELECT s.o_id, s.d_id, p.route_id, s.trial, s.traj_id,
-             coalesce(min(CASE WHEN e.traj_id IS NULL THEN p.k END), {PARAMS.max_steps + 1}) AS fail
-      FROM samples s JOIN first_pick p ON p.o_id = s.o_id AND p.d_id = s.d_id AND p.trial = s.trial
-           LEFT JOIN fc_post_e e ON e.key_id = p.edge_id AND e.traj_id = s.traj_id
-      GROUP BY 1, 2, 3, 4, 5)
+       CAST(coalesce(min(CASE WHEN remaining <= {PARAMS.end_size} THEN k END), {PARAMS.max_steps}) AS BIGINT) AS cnt
+FROM (SELECT o_id, d_id, route_id, trial, k,
+             bit_count(bit_and(coalesce(m, {_NONE})) OVER (PARTITION BY o_id, d_id, route_id, trial ORDER BY k)) AS remaining
+      FROM first_pick LEFT JOIN masks USING (o_id, d_id, trial, edge_id))
 GROUP BY 1, 2, 3, 4
 """)
-_oracle("trial_samples", ["samples"], "SELECT o_id, d_id, trial, traj_id FROM samples")
-_oracle("isolation_counts", ["counts"], "SELECT o_id, d_id, route_id, trial, cnt FROM counts")
+_oracle("trial_samples", ["samples"], "SELECT o_id, d_id, trial, traj_id FROM samples", recursive=True)
+_oracle("isolation_counts", ["counts"], "SELECT o_id, d_id, route_id, trial, cnt FROM counts", recursive=True)
 _oracle("anomaly_score", ["counts", "scored_routes", "fc_located"], f"""
 WITH sizes AS (SELECT o_id, d_id, least(count(*), {PARAMS.sample})::DOUBLE AS n FROM fc_located GROUP BY 1, 2),
      means AS (SELECT o_id, d_id, route_id, avg(cnt) AS m FROM counts GROUP BY 1, 2, 3)
 SELECT r.o_id, r.d_id, array_to_string(r.edges, ',') AS path, r.freq,
        round(CASE WHEN n >= 2 THEN pow(2.0::DOUBLE, -(m / (2 * (ln(n - 1) + 0.57721566::DOUBLE) - 2 * (n - 1) / n))) END, 6) AS score
 FROM scored_routes r JOIN means USING (o_id, d_id, route_id) JOIN sizes USING (o_id, d_id)
-""")
+""", recursive=True)
 
 # --- network ------------------------------------------------------------------------------------
 

@@ -19,7 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 FB_MIN_COUNT = 2
 FC_MIN_COUNT = 100
-PARAMS = anomaly.IsolationParams(trials=10, sample=64)
+PARAMS = anomaly.IsolationParams(trials=100, sample=256)
 
 
 def query(build: Callable[[Fixtures], DataFrame]):
