@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from conftest import Walks, rows
 from tripweave.operators import routes
+from tripweave.sinks import tables as sink
+from tripweave.sources import tables
 from tripweave.sources import text as src
 from tripweave.streaming import route_store
 
@@ -36,3 +38,15 @@ def test_micro_batches_of_trip_lines(spark, rng, tmp_path):
         write(spark.createDataFrame(lines[i::3], "value string"), i)
     want = routes.merge_routes(routes.trip_routes(walks.traj_edges, walks.network))
     assert rows(route_store.read_store(spark, f"{tmp_path}/store"), *COLUMNS) == rows(want, *COLUMNS)
+
+
+def test_scores_are_read_back(spark, walks, tmp_path):
+    merged = routes.merge_routes(routes.trip_routes(walks.traj_edges, walks.network))
+    scored = merged.withColumn("score", F.col("route_id") / 100.0)
+    sink.write_routes(scored, f"{tmp_path}/scored")
+    sink.write_routes(merged, f"{tmp_path}/plain")
+    columns = [*COLUMNS, "vertices", "ends", "score"]
+    assert rows(tables.read_routes(spark, f"{tmp_path}/scored"), *columns) == rows(scored, *columns)
+    plain = tables.read_routes(spark, f"{tmp_path}/plain")
+    assert rows(plain, *COLUMNS) == rows(merged, *COLUMNS) and plain.where("score IS NOT NULL").isEmpty()
+    assert tables.read_routes(spark, f"{tmp_path}/none").isEmpty()

@@ -14,3 +14,4 @@ ROUTES = (
     "o_id BIGINT, d_id BIGINT, route_id BIGINT, edges ARRAY<BIGINT>, vertices ARRAY<BIGINT>, "
     "ends ARRAY<BIGINT>, freq BIGINT"
 )
+SCORED_ROUTES = ROUTES + ", score DOUBLE"

@@ -27,6 +27,9 @@ def read_postings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_routes(spark: SparkSession, path: str, o_id: int | None = None) -> DataFrame:
-    """Stored routes, of one origin or of all; empty where nothing is stored."""
-    routes = read_table(spark, path, schemas.ROUTES)
+    """Stored routes, of one origin or of all; empty where nothing is stored.
+
+    Columns that were not written, such as the score of routes without one, are NULL.
+    """
+    routes = read_table(spark, path, schemas.SCORED_ROUTES)
     return routes if o_id is None else routes.where(F.col("o_id") == o_id)

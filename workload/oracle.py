@@ -449,6 +449,9 @@ SELECT r.o_id, r.d_id, array_to_string(r.edges, ',') AS path, r.freq,
 FROM scored_routes r JOIN means USING (o_id, d_id, route_id) JOIN sizes USING (o_id, d_id)
 """, recursive=True)
 
+# Storing must not change them.
+ORACLE_SQL["load_scored_routes"] = ORACLE_SQL["anomaly_score"]
+
 # --- network ------------------------------------------------------------------------------------
 
 _fixture("duplicates", ["fn_vertices"], """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,10 @@ from pyspark.sql import functions as F
 from tripweave.functions.paths import contains_sub_route, edge_count, path_text, same_route
 from tripweave.operators import anomaly, index, network, od, paths, routes, transfer, trie
 from tripweave.plans import jobs
+from tripweave.session import shared_folder
+from tripweave.sinks import tables as stored
 from tripweave.sinks import text as out
+from tripweave.sources import tables
 from tripweave.sources import text as src
 
 from .fixtures import Fixtures
@@ -451,6 +455,15 @@ def anomaly_score(f):
     return scored.select("o_id", "d_id", path_text(F.col("edges")).alias("path"), "freq", r6("score"))
 
 
+@branching_query
+def load_scored_routes(f):
+    """Scored routes written as a table and read back."""
+    path = f"{shared_folder(f.spark).rstrip('/')}/tripweave/{f.spark.conf.get('spark.app.id')}/routes-{uuid.uuid4().hex}"
+    stored.write_routes(jobs.score_pairs(f.fc_edges, f.fc_network, fc_pairs(f), PARAMS), path)
+    read = tables.read_routes(f.spark, path)
+    return read.select("o_id", "d_id", path_text(F.col("edges")).alias("path"), "freq", r6("score"))
+
+
 # --- network ------------------------------------------------------------------------------------
 
 
