@@ -74,6 +74,22 @@ def test_embedding_links_equal_all_pairs(spark, monkeypatch):
     assert embedding.join(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("limit", [40, 16_000])
+def test_embedding_links_of_single_precision_vectors_of_two_lengths(spark, monkeypatch, limit):
+    monkeypatch.setattr(embedding, "LIMIT", limit)
+    r = np.random.default_rng(2)
+    v = []
+    for d in (60, 64):  # both padded to 64
+        centres = r.normal(size=(30, d))
+        v += [(centres[k % 30 if k % 2 else 0] + r.normal(size=d) * 0.25).astype("f4") for k in range(250)]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").repartition(3)
+    unit = [x.astype("f8") / np.linalg.norm(x.astype("f8")) for x in v]
+    pairs = [(i, j) for i in range(500) for j in range(i) if len(v[i]) == len(v[j]) and unit[i] @ unit[j] >= 0.9]
+    root, n = joined(500, pairs), collections.Counter(x for p in pairs for x in p)
+    assert len(pairs) > 5000
+    assert {x[0]: (x[1], x[2]) for x in embedding.join(df).collect()} == {i: (n[i], root[i]) for i in range(500)}
+
+
 def test_ppm_equals_a_literal_model(spark, texts, monkeypatch):
     small = {i: t for i, t in texts.items() if i != 5}
     learn = lambda i: i % 3 != 0

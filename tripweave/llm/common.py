@@ -115,13 +115,16 @@ def map_groups(df: DataFrame, group: str, fn, ddl: str, rows: int = 20_000, size
     return map_arrow(df.repartition(group).sortWithinPartitions(group), run, ddl)
 
 
-def split_groups(df: DataFrame, group: str, member: str, limit: int) -> DataFrame:
+def split_groups(df: DataFrame, group: str, member: str, limit: int, sizes: DataFrame | None = None) -> DataFrame:
     """Deal groups of two rows or more into bounded groups in which every two rows of a group meet once.
 
     A group of n rows gets ceil(n / limit) salts and one new group for every two of them: column ``sub``.
     ``side`` is 0 or 1; where ``cross`` holds, only rows of different sides are to be compared.
+    ``sizes`` (group, _n), if known already, spares counting them.
     """
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    if sizes is None:
+        sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.filter("_n > 1")
     salts = F.ceil(F.col("_n") / F.lit(limit)).cast("int")
     return (
         df.join(sizes, group)
