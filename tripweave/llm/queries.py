@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripweave.llm import archive, bpe, decontaminate, embedding, jaccard, language, ppm, quality, secret_scan, suffix
+from tripweave.llm import archive, bpe, decontaminate, embedding, jaccard, language, ppm, quality, secret_scan, shard, spelling, sql, suffix, whitening
 from tripweave.llm.common import remainder, table
 from tripweave.session import shared_folder
 
@@ -74,6 +74,27 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.flagged(table(spark, sf_dir, "documents"), items)
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by doc_id in 40 contiguous shards of near equal bytes."""
+    docs = table(spark, sf_dir, "documents")
+    sized = docs.select("doc_id", shard.text_bytes().alias("size"), shard.text_crc32().alias("text_crc32"))
+    placed = shard.balanced(sized, [F.col("doc_id"), F.col("text_crc32"), F.col("size")], F.col("size"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors on the four leading components of the different ones, at unit variance."""
+    grid = whitening.on_grid(table(spark, sf_dir, "embeddings"))
+    return whitening.whiten(grid, whitening.fit(grid))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their near words, and the frequent form that each is a variant of."""
+    return spelling.group(spelling.corpus_words(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_embedding_copies": op1_embedding_copies,
     "op2_ppm_score": op2_ppm_score,
@@ -85,5 +106,8 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_bpe": op9_bpe,
     "op10_decontaminate": op10_decontaminate,
+    "op11_sharding": op11_sharding,
+    "op12_whitening": op12_whitening,
+    "op13_spelling": op13_spelling,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op11_sharding": sql.SHARDS, "op13_spelling": sql.SPELLING}
