@@ -104,6 +104,47 @@ def test_nearest_edge_may_be_far(spark, rng):
     assert len(got) == 4 and _snap(spark, points, [(1, 98, 99)], at) == []
 
 
+def test_nearest_edge_anywhere_on_the_globe(spark, rng):
+    """Points beyond every radius, at the poles and across the date line; edges of a few metres and of thousands of km."""
+    spot = lambda: (rng.uniform(-180, 180), math.degrees(math.asin(rng.uniform(-1, 1))))
+    at, edges = {}, []
+    for i in range(120):
+        x, y = spot()
+        size = 10.0 ** rng.uniform(-4, 1.3)
+        at[2 * i], at[2 * i + 1] = (x, y), (x + rng.uniform(-size, size), max(-90.0, min(90.0, y + rng.uniform(-size, size))))
+        edges.append((i, 2 * i, 2 * i + 1))
+    points = [(i, *spot()) for i in range(200)] + [(300, 10.0, 90.0), (301, -77.0, -90.0), (302, 180.0, 0.0), (303, -180.0, 0.0)]
+    points += [(400 + i, at[2 * i][0] + 0.001, at[2 * i][1]) for i in range(100)]
+    got = {p: (e, m) for p, e, m in _snap(spark, points, edges, [(i, *q) for i, q in at.items()])}
+    assert len(got) == len(points)
+    for i, x, y in points:
+        best = min(literal_to_segment((x, y), at[s], at[e]) for _, s, e in edges)
+        assert got[i][1] == pytest.approx(best, abs=0.5, rel=1e-6), i
+
+
+def test_far_points_meet_few_edges(spark, rng):
+    """Points a thousand km from a town: each meets a small share of its edges."""
+    at = [(i, 116.3 + rng.uniform(0, 0.4), 39.9 + rng.uniform(0, 0.4)) for i in range(2000)]
+    edges = [(i, i, rng.randrange(2000)) for i in range(2000)]
+    short = [(i, s, e) for i, s, e in edges if math.dist(at[s][1:], at[e][1:]) < 0.05]
+    town = network._with_ends(
+        spark.createDataFrame(short, "edge_id long, s_id long, e_id long"),
+        spark.createDataFrame(at, "vertex_id long, lng double, lat double"),
+    ).select("s_lng", "s_lat", "e_lng", "e_lat", "edge_id")
+    from tripweave.functions import geo
+
+    segments = town.withColumn("_c", geo.haversine(*map(F.col, ["s_lng", "s_lat", "e_lng", "e_lat"])))
+    spots = spark.createDataFrame([(120.0 + i, 30.0 + i) for i in range(10)], "lng double, lat double")
+    met = []
+    real = network._nearest_of
+    network._nearest_of = lambda df, digits: met.append(df.count()) or real(df, digits)
+    try:
+        assert network._nearest_far(spots, segments, 500.0, 6).count() == 10
+    finally:
+        network._nearest_of = real
+    assert len(short) > 20 and met[0] < 10 * len(short) / 2
+
+
 def literal_code(lat, lng, precision):
     symbols, box, code, out = geohash.SYMBOLS, {"x": [-180.0, 180.0], "y": [-90.0, 90.0]}, 0, ""
     for step in range(5 * precision):

@@ -27,6 +27,12 @@ def haversine(lng1: Column, lat1: Column, lng2: Column, lat2: Column) -> Column:
     return _d(EARTH_RADIUS_M) * 2 * F.atan2(F.sqrt(a), F.sqrt(1 - a))
 
 
+def unit_vector(lng: Column, lat: Column) -> tuple[Column, Column, Column]:
+    """The position on a sphere of radius 1."""
+    x, y = lng * _d(_RAD), lat * _d(_RAD)
+    return F.cos(y) * F.cos(x), F.cos(y) * F.sin(x), F.sin(y)
+
+
 def half_height_deg(radius_m: float) -> float:
     """Latitude half-extent of the box around a point."""
     return 1 / METRES_PER_DEGREE * radius_m

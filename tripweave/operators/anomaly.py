@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash60
 from ..functions.paths import path_text, slice_sites
+from ..session import spread
 
 OD = ["o_id", "d_id"]
 _WORD = 64
@@ -43,14 +44,6 @@ class IsolationParams:
         return math.ceil(self.sample / _WORD)
 
 
-def _spread(df: DataFrame, *by: str) -> DataFrame:
-    """Full parallelism for a step whose rows are few bytes but much work.
-
-    A given number of partitions is not merged by adaptive execution, which only looks at bytes.
-    """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
-
-
 def _numbered(pool: DataFrame, p: IsolationParams) -> DataFrame:
     """(o_id, d_id, traj_id, pos): the trips of every pair numbered from 0.
 
@@ -78,7 +71,7 @@ def draw_samples(pool: DataFrame, p: IsolationParams) -> DataFrame:
     """
     sizes = pool.groupBy(*OD).agg(F.count(F.lit(1)).alias("_size"))
     trial = F.explode(F.sequence(F.lit(0), F.lit(p.trials - 1))).alias("trial")
-    rows = _spread(sizes.select(*OD, "_size", trial), *OD, "trial")
+    rows = spread(sizes.select(*OD, "_size", trial), *OD, "trial")
     first = F.greatest(F.col("_size") - p.sample, F.lit(0).cast("bigint"))
 
     def step(j: Column) -> Column:
@@ -117,7 +110,7 @@ def first_picks(routes: DataFrame, p: IsolationParams) -> DataFrame:
     """
     keyed = routes.select(*OD, "route_id", "edges", F.md5(path_text(F.col("edges"))).alias("_key"))
     trial = F.explode(F.sequence(F.lit(0), F.lit(p.trials - 1))).alias("trial")
-    rows = _spread(keyed, *OD, "route_id").select("*", trial)
+    rows = spread(keyed, *OD, "route_id").select("*", trial)
     fixed = F.concat_ws("|", F.lit(str(p.seed)), F.lit("p"), *[F.col(c).cast("string") for c in (*OD, "_key", "trial")])
     rows = rows.select(*OD, "route_id", "trial", "edges", fixed.alias("_fixed"))
 

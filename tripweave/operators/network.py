@@ -5,17 +5,15 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, geohash
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 
 DEFAULT_RADIUS_M = 500.0
 _MARGIN = 1 + 1e-9
 _POLAR = 89.9
-_HALF_GLOBE_M = math.pi * geo.EARTH_RADIUS_M
-_WIDEN = 8
 
 
 def duplicate_vertices(vertices: DataFrame) -> DataFrame:
@@ -121,30 +119,6 @@ def _near_cells(df: DataFrame, lng: str, lat: str, radius_m: float) -> DataFrame
     return _cells_of_box(df, x - w, x + w, y - h, y + h, radius_m)
 
 
-def _cells_along(segments: DataFrame, radius_m: float) -> DataFrame:
-    """Every cell with a position within ``radius_m`` of the segment; a cell may come more than once.
-
-    A segment is cut into pieces of at most two radii, so a long one files a number of cells in proportion to
-    its length.  Boxes are widened by the bend of the great circle against the straight line of degrees, and by a metre.
-    """
-    n = F.greatest(F.ceil(F.col("_c") / (2 * radius_m)), F.lit(1))
-    df = segments.withColumn("_n", n).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)))
-
-    def ends(axis: str) -> tuple[Column, Column]:
-        at = [F.col(f"s_{axis}") + (F.col(f"e_{axis}") - F.col(f"s_{axis}")) * (F.col("_i") + k) / F.col("_n") for k in (0, 1)]
-        return F.least(*at), F.greatest(*at)
-
-    (west, east), (south, north) = ends("lng"), ends("lat")
-    polar = F.least(F.greatest(F.abs("s_lat"), F.abs("e_lat")), F.lit(_POLAR))
-    bend = F.col("_c") * F.col("_c") * F.tan(F.radians(polar)) / F.lit(4 * geo.EARTH_RADIUS_M)
-    df = df.withColumn("_reach", (F.lit(radius_m + 1) + bend) * F.lit(_MARGIN))
-    h = F.col("_reach") * F.lit(geo.half_height_deg(1.0))
-    far = F.greatest(F.abs(south), F.abs(north)) + h
-    w = F.when(far < _POLAR, geo.half_width_deg(far, 1.0) * F.col("_reach")).otherwise(F.lit(360.0))
-    south, north = F.greatest(south - h, F.lit(-90.0)), F.least(north + h, F.lit(90.0))
-    return _cells_of_box(df, west - w, east + w, south, north, radius_m).drop("_n", "_i", "_reach")
-
-
 def region_vertices(centres: DataFrame, vertices: DataFrame, radius_m: float = DEFAULT_RADIUS_M) -> DataFrame:
     """(centre_id, vertex_id) for vertices in the box of half-width ``radius_m`` around each centre (G1).
 
@@ -185,11 +159,11 @@ def nearest_edges(
     """(point_id, edge_id, metres): the nearest edge of every point, however far.
 
     Distances are compared after rounding to ``digits``; ties go to the smaller edge_id.  Points without a position,
-    and edges with an end that has none, are left out; an edge does not cross the date line.
+    and edges with an end that has none, are left out; an edge is shorter than 17,000 km.
 
-    The search goes outwards: edges are filed under the cells within ``radius_m`` of them, and a nearest edge
-    inside that distance is final.  The positions left are searched again with a radius eight times as large, up to the
-    whole globe.  Every level is written (:func:`cut_lineage`), so this runs jobs.
+    Edges are filed under the cells within ``radius_m`` of them, and a nearest edge inside that distance is final.
+    The positions left go down a pyramid of cells (:func:`_nearest_far`).  Cells are cubes of space, so poles and the
+    date line need no care.  Results of both are written (:func:`cut_lineage`), so this runs jobs.
 
     Points at the same position and edges with the same geometry are taken once, so copies never multiply.
     Candidates go straight into a map-side minimum and are not shuffled.
@@ -199,34 +173,129 @@ def nearest_edges(
     segments = cut_lineage(
         located.groupBy(*shape).agg(F.min("edge_id").alias("edge_id")).withColumn("_c", geo.haversine(*map(F.col, shape)))
     )
-    left = points.select("lng", "lat").dropna().distinct()
-    levels = []
-    while True:
-        whole = radius_m >= _HALF_GLOBE_M
-        found = cut_lineage(_nearest_filed(left, segments, radius_m, digits))
-        final = F.col("metres").isNotNull() if whole else F.coalesce(F.col("metres") <= radius_m, F.lit(False))
-        levels.append(found.where(final))
-        left = found.where(~final).select("lng", "lat")
-        if whole or left.isEmpty():
-            break
-        radius_m *= _WIDEN
-    return points.join(reduce(DataFrame.unionByName, levels), ["lng", "lat"]).select("point_id", "edge_id", "metres")
-
-
-def _nearest_filed(spots: DataFrame, segments: DataFrame, radius_m: float, digits: int) -> DataFrame:
-    """(lng, lat, edge_id, metres): the nearest of the segments filed under each position's cell, NULL if there is none."""
-    lng, lat = F.col("lng"), F.col("lat")
-    to_start = geo.haversine(lng, lat, F.col("s_lng"), F.col("s_lat"))
-    to_end = geo.haversine(lng, lat, F.col("e_lng"), F.col("e_lat"))
-    metres = F.round(geo.point_to_segment(to_start, to_end, F.col("_c")), digits)
+    spots = spread(points.select("lng", "lat").dropna().distinct(), "lng", "lat")
+    side = radius_m / geo.EARTH_RADIUS_M
+    met = _with_cell(spots, "lng", "lat", side).join(_cells_around(segments, radius_m, side), _CELL, "left")
+    near = cut_lineage(_nearest_of(met, digits))
+    final = F.coalesce(F.col("metres") <= radius_m, F.lit(False))
+    left = near.where(~final).select("lng", "lat")
+    found = near.where(final)
+    if not left.isEmpty():
+        found = found.unionByName(_nearest_far(left, segments, radius_m, digits))
+    return points.join(found, ["lng", "lat"]).select("point_id", "edge_id", "metres")
+
+
+_CELL = ["_i", "_j", "_k"]
+_WIDEN = 8  # a power of two, so that a cell of one level lies in one of the next
+
+
+def _with_cell(df: DataFrame, lng: str, lat: str, side: float) -> DataFrame:
+    """``df`` with the cube that each position lies in; ``side`` is in radii of the earth."""
+    at = geo.unit_vector(F.col(lng), F.col(lat))
+    return df.withColumns({c: F.floor(v / side) for c, v in zip(_CELL, at)})
+
+
+def _cells_around(segments: DataFrame, radius_m: float, side: float) -> DataFrame:
+    """Every cube with a position within ``radius_m`` of the segment, as :func:`geo.point_to_segment` measures it.
+
+    A segment is cut along its great circle into pieces of a radius at most, so a long one files cubes in proportion to its
+    length.  A piece files the cubes that meet both the ball around it and the surface.  The measured height is less than
+    the true one on a long segment, most in its middle, which widens the ball.
+    """
+    ends = [geo.unit_vector(F.col(f"{e}_lng"), F.col(f"{e}_lat")) for e in "se"]
+    omega = F.col("_c") / F.lit(geo.EARTH_RADIUS_M)
+    n = F.greatest(F.ceil(F.col("_c") / F.lit(radius_m)), F.lit(1))
+    df = segments.withColumns({f"_{e}{x}": v for e, at in zip("se", ends) for x, v in zip("xyz", at)}).withColumn("_n", n)
+    df = df.withColumn("_f", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1))).withColumn("_f", (F.col("_f") + 0.5) / F.col("_n"))
+    long = F.col("_n") > 1
+    w = [F.when(long, F.sin(part * omega)).otherwise(F.lit(1.0)) for part in (1 - F.col("_f"), F.col("_f"))]
+    df = df.withColumns({"_ws": w[0], "_we": w[1]})
+    df = df.withColumns({f"_{x}": F.col("_ws") * F.col(f"_s{x}") + F.col("_we") * F.col(f"_e{x}") for x in "xyz"})
+    size = F.sqrt(sum((F.col(f"_{x}") * F.col(f"_{x}") for x in "xyz"), F.lit(0.0)))
+    half = F.least(omega / 2, F.lit(1.4))
+    low = F.when(half > 1e-6, F.sqrt(F.tan(half) / half)).otherwise(F.lit(1.0))
+    reach = (F.col("_c") / (2 * F.col("_n")) + F.lit(radius_m + 1) * low) / F.lit(geo.EARTH_RADIUS_M)
+    df = df.withColumns({**{f"_{x}": F.col(f"_{x}") / size for x in "xyz"}, "_reach": reach})
+    apart, near, far = F.lit(0.0), F.lit(0.0), F.lit(0.0)
+    for c, x in zip(_CELL, (F.col("_x"), F.col("_y"), F.col("_z"))):
+        df = df.withColumn(c, F.explode(F.sequence(F.floor((x - F.col("_reach")) / side), F.floor((x + F.col("_reach")) / side))))
+        lo, hi = F.col(c) * F.lit(side), (F.col(c) + 1) * F.lit(side)
+        apart += _gap(x, lo, hi) ** 2
+        near += _gap(F.lit(0.0), lo, hi) ** 2
+        far += F.greatest(lo * lo, hi * hi)
+    met = (apart <= F.col("_reach") * F.col("_reach")) & (near <= 1 + 1e-9) & (far >= 1 - 1e-9)
+    return df.where(met).select(*segments.columns, *_CELL).dropDuplicates(["edge_id", *_CELL])
+
+
+def _gap(x: Column, lo: Column, hi: Column) -> Column:
+    return F.greatest(lo - x, x - hi, F.lit(0.0))
+
+
+def _nearest_of(met: DataFrame, digits: int) -> DataFrame:
+    """(lng, lat, edge_id, metres): the nearest of the segments that each position has met, NULL if there is none."""
+    to_start = geo.haversine(F.col("lng"), F.col("lat"), F.col("s_lng"), F.col("s_lat"))
+    to_end = geo.haversine(F.col("lng"), F.col("lat"), F.col("e_lng"), F.col("e_lat"))
+    # distances to the ends are columns, since the height names them again and again
+    met = met.select("lng", "lat", "edge_id", "_c", to_start.alias("_a"), to_end.alias("_b"))
+    metres = F.round(geo.point_to_segment(F.col("_a"), F.col("_b"), F.col("_c")), digits)
     best = F.when(F.col("edge_id").isNotNull(), F.struct(metres.alias("metres"), "edge_id"))
-    met = _home_cell(spots, "lng", "lat", radius_m).join(_cells_along(segments, radius_m), ["_row", "_col"], "left")
     return (
-        met.select("lng", "lat", best.alias("_b")).groupBy("lng", "lat").agg(F.min("_b").alias("_b"))
-        .select("lng", "lat", "_b.edge_id", "_b.metres")
+        met.select("lng", "lat", best.alias("_best")).groupBy("lng", "lat").agg(F.min("_best").alias("_best"))
+        .select("lng", "lat", "_best.edge_id", "_best.metres")
     )
 
 
+def _nearest_far(spots: DataFrame, segments: DataFrame, radius_m: float, digits: int) -> DataFrame:
+    """(lng, lat, edge_id, metres) by branch and bound down a pyramid of cells.
+
+    A segment lies in the cell of its start, on the level whose cells are about as wide as it is long.  With a the
+    distance to the start and c the length, the measured distance is between a - c - 10 m and a.  So a
+    cell's box and longest segment bound it from below, and any start inside from above.  On each level a
+    position keeps the cells that its surest cell cannot beat, and meets the cells inside those on the next.
+    """
+    sides = [radius_m / geo.EARTH_RADIUS_M]
+    while sides[-1] < 2:
+        sides.append(sides[-1] * _WIDEN)
+    top = len(sides) - 1
+    own = F.least(F.greatest(F.ceil(F.log(F.col("_c") / F.lit(radius_m)) / F.log(F.lit(float(_WIDEN)))), F.lit(0)), F.lit(top))
+    start = dict(zip(("_x", "_y", "_z"), geo.unit_vector(F.col("s_lng"), F.col("s_lat"))))
+    # the logarithm of 0 is NULL
+    filed = cut_lineage(segments.withColumns({**start, "_level": F.coalesce(own, F.lit(0)).cast("int")}))
+    places = spots.withColumns(dict(zip(("_px", "_py", "_pz"), geo.unit_vector(F.col("lng"), F.col("lat"))))).withColumn("_most", F.lit(math.inf))
+    corner = F.explode(F.array(F.lit(-1).cast("bigint"), F.lit(0).cast("bigint")))
+    kept, leaves = places.withColumn("_i", corner).withColumn("_j", corner).withColumn("_k", corner), []
+    per_spot = Window.partitionBy("lng", "lat")
+    for level in range(top, -1, -1):
+        side = sides[level]
+        at = {c: F.floor(F.col(x) / side) for c, x in zip(_CELL, ("_x", "_y", "_z"))}
+        boxes = [f(x).alias(f"{n}{x}") for x in ("_x", "_y", "_z") for f, n in ((F.min, "_lo"), (F.max, "_hi"))]
+        cells = filed.where(F.col("_level") <= level).withColumns(at).groupBy(*_CELL).agg(
+            *boxes, F.max("_c").alias("_long"), F.max(F.when(F.col("_level") == level, F.col("_c"))).alias("_own"),
+            F.min(F.struct("_x", "_y", "_z")).alias("_start"),
+        )
+        if level < top:  # the cells inside those that are kept
+            inside = [F.floor(F.col(c) / _WIDEN).alias(f"{c}up") for c in _CELL]
+            kept = kept.withColumnsRenamed({c: f"{c}up" for c in _CELL}).join(cells.select("*", *inside), [f"{c}up" for c in _CELL])
+        else:
+            kept = kept.join(cells, _CELL)
+        low = sum((_gap(F.col(f"_p{x}"), F.col(f"_lo_{x}"), F.col(f"_hi_{x}")) ** 2 for x in "xyz"), F.lit(0.0))
+        high = sum(((F.col(f"_p{x}") - F.col(f"_start._{x}")) ** 2 for x in "xyz"), F.lit(0.0))
+        kept = kept.withColumns({"_least": _arc(low) - geo.SNAP_M - 1, "_sure": _arc(high) + 1})
+        kept = kept.withColumn("_most", F.least(F.col("_most"), F.min("_sure").over(per_spot)))
+        kept = cut_lineage(
+            kept.where(F.col("_least") - F.col("_long") <= F.col("_most"))
+            .select("lng", "lat", "_px", "_py", "_pz", "_most", *_CELL, (F.col("_least") - F.col("_own")).alias("_least"))
+        )
+        found = kept.where(F.col("_least") <= F.col("_most")).select("lng", "lat", *_CELL)
+        leaves.append(found.join(filed.where(F.col("_level") == level).withColumns(at), _CELL).select("lng", "lat", *segments.columns))
+    return cut_lineage(_nearest_of(reduce(DataFrame.unionByName, leaves), digits))
+
+
+def _arc(chord_squared: Column) -> Column:
+    """Metres on the surface between points whose distance through the earth, in its radii, is given squared."""
+    return F.lit(2 * geo.EARTH_RADIUS_M) * F.asin(F.least(F.sqrt(chord_squared) / 2, F.lit(1.0)))
+
+
 def geohash_cells(vertices: DataFrame, precision: int = geohash.PRECISION) -> DataFrame:
     """Vertices with their grid cell."""
     n_lng, n_lat = geohash.axis_bits(precision)

@@ -44,6 +44,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Full parallelism for a step whose rows are few bytes but much work.
+
+    A given number of partitions is not merged by adaptive execution, which only looks at bytes.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
