@@ -19,10 +19,51 @@ def test_no_cross_join_and_no_python(spark, name):
     assert not [b for b in BANNED if b in plan]
 
 
-def test_samples_are_cut_before_the_shuffle(spark):
-    pool = spark.range(1000).selectExpr("1L AS o_id", "2L AS d_id", "id AS traj_id")
-    plan = anomaly.draw_samples(pool, anomaly.IsolationParams(trials=2, sample=8))._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan and "Partial" in plan
+def nodes(df):
+    """(name, rows out) of every node of the plan that ran, adaptive stages unfolded; None where a node counts no rows."""
+    df.write.format("noop").mode("overwrite").save()
+    frame = df.select("*")
+    frame.collect()
+    found = []
+
+    def walk(node):
+        name = node.nodeName()
+        inside = {"AdaptiveSparkPlan": "executedPlan", "ShuffleQueryStage": "plan", "BroadcastQueryStage": "plan", "ResultQueryStage": "plan"}
+        if name.split(" ")[0] in inside:
+            return walk(getattr(node, inside[name.split(" ")[0]])())
+        metric = node.metrics().get("shuffleRecordsWritten" if name == "Exchange" else "numOutputRows")
+        found.append((name, node.toString(), metric.get().value() if metric.isDefined() else None))
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(frame._jdf.queryExecution().executedPlan())
+    return found
+
+
+def test_samples_are_drawn_inside_a_row(spark):
+    """Pairs x trials rows go into the draw, whatever the pool: no row for each trip of the pool and trial."""
+    pool = spark.range(4000).selectExpr("id % 2 AS o_id", "2L AS d_id", "id AS traj_id")
+    ran = nodes(anomaly.draw_samples(pool, anomaly.IsolationParams(trials=3, sample=8)))
+    written = [n for name, text, n in ran if name == "Exchange" and "trial" in text.split("\n")[0]]
+    assert written and max(written) <= 2 * 3 * 8
+    made = [n for name, _, n in ran if name == "Generate"]
+    assert made and max(made) <= 2 * 3 * 8
+
+
+def test_trials_run_inside_the_rows_of_routes(spark, walks):
+    """No exchange has a row for each pick of a trial."""
+    from tripweave.plans import jobs
+
+    p = anomaly.IsolationParams(trials=50, sample=16)
+    given = jobs.scoring_input(walks.traj_edges, walks.network, walks.od)
+    n = given.routes.count()
+    sites = given.routes.select(F.explode(F.array_distinct("edges"))).count()
+    edges = given.routes.select("o_id", "d_id", F.explode("edges")).distinct().count()
+    got = anomaly.anomaly_scores(given.routes, given.pool, given.postings, p)
+    by_route = [n for name, text, n in nodes(got) if name == "Exchange" and "route_id" in text.split("\n")[0].split("hashpartitioning(")[-1].split(")")[0]]
+    assert by_route and max(by_route) <= max(n, sites) < n * p.trials
+    drawn = given.pool.groupBy("o_id", "d_id").agg(F.least(F.count("*"), F.lit(16)).alias("n")).agg(F.sum("n")).first()[0] * p.trials
+    assert max(n or 0 for name, _, n in nodes(got) if name == "Exchange") <= (drawn * 9 + edges * p.trials)
 
 
 @pytest.fixture

@@ -4,9 +4,9 @@ A trial draws a sample of the trips between O and D, then picks random edges of
 after the other and keeps only the sampled trips that use every picked edge, until at most ``end_size``
 are left.  A route that isolates quickly is unusual.
 
-Here no loop runs.  The random picks of a trial are fixed by a hash, so all of them are known up front,
-and the trips of a sample that use an edge are a bit mask.  The trips left after k picks are the AND of
-the masks of the edges picked so far: a running ``bit_and`` over at most ``max_steps`` rows per trial.
+The random picks of a trial are fixed by a hash, and the trips of a sample that use an edge are a bit mask.
+The trips left after k picks are the AND of the masks of the edges picked so far, so all trials of a route run
+inside its row, over one array of masks per edge.
 """
 
 from __future__ import annotations
@@ -87,40 +87,68 @@ def draw_samples(pool: DataFrame, p: IsolationParams) -> DataFrame:
 
 
 def sample_masks(samples: DataFrame, postings: DataFrame, routes: DataFrame, p: IsolationParams) -> DataFrame:
-    """(o_id, d_id, trial, edge_id, m0, m1, ...): which sampled trips use the edge anywhere.
+    """(o_id, d_id, edge_id, masks): which sampled trips use the edge anywhere, ``words`` longs for each trial.
 
     Only edges of the pair's own routes can be picked, so only these have masks (J13).
     """
     uses = postings.select(F.col("key_id").alias("edge_id"), "traj_id")
+    needed = routes.select(*OD, F.explode("edges").alias("edge_id")).distinct()
+    used = samples.join(uses, "traj_id").join(needed, [*OD, "edge_id"], "left_semi").select(*OD, "edge_id", "trial", "idx")
+    # every trial has its place, also where no sampled trip uses the edge
+    trial = F.explode(F.sequence(F.lit(0), F.lit(p.trials - 1))).alias("trial")
+    unused = needed.select(*OD, "edge_id", trial, F.lit(None).cast("int").alias("idx"))
     bit = F.expr(f"shiftleft(1L, cast(idx % {_WORD} AS int))")
     words = [
         F.bit_or(F.when(F.floor(F.col("idx") / _WORD) == i, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"m{i}")
         for i in range(p.words)
     ]
-    needed = routes.select(*OD, F.explode("edges").alias("edge_id")).distinct()
-    used = samples.join(uses, "traj_id").join(needed, [*OD, "edge_id"], "left_semi")
-    return used.groupBy(*OD, "trial", "edge_id").agg(*words)
+    per_trial = used.unionByName(unused).groupBy(*OD, "edge_id", "trial").agg(*words)
+    packed = F.struct("trial", F.array(*[f"m{i}" for i in range(p.words)]).alias("m"))
+    return per_trial.groupBy(*OD, "edge_id").agg(F.sort_array(F.collect_list(packed)).alias("_l")).select(
+        *OD, "edge_id", F.flatten("_l.m").alias("masks")
+    )
 
 
-def first_picks(routes: DataFrame, p: IsolationParams) -> DataFrame:
-    """(o_id, d_id, route_id, trial, edge_id, k): the first pick k (from 1) of every edge a trial picks.
+def _trial_counts(routes: DataFrame, pool: DataFrame, postings: DataFrame, p: IsolationParams) -> DataFrame:
+    """(o_id, d_id, route_id, counts): the picks of each trial, in one row per route.
 
-    Pick k of a trial takes the edge at position hash % length.  Later picks of the same edge change
-    nothing and are dropped here, inside the row.
+    A route meets the masks of its different edges, all trials of an edge in one array.  The trials then run inside the row:
+    pick k takes the edge at position hash % length and the trips left are the AND of the masks so far, until few
+    are left.  Nothing of the size routes x trials is built.
     """
-    keyed = routes.select(*OD, "route_id", "edges", F.md5(path_text(F.col("edges"))).alias("_key"))
-    trial = F.explode(F.sequence(F.lit(0), F.lit(p.trials - 1))).alias("trial")
-    rows = spread(keyed, *OD, "route_id").select("*", trial)
-    fixed = F.concat_ws("|", F.lit(str(p.seed)), F.lit("p"), *[F.col(c).cast("string") for c in (*OD, "_key", "trial")])
-    rows = rows.select(*OD, "route_id", "trial", "edges", fixed.alias("_fixed"))
+    masks = sample_masks(draw_samples(pool, p), postings, routes, p)
+    own = F.posexplode(F.array_distinct("edges")).alias("_site", "edge_id")
+    met = spread(routes.select(*OD, "route_id", own).join(masks, [*OD, "edge_id"]), *OD, "route_id")
+    sets = met.groupBy(*OD, "route_id").agg(F.sort_array(F.collect_list(F.struct("_site", "masks"))).alias("_l"))
+    rows = sets.join(spread(routes.select(*OD, "route_id", "edges"), *OD, "route_id"), [*OD, "route_id"])
+    fixed = F.concat_ws("|", F.lit(str(p.seed)), F.lit("p"), *[F.col(c).cast("string") for c in OD], F.md5(path_text(F.col("edges"))))
+    distinct = F.array_distinct("edges")
+    rows = rows.select(
+        *OD, "route_id", F.col("_l.masks").alias("_masks"), F.size("edges").alias("_n"), fixed.alias("_fixed"),
+        F.transform("edges", lambda e: (F.array_position(distinct, e) - 1).cast("int")).alias("_at"),
+    )
+    names = [f"m{i}" for i in range(p.words)]
+    start = F.struct(F.lit(0).alias("k"), *[F.lit(-1).cast("bigint").alias(m) for m in names])
 
-    def pick(k: Column) -> Column:
-        return F.get("edges", (hash60(F.col("_fixed"), k) % F.size("edges")).cast("int"))
+    def few(s: Column) -> Column:
+        return sum((F.bit_count(s[m]) for m in names), F.lit(0)) <= p.end_size
 
-    picked = rows.withColumn("_picks", F.transform(F.sequence(F.lit(1), F.lit(p.max_steps)), pick))
-    return picked.select(*OD, "route_id", "trial", "_picks", F.explode(F.array_distinct("_picks")).alias("edge_id")).select(
-        *OD, "route_id", "trial", "edge_id", F.array_position("_picks", F.col("edge_id")).alias("k")
-    )
+    def picked(t: Column, k: Column) -> Column:
+        return F.get("_at", (hash60(F.col("_fixed"), t, k) % F.col("_n")).cast("int"))
+
+    def step(t: Column, s: Column, k: Column) -> Column:
+        # the one-element array binds the pick, which is needed for every word
+        def narrowed(s: Column, at: Column) -> Column:
+            both = [s[m].bitwiseAND(F.get(F.get("_masks", at), t * p.words + i)).alias(m) for i, m in enumerate(names)]
+            return F.struct(k.alias("k"), *both)
+
+        return F.when((s["k"] > 0) & few(s), s).otherwise(F.aggregate(F.array(picked(t, k)), s, narrowed))
+
+    def trial(t: Column) -> Column:
+        steps = F.sequence(F.lit(1), F.lit(p.max_steps))
+        return F.aggregate(steps, start, lambda s, k: step(t, s, k), lambda s: F.when(few(s), s["k"]).otherwise(p.max_steps).cast("bigint"))
+
+    return rows.select(*OD, "route_id", F.transform(F.sequence(F.lit(0), F.lit(p.trials - 1)), trial).alias("counts"))
 
 
 def isolation_counts(routes: DataFrame, pool: DataFrame, postings: DataFrame, p: IsolationParams) -> DataFrame:
@@ -129,25 +157,7 @@ def isolation_counts(routes: DataFrame, pool: DataFrame, postings: DataFrame, p:
     ``routes`` are merged routes (route_id unique within a pair), ``pool`` the trips (o_id, d_id, traj_id)
     to sample from, ``postings`` the edge index of whole trips.
     """
-    masks = sample_masks(draw_samples(pool, p), postings, routes, p)
-    words = [f"m{i}" for i in range(p.words)]
-    zero = F.lit(0).cast("bigint")
-    picks = first_picks(routes, p).join(masks, [*OD, "trial", "edge_id"], "left")
-    picks = picks.select(*OD, "route_id", "trial", "k", *[F.coalesce(m, zero).alias(m) for m in words])
-    # One exchange by route serves the running AND, the count and the later mean.
-    picks = picks.repartition(*OD, "route_id")
-    upto = (
-        Window.partitionBy(*OD, "route_id", "trial")
-        .orderBy("k")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    left = sum((F.bit_count(F.bit_and(m).over(upto)) for m in words), F.lit(0))
-    return (
-        picks.withColumn("_left", left)
-        .groupBy(*OD, "route_id", "trial")
-        .agg(F.min(F.when(F.col("_left") <= p.end_size, F.col("k"))).alias("_k"))
-        .select(*OD, "route_id", "trial", F.coalesce("_k", F.lit(p.max_steps)).cast("bigint").alias("cnt"))
-    )
+    return _trial_counts(routes, pool, postings, p).select(*OD, "route_id", F.posexplode("counts").alias("trial", "cnt"))
 
 
 def expected_depth(n: Column) -> Column:
@@ -162,7 +172,8 @@ def anomaly_scores(routes: DataFrame, pool: DataFrame, postings: DataFrame, p: I
 
     n is the sample size really drawn, the smaller of ``sample`` and the pair's pool.
     """
-    mean = isolation_counts(routes, pool, postings, p).groupBy(*OD, "route_id").agg(F.avg("cnt").alias("_mean"))
+    total = F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, c: a + c)
+    mean = _trial_counts(routes, pool, postings, p).select(*OD, "route_id", (total / F.size("counts")).alias("_mean"))
     sizes = pool.groupBy(*OD).agg(F.least(F.count(F.lit(1)), F.lit(p.sample)).alias("_n"))
     score = F.pow(F.lit(2.0), -(F.col("_mean") / expected_depth(F.col("_n"))))
     return (

@@ -16,8 +16,6 @@ _ADAPTIVE = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Joins on trips and picks turn few bytes into many rows, so small partitions are worth a task.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
-    # Samples are cut to size in the map tasks up to this many rows per pair and trial.
-    "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
     # Id lists are bounded (operators.lists), so this many of them fit a task before it sorts instead.
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
 }
