@@ -120,15 +120,15 @@ def _trial_counts(routes: DataFrame, pool: DataFrame, postings: DataFrame, p: Is
     own = F.posexplode(F.array_distinct("edges")).alias("_site", "edge_id")
     met = spread(routes.select(*OD, "route_id", own).join(masks, [*OD, "edge_id"]), *OD, "route_id")
     sets = met.groupBy(*OD, "route_id").agg(F.sort_array(F.collect_list(F.struct("_site", "masks"))).alias("_l"))
-    rows = sets.join(spread(routes.select(*OD, "route_id", "edges"), *OD, "route_id"), [*OD, "route_id"])
+    sets = sets.select(*OD, "route_id", F.col("_l.masks").alias("_masks"))
     fixed = F.concat_ws("|", F.lit(str(p.seed)), F.lit("p"), *[F.col(c).cast("string") for c in OD], F.md5(path_text(F.col("edges"))))
     distinct = F.array_distinct("edges")
-    rows = rows.select(
-        *OD, "route_id", F.col("_l.masks").alias("_masks"), F.size("edges").alias("_n"), fixed.alias("_fixed"),
-        F.transform("edges", lambda e: (F.array_position(distinct, e) - 1).cast("int")).alias("_at"),
-    )
+    at = F.transform("edges", lambda e: (F.array_position(distinct, e) - 1).cast("int"))
+    # what every pick needs is made before the exchange: behind it, the optimizer would make it anew for each pick
+    routes = spread(routes.select(*OD, "route_id", F.size("edges").alias("_n"), fixed.alias("_fixed"), at.alias("_at")), *OD, "route_id")
+    rows = sets.join(routes, [*OD, "route_id"])
     names = [f"m{i}" for i in range(p.words)]
-    start = F.struct(F.lit(0).alias("k"), *[F.lit(-1).cast("bigint").alias(m) for m in names])
+    start = F.struct(F.lit(True).alias("open"), F.lit(0).alias("k"), *[F.lit(-1).cast("bigint").alias(m) for m in names])
 
     def few(s: Column) -> Column:
         return sum((F.bit_count(s[m]) for m in names), F.lit(0)) <= p.end_size
@@ -140,9 +140,11 @@ def _trial_counts(routes: DataFrame, pool: DataFrame, postings: DataFrame, p: Is
         # the one-element array binds the pick, which is needed for every word
         def narrowed(s: Column, at: Column) -> Column:
             both = [s[m].bitwiseAND(F.get(F.get("_masks", at), t * p.words + i)).alias(m) for i, m in enumerate(names)]
-            return F.struct(k.alias("k"), *both)
+            return F.struct(F.lit(True).alias("open"), k.alias("k"), *both)
 
-        return F.when((s["k"] > 0) & few(s), s).otherwise(F.aggregate(F.array(picked(t, k)), s, narrowed))
+        closed = F.struct(F.lit(False).alias("open"), s["k"].alias("k"), *[s[m].alias(m) for m in names])
+        again = F.aggregate(F.array(picked(t, k)), s, narrowed)
+        return F.when(~s["open"], s).when((s["k"] > 0) & few(s), closed).otherwise(again)
 
     def trial(t: Column) -> Column:
         steps = F.sequence(F.lit(1), F.lit(p.max_steps))

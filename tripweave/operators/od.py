@@ -13,13 +13,17 @@ matched as lists: rows are made only for the pairs that a trip has.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lists import BLOCK_BITS, id_blocks
 
-#: Ds of one O that stand in one list.
-LISTED = 4096
+#: Longs of the filter of pairs at most: 8 MB, sent to every task.
+FILTER_WORDS = 1 << 20
+_WORD = 64
 
 
 def od_count(endpoints: DataFrame) -> DataFrame:
@@ -51,33 +55,45 @@ def _by_trip(df: DataFrame) -> DataFrame:
     return df.repartition("traj_id")
 
 
-def _pair_blocks(pairs: DataFrame) -> DataFrame:
-    """(o_id, _block): the Ds of every O, dealt by hash into lists of about ``LISTED`` at most."""
-    sizes = pairs.groupBy("o_id").agg(F.count(F.lit(1)).alias("_n"))
-    block = F.pmod(F.xxhash64("d_id"), F.ceil(F.col("_n") / LISTED))
-    blocks = pairs.join(sizes, "o_id").groupBy("o_id", block.alias("_b")).agg(F.collect_list("d_id").alias("_block"))
-    return blocks.select("o_id", "_block")
+def _bits(o: Column, d: Column, words: Column) -> list[Column]:
+    """The bits of a pair in a filter of ``words`` longs: two, from two hashes."""
+    return [F.pmod(h, words * _WORD) for h in (F.xxhash64(o, d), F.xxhash64(d, o))]
+
+
+def _pair_filter(pairs: DataFrame) -> Column:
+    """Bloom filter of the pairs: a list of longs, one value for all rows of a plan.
+
+    It has about 16 bits for each pair up to ``FILTER_WORDS`` longs; a fuller one lets more through to the exact join.
+    """
+    n = pairs.agg(F.count(F.lit(1)).alias("n")).scalar()
+    words = F.least(F.lit(FILTER_WORDS), F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(n, F.lit(4)) / 4)))).cast("bigint")
+    spark = pairs.sparkSession
+    empty = spark.range(1).select(F.explode(F.sequence(F.lit(0).cast("bigint"), words - 1)).alias("w"), F.lit(0).cast("bigint").alias("m"))
+    bit = pairs.select(F.explode(F.array(*_bits(F.col("o_id"), F.col("d_id"), words))).alias("bit"))
+    one = F.expr(f"shiftleft(1L, cast(bit % {_WORD} AS int))")
+    filled = bit.select(F.expr(f"bit div {_WORD}").alias("w"), one.alias("m")).unionByName(empty)
+    packed = filled.groupBy("w").agg(F.bit_or("m").alias("m")).agg(F.sort_array(F.collect_list(F.struct("w", "m"))).alias("l"))
+    return packed.select(F.col("l.m")).scalar()
 
 
 def _match(at: DataFrame, pairs: DataFrame, ordered: bool = True) -> DataFrame:
     """(o_id, d_id, traj_id, s_site, e_site) for listed pairs whose O and D are met in the same trip.
 
     ``at`` (traj_id, o_id, s_site, d_id, e_site) is spread by trip and has one row per trip and place, NULL where the
-    place is no O or no D.  A trip's Os and Ds come together in one grouping; each O then meets the lists of
-    its Ds, and only the Ds that the trip has, after O where ``ordered``, become rows.
+    place is no O or no D.  A trip's Os and Ds come together in one grouping.  Its own combinations, in order where
+    ``ordered``, are tested against a filter of all pairs right there, however many Ds an O has, and what passes meets the pairs.
     """
     met = at.groupBy("traj_id").agg(
         F.collect_list(F.when(F.col("o_id").isNotNull(), F.struct("o_id", "s_site"))).alias("_o"),
         F.collect_list(F.when(F.col("d_id").isNotNull(), F.struct("d_id", "e_site"))).alias("_d"),
     )
-    met = met.select("traj_id", "_d", F.inline("_o"))
+    both = met.select("traj_id", "_d", F.inline("_o")).select("traj_id", "o_id", "s_site", F.inline("_d"))
     if ordered:
-        met = met.withColumn("_d", F.filter("_d", lambda d: d["e_site"] > F.col("s_site")))
-    hits = met.where(F.size("_d") > 0).join(_pair_blocks(pairs), "o_id").select(
-        "o_id", "traj_id", "s_site", "_d", F.explode(F.array_intersect("_block", F.col("_d.d_id"))).alias("d_id")
-    )
-    at_d = (F.array_position(F.col("_d.d_id"), F.col("d_id")) - 1).cast("int")
-    return hits.select("o_id", "d_id", "traj_id", "s_site", F.get(F.col("_d.e_site"), at_d).alias("e_site"))
+        both = both.where(F.col("s_site") < F.col("e_site"))
+    sieve = _pair_filter(pairs)
+    bits = _bits(F.col("o_id"), F.col("d_id"), F.size(sieve).cast("bigint"))
+    hit = reduce(and_, [F.bit_get(F.get(sieve, F.shiftright(b, 6).cast("int")), (b % _WORD).cast("int")) == 1 for b in bits])
+    return both.where(hit).join(pairs, ["o_id", "d_id"]).select("o_id", "d_id", "traj_id", "s_site", "e_site")
 
 
 def od_by_vertex_index(postings: DataFrame, od: DataFrame) -> DataFrame:
