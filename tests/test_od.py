@@ -69,15 +69,15 @@ def test_same_origin_and_destination_needs_two_visits(spark):
 
 
 def test_many_pairs_at_one_origin(spark, monkeypatch):
-    """10,000 pairs at one O, no broadcast: only the pairs a trip has become rows, whatever the lists' size."""
+    """100,000 pairs at one O, no broadcast: only the pairs a trip has become rows, also where the filter of pairs is full."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        pair = spark.range(10000).selectExpr("1L AS o_id", "id + 2 AS d_id")
-        seq = spark.range(200).selectExpr("id AS traj_id", "explode(array(1L, 2 + id * 7, 3 + id * 11, 50000L)) AS vertex_id")
+        pair = spark.range(100_000).selectExpr("1L AS o_id", "id + 2 AS d_id")
+        seq = spark.range(200).selectExpr("id AS traj_id", "explode(array(1L, 2 + id * 7, 3 + id * 11, 500000L)) AS vertex_id")
         seq = seq.selectExpr("traj_id", "CASE WHEN vertex_id = 1 THEN 0L ELSE vertex_id END AS site", "vertex_id")
         want = sorted({(1, d, t) for t in range(200) for d in (2 + t * 7, 3 + t * 11)})
-        for listed in (16, 4096):
-            monkeypatch.setattr(od, "LISTED", listed)
+        for words in (1, 1 << 20):
+            monkeypatch.setattr(od, "FILTER_WORDS", words)
             assert rows(od.od_by_scan(seq, pair), "*") == want
             assert rows(od.od_by_vertex_index(index.vertex_index(seq), pair), "o_id", "d_id", "traj_id") == want
     finally:

@@ -50,6 +50,18 @@ def test_samples_are_drawn_inside_a_row(spark):
     assert made and max(made) <= 2 * 3 * 8
 
 
+def test_a_trip_brings_only_its_own_pairs_to_the_join(spark, no_broadcast):
+    """All places of a trip are ends of pairs, but few two of them are a pair: few rows reach the exact join."""
+    pair = spark.range(20_000).selectExpr("id AS o_id", "id + 100000 AS d_id")
+    seq = spark.range(400).selectExpr("id AS traj_id", "explode(sequence(0L, 39L)) AS site")
+    seq = seq.selectExpr("traj_id", "site", "IF(site = 39, traj_id * 7 + 100000, (traj_id * 7 + site * 13) % 20000 + site % 2 * 100000) AS vertex_id")
+    combined = 400 * 40 * 39 // 2
+    got = od.od_by_scan(seq, pair)
+    have = got.count()
+    by_pair = [n for name, text, n in nodes(got) if name == "Exchange" and "hashpartitioning(o_id" in text.split("\n")[0]]
+    assert have >= 400 and min(by_pair) <= have + 0.01 * combined
+
+
 def test_trials_run_inside_the_rows_of_routes(spark, walks):
     """No exchange has a row for each pick of a trial."""
     from tripweave.plans import jobs

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .lists import BLOCK_BITS, id_blocks
 
-#: Longs of the filter of pairs at most: 8 MB, sent to every task.
-FILTER_WORDS = 1 << 20
+#: Longs of the filter of pairs: 512 KB, sent to every task; good for half a million pairs.
+FILTER_WORDS = 1 << 16
 _WORD = 64
 
 
@@ -55,25 +55,22 @@ def _by_trip(df: DataFrame) -> DataFrame:
     return df.repartition("traj_id")
 
 
-def _bits(o: Column, d: Column, words: Column) -> list[Column]:
-    """The bits of a pair in a filter of ``words`` longs: two, from two hashes."""
-    return [F.pmod(h, words * _WORD) for h in (F.xxhash64(o, d), F.xxhash64(d, o))]
+def _bits() -> list[Column]:
+    """The bits of the pair (o_id, d_id) in the filter: two, from two hashes."""
+    hashes = F.xxhash64("o_id", "d_id"), F.xxhash64("d_id", "o_id")
+    return [F.pmod(h, F.lit(FILTER_WORDS * _WORD).cast("bigint")) for h in hashes]
 
 
 def _pair_filter(pairs: DataFrame) -> Column:
-    """Bloom filter of the pairs: a list of longs, one value for all rows of a plan.
+    """Bloom filter of the pairs: a list of ``FILTER_WORDS`` longs, one value for all rows of a plan.
 
-    It has about 16 bits for each pair up to ``FILTER_WORDS`` longs; a fuller one lets more through to the exact join.
+    It is full with millions of pairs, and then lets more through to the exact join.
     """
-    n = pairs.agg(F.count(F.lit(1)).alias("n")).scalar()
-    words = F.least(F.lit(FILTER_WORDS), F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(n, F.lit(4)) / 4)))).cast("bigint")
-    spark = pairs.sparkSession
-    empty = spark.range(1).select(F.explode(F.sequence(F.lit(0).cast("bigint"), words - 1)).alias("w"), F.lit(0).cast("bigint").alias("m"))
-    bit = pairs.select(F.explode(F.array(*_bits(F.col("o_id"), F.col("d_id"), words))).alias("bit"))
-    one = F.expr(f"shiftleft(1L, cast(bit % {_WORD} AS int))")
-    filled = bit.select(F.expr(f"bit div {_WORD}").alias("w"), one.alias("m")).unionByName(empty)
-    packed = filled.groupBy("w").agg(F.bit_or("m").alias("m")).agg(F.sort_array(F.collect_list(F.struct("w", "m"))).alias("l"))
-    return packed.select(F.col("l.m")).scalar()
+    zeros = pairs.sparkSession.range(FILTER_WORDS).select(F.col("id").alias("w"), F.lit(0).cast("bigint").alias("m"))
+    bit = pairs.select(F.explode(F.array(*_bits())).alias("bit"))
+    set_bits = bit.select(F.shiftright("bit", 6).alias("w"), F.expr(f"shiftleft(1L, cast(bit % {_WORD} AS int))").alias("m"))
+    words = set_bits.unionByName(zeros).groupBy("w").agg(F.bit_or("m").alias("m"))
+    return words.agg(F.sort_array(F.collect_list(F.struct("w", "m"))).alias("l")).select(F.col("l.m")).scalar()
 
 
 def _match(at: DataFrame, pairs: DataFrame, ordered: bool = True) -> DataFrame:
@@ -91,8 +88,7 @@ def _match(at: DataFrame, pairs: DataFrame, ordered: bool = True) -> DataFrame:
     if ordered:
         both = both.where(F.col("s_site") < F.col("e_site"))
     sieve = _pair_filter(pairs)
-    bits = _bits(F.col("o_id"), F.col("d_id"), F.size(sieve).cast("bigint"))
-    hit = reduce(and_, [F.bit_get(F.get(sieve, F.shiftright(b, 6).cast("int")), (b % _WORD).cast("int")) == 1 for b in bits])
+    hit = reduce(and_, [F.bit_get(F.get(sieve, F.shiftright(b, 6).cast("int")), (b % _WORD).cast("int")) == 1 for b in _bits()])
     return both.where(hit).join(pairs, ["o_id", "d_id"]).select("o_id", "d_id", "traj_id", "s_site", "e_site")
 
 
