@@ -281,3 +281,93 @@ def test_pipeline_keeps_one_clean_document_of_each_group(spark, tmp_path):
         assert coder.decode(bytes(r.ids)).decode() == r.text and r.n_tokens == len(r.ids) // 4
         assert r.text == rows[i] or "[secret]" in r.text
         assert not secret_scan.base_spans(r.text)
+
+
+def test_repeated_bytes_of_a_whole_table(spark):
+    """Against a count of all 400-byte strings of sf0.01, told apart by Python's hash."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    raw = {r.doc_id: (r.text or "").encode() for r in docs.select("doc_id", "text").collect()}
+    count = collections.Counter(hash(t[k : k + 400]) for t in raw.values() for k in range(len(t) - 399))
+    got = by_id(suffix.remove(docs), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert set(got) == set(raw)
+    touched = 0
+    for i, t in raw.items():
+        gone = np.zeros(len(t) + 1, bool)
+        for k in range(len(t) - 399):
+            if count[hash(t[k : k + 400])] > 1:
+                gone[k : k + 400] = True
+        touched += gone.any()
+        kept = bytes(b for b, g in zip(t, gone) if not g)
+        assert got[i] == (len(t), int(gone.sum()), int((gone[1:] < gone[:-1]).sum()), hashlib.sha256(kept).hexdigest())
+    assert 0 < touched < len(raw)
+
+
+def _there_and_back(spark, pages, path):
+    archive.write_arc(pages, f"{path}/arc", 3)
+    archive.convert(spark, f"{path}/arc", f"{path}/warc")
+    return archive.page_records(spark, f"{path}/warc").collect()
+
+
+def test_repeated_pages_have_a_row_each(spark, tmp_path):
+    rows = [(1, "u", "x"), (5, "u", "x"), (5, "u", "x"), (5, "v", "x"), (8, "u", None), (8, "u", ""), (9, "u", "y")] + [(k, "u", "z") for k in range(20, 40)] * 3
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"record_id": F.lit("r"), "refers": F.lit(2)})
+    got = _there_and_back(spark, pages.repartition(4), tmp_path)
+    assert sorted(r.page_id for r in got) == sorted(r[0] for r in rows)
+    by_text = collections.defaultdict(list)
+    text = {i: h or "" for i, _, h in rows}
+    for r in got:
+        by_text[text[r.page_id]].append(r)
+    for same in by_text.values():
+        first = [r for r in same if r.record_type == "response"]
+        last = max(r.page_id for r in same)
+        assert len(first) == 1 and first[0].page_id == last and first[0].refers_to is None
+        assert all(r.refers_to == last for r in same if r.record_type == "revisit") and len({r.payload_digest for r in same}) == 1
+
+
+def test_empty_tables(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert _there_and_back(spark, spark.createDataFrame([], "page_id long, url string, html string"), tmp_path) == []
+    assert secret_scan.scan(docs, secret_scan.train(secret_scan.labelled_words(docs))).count() == 0
+    assert bpe.digests(docs).count() == 0 and bpe.add_tokens(docs).count() == 0
+
+
+def test_long_pieces_take_time_in_proportion():
+    import time
+
+    from tokenizers import Tokenizer
+
+    path, r = bpe.default_vocabulary(), random.Random(12)
+    tok, coder = Tokenizer.from_file(path), bpe.Coder(path)
+    for letters, most in (("abcdefghijklmnopqrstuvwxyz", 10_000_000), ("a", 3_000_000), ("ab", 1_000_000)):
+        text = "".join(r.choices(letters, k=most))
+        assert coder.encode(text[:100_000]) == np.array(tok.encode(text[:100_000], add_special_tokens=False).ids, "<u4").tobytes()
+        start = time.process_time()
+        coder.encode(text[: most // 10])
+        middle = time.process_time()
+        got = coder.encode(text)
+        assert time.process_time() - middle < 30 * (middle - start) + 1
+        assert coder.decode(got) == text.encode() and len(coder.known) <= bpe._PAIRS
+
+
+def test_copies_of_a_row_teach_once(spark, monkeypatch):
+    """Thousands of copies of one row change nothing, and reach no driver."""
+    r = random.Random(13)
+    words = {"aa": ["the", "thing", "with", "over"], "bb": ["él", "niño", "años", "casa"]}
+    rows = [(i, " ".join(r.choice(words[x]) for _ in range(20)), x, i % 2) for i, x in enumerate(["aa", "bb"] * 40)]
+    schema = "doc_id long, text string, lang string, quality int"
+    once = spark.createDataFrame(rows, schema)
+    often = spark.createDataFrame(rows + rows[:1] * 5000 + [(0, "another", "aa", 0), (None, None, None, 1), (None, "the", "aa", 1)], schema)
+    often = often.withColumns({"h": F.lit("x"), "digest": F.lit("y"), "k": F.lit(1), "x": F.lit(2)})
+    sent = []
+    from pyspark.sql import DataFrame
+
+    real = type(once).collect
+    monkeypatch.setattr(type(once), "collect", lambda df: sent.append(real(df)) or sent[-1])
+    assert issubclass(type(once), DataFrame)
+    a, b = language.fit(once, per_lang=30), language.fit(often.filter("text <> 'another'").filter("doc_id is not null"), per_lang=30)
+    assert a.langs == b.langs and np.array_equal(a.rows, b.rows) and a.least == b.least
+    assert max(map(len, sent)) <= 60
+    sent.clear()
+    a, b = quality.fit(once, sample=50), quality.fit(often.filter("text <> 'another'"), sample=50)
+    assert np.array_equal(a.main, b.main) or len(sent[1]) == 50
+    assert max(map(len, sent)) <= 50

@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import uuid
 
 import pyarrow as pa
@@ -30,7 +31,7 @@ def _files(df: DataFrame, path: str, separator: str, records: int) -> None:
     df.select("value").write.option("lineSep", separator).option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
 
 
-def write_arc(pages: DataFrame, path: str, records: int = 5000) -> None:
+def write_arc(pages: DataFrame, path: str, records: int = 1000) -> None:
     """Write ``pages`` (page_id, url, html) as ARC records; even ids go to version 1 archives, others to 2.
 
     The page's id travels in the HTTP header of its record.  A null html is empty, white space in a URL is
@@ -51,34 +52,36 @@ def write_arc(pages: DataFrame, path: str, records: int = 5000) -> None:
         _files(mine.select(F.concat(own.cast("binary"), F.lit(b"\n"), http.cast("binary"), body).cast("string").alias("value")), f"{path}/v{version}", "\n", records)
 
 
-def parse_arc(data: bytes):
-    """Yield (url, ip, date, mime, status, block) of each record; ValueError where lengths do not fit.
+def _stream(data):
+    return io.BytesIO(data) if isinstance(data, bytes) else data
+
+
+def parse_arc(data):
+    """Yield (url, ip, date, mime, status, block) of each record of bytes or a binary stream; ValueError where lengths
+    do not fit.
 
     A ``filedesc:`` record declares the version of what follows, so files joined end to end are read too.
     Fields are taken by the names in its header line.
     """
-    at, names = 0, FIELDS["1"].split(" ")
-    while at < len(data):
-        if data[at : at + 1] == b"\n":
-            at += 1
+    stream, names = _stream(data), FIELDS["1"].split(" ")
+    while line := stream.readline():
+        if line == b"\n":
             continue
-        end = data.index(b"\n", at)
-        head = data[at:end].decode("utf-8", "replace")
+        if not line.endswith(b"\n"):
+            raise ValueError("a header line is cut off")
+        head = line[:-1].decode("utf-8", "replace")
         if head.startswith("filedesc:"):
-            values = head.split(" ")
-            size = int(values[-1])
-            block = data[end + 1 : end + 1 + size].decode("utf-8", "replace").split("\n")
+            block = stream.read(int(head.split(" ")[-1])).decode("utf-8", "replace").split("\n")
             if block[0].split(" ")[0] not in FIELDS:
                 raise ValueError(f"unknown archive version: {block[0]!r}")
             names = block[1].split(" ")
-            at = end + 1 + size
             continue
         values = dict(zip(names, head.rsplit(" ", len(names) - 1), strict=True))
         size = int(values["Archive-length"])
-        if end + 1 + size > len(data):
-            raise ValueError(f"record at {at} is cut off")
-        yield values["URL"], values["IP-address"], values["Archive-date"], values["Content-type"], values.get("Result-code", ""), data[end + 1 : end + 1 + size]
-        at = end + 1 + size
+        block = stream.read(size)
+        if len(block) < size:
+            raise ValueError(f"a record of {size} bytes is cut off")
+        yield values["URL"], values["IP-address"], values["Archive-date"], values["Content-type"], values.get("Result-code", ""), block
 
 
 def _split_http(block: bytes) -> tuple[bytes, bytes]:
@@ -89,14 +92,17 @@ def _split_http(block: bytes) -> tuple[bytes, bytes]:
 
 
 def _read(spark: SparkSession, path: str, rows, ddl: str) -> DataFrame:
-    """Rows that ``rows(data)`` yields from every archive under ``path``, in pieces of bounded size."""
+    """Rows that ``rows(name, stream)`` yields from every archive under ``path``, in pieces of bounded size.
+
+    Archives are unpacked as they are read, so a task holds one packed file and a piece of its records.
+    """
     schema = arrow_schema(ddl)
 
     def run(batches):
         for batch in batches:
-            for content in batch.column("content"):
+            for name, content in zip(batch.column("name"), batch.column("content")):
                 held, size = [], 0
-                for row in rows(gzip.decompress(content.as_py())):
+                for row in rows(name.as_py(), io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content.as_py())))):
                     held.append(row)
                     size += sum(len(v) for v in row if isinstance(v, bytes))
                     if size > _PIECE:
@@ -106,7 +112,7 @@ def _read(spark: SparkSession, path: str, rows, ddl: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.gz").load(path)
-    return map_arrow(files.select("content"), run, ddl)
+    return map_arrow(files.select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), "content"), run, ddl)
 
 
 def _sha1(data: bytes) -> str:
@@ -116,15 +122,16 @@ def _sha1(data: bytes) -> str:
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
     """(record_id, target, stamp, mime, http, payload, digest) of every record, with the names WARC gives it.
 
-    The id is a name-based UUID of URL, date, HTTP header and payload digest, so a retried task gives the same.
+    The id is a name-based UUID of URL, date, HTTP header, payload digest, and the archive's name and the record's number
+    in it.  So a retried task gives the same, and records that are equal in all else have ids of their own.
     """
 
-    def rows(data):
-        for url, _, date, mime, _, block in parse_arc(data):
+    def rows(file, stream):
+        for n, (url, _, date, mime, _, block) in enumerate(parse_arc(stream)):
             http, payload = _split_http(block)
             digest = _sha1(payload)
             stamp = f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
-            name = uuid.uuid5(uuid.NAMESPACE_URL, f"{url} {date} {digest} {http.decode('latin-1')}")
+            name = uuid.uuid5(uuid.NAMESPACE_URL, f"{url} {date} {digest} {http.decode('latin-1')} {file} {n}")
             yield f"<urn:uuid:{name}>", url, stamp, mime, http, payload, digest
 
     return _read(spark, path, rows, "record_id string, target string, stamp string, mime string, http binary, payload binary, digest string")
@@ -136,13 +143,16 @@ def page_of(http):
 
 
 def mark_revisits(records: DataFrame) -> DataFrame:
-    """Add ``refers``: for all records of equal digest but that of the largest page id, that one's record id."""
+    """Add ``refers``: for all records of equal digest but one, that one's record id.
+
+    It is the one of the largest page id, and of the largest record id where that page is there repeatedly.
+    """
     named = records.withColumn("_page", page_of(F.col("http")))
     last = named.groupBy("digest").agg(F.max(F.struct("_page", "record_id")).alias("_last"))
     return named.join(last, "digest").withColumn("refers", F.when(F.col("record_id") != F.col("_last.record_id"), F.col("_last.record_id"))).drop("_page", "_last")
 
 
-def write_warc(records: DataFrame, path: str, records_per_file: int = 5000) -> None:
+def write_warc(records: DataFrame, path: str, records_per_file: int = 1000) -> None:
     """Write records as WARC/1.0: ``response``, or ``revisit`` with the HTTP header alone where ``refers`` is set."""
     again = F.col("refers").isNotNull()
     block = F.when(again, F.col("http")).otherwise(F.concat("http", "payload"))
@@ -164,21 +174,23 @@ def write_warc(records: DataFrame, path: str, records_per_file: int = 5000) -> N
     _files(records.select(F.concat(head.cast("binary"), block).cast("string").alias("value")), path, "\r\n\r\n", records_per_file)
 
 
-def parse_warc(data: bytes):
-    """Yield (headers, block) of each record by its Content-Length."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at {at}")
-        headers = dict(line.split(": ", 1) for line in lines[1:])
+def parse_warc(data):
+    """Yield (headers, block) of each record of bytes or a binary stream, by its Content-Length."""
+    stream = _stream(data)
+    while line := stream.readline():
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no record here: {line[:80]!r}")
+        headers = {}
+        while (line := stream.readline()) != b"\r\n":
+            if not line.endswith(b"\r\n"):
+                raise ValueError("a header is cut off")
+            name, _, value = line[:-2].decode("utf-8", "replace").partition(": ")
+            headers[name] = value
         size = int(headers["Content-Length"])
-        block = data[end + 4 : end + 4 + size]
-        if len(block) < size or data[end + 4 + size : end + 8 + size] != b"\r\n\r\n":
-            raise ValueError(f"record at {at} does not have its length")
+        block = stream.read(size)
+        if len(block) < size or stream.read(4) != b"\r\n\r\n":
+            raise ValueError(f"a record of {size} bytes does not have its length")
         yield headers, block
-        at = end + 8 + size
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -187,8 +199,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     A response's payload is held against its digest and declared length.
     """
 
-    def rows(data):
-        for h, block in parse_warc(data):
+    def rows(_, stream):
+        for h, block in parse_warc(stream):
             http, payload = _split_http(block)
             digest, size = h["WARC-Payload-Digest"].removeprefix("sha1:"), int(h["X-Payload-Length"])
             if h["WARC-Type"] == "response" and (_sha1(payload) != digest or len(payload) != size):
@@ -200,12 +212,19 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def convert(spark: SparkSession, arcs: str, warcs: str) -> None:
-    """Convert all ARC files under ``arcs`` to WARC files under ``warcs``."""
+    """Convert all ARC files under ``arcs`` to WARC files under ``warcs``, record by record, equal ones too.
+
+    An empty payload is a payload like others.  No archives under ``arcs`` give no records.
+    """
     write_warc(mark_revisits(read_arc(spark, arcs)), warcs)
 
 
 def page_records(spark: SparkSession, warcs: str) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of the archives of pages."""
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of the archives of pages: a row for each record.
+
+    Rows of pages that were equal are records of their own: one is the response, and the others refer to its page, which
+    then is theirs too.  A null html is an empty payload.
+    """
     got = read_warc(spark, warcs)
     whole = got.filter("record_type = 'response'").select(F.col("record_id").alias("refers"), F.col("page_id").alias("refers_to"))
     return got.join(whole, "refers", "left").select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")

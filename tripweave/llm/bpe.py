@@ -28,6 +28,7 @@ _SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNKS = re.compile(rf" ?[^{_SPACES}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+")
 #: Chunks kept by a worker: so many that came twice or more, and so many new ones.
 _KEEP = 1 << 18
+_PAIRS = 1 << 20  # pairs of tokens whose compatibility is kept
 
 
 def _byte_chars() -> dict[str, int]:
@@ -76,6 +77,7 @@ class Coder:
         self.machine.make_automaton()
         self.known, self.young, self.old, self.pieces = {}, {}, {}, {}
         self.size = [len(t) for t in self.text]
+        self.longest = max(self.size, default=0)
         self.number = {t.decode("latin-1"): n for n, t in enumerate(self.text)}
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         lengths = np.array([len(b) for b in self.bytes])
@@ -86,6 +88,8 @@ class Coder:
         """Whether merging leaves ``one`` and ``two`` side by side: no merge across their border comes earlier."""
         got = self.known.get((one, two))
         if got is None:
+            if len(self.known) >= _PAIRS:
+                self.known.clear()
             got = self.known[one, two] = self._compatible(one, two)
         return got
 
@@ -116,13 +120,13 @@ class Coder:
         token = number.get(data)
         if token is not None:
             return [token]
-        reach, shorter = self.machine.longest_prefix, self.shorter
+        reach, shorter, longest = self.machine.longest_prefix, self.shorter, self.longest
         spoilt = set()
         out, at, n, last = [], 0, len(data), -1
         token = None
         while True:
             if token is None:  # the automaton's longest path, cut back to its last token
-                rest = data[at:]
+                rest = data[at : at + longest]
                 rest = rest[: reach(rest)]
                 token = number.get(rest)
                 while token is None:

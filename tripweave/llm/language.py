@@ -91,22 +91,24 @@ def _clusters(v: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 def fit(labelled: DataFrame, per_lang: int = 400, clusters: int = 4, slack: float = 0.5) -> Centroids:
     """Learn from rows (doc_id, text, lang); rows without text, letters or lang teach nothing.
 
-    The fit is on a bounded sample: of each language the ``per_lang`` rows whose hashed id comes first, chosen
+    The fit is on a bounded sample: of each language the ``per_lang`` different rows whose hashed id comes first, chosen
     over all rows.  Only their sparse counts reach the driver.  A text is rejected where its cosine is under
     ``slack`` times the least that any sampled text has with its own language.
     """
-    ids = (
-        labelled.filter("lang is not null and text is not null")
-        .select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    keys = ["doc_id", "lang", "digest"]
+    known = labelled.filter("lang is not null and text is not null").select("doc_id", "lang", "text", F.xxhash64("text").alias("digest"))
+    order = ["h", *keys]
+    picked = (
+        known.select(*keys).distinct().withColumn("h", F.xxhash64("doc_id"))
         # a language may hold most rows: first the best of each of 64 parts of it, then the best of those
-        .withColumn("k", F.row_number().over(Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h", "doc_id")))
+        .withColumn("k", F.row_number().over(Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy(*order)))
         .filter(F.col("k") <= per_lang)
-        .withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
+        .withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
         .filter(F.col("k") <= per_lang)
-        .select(F.col("doc_id").alias("picked"))
-        .distinct()
+        .select(*keys)
     )
-    rows = labelled.join(ids, F.col("doc_id") == F.col("picked"), "left_semi").filter("lang is not null").select("lang", "text")
+    # copies of a row teach once, and are put together before they are sent anywhere
+    rows = known.join(picked, keys, "left_semi").groupBy(*keys).agg(F.first("text").alias("text")).select("lang", "text")
 
     def sparse(batch):
         texts, out = batch.column("text").to_pylist(), {"lang": batch.column("lang").to_pylist(), "at": [], "n": []}
