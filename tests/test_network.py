@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from conftest import rows
@@ -199,6 +200,16 @@ def test_restore_truncates_and_drops_unknown(spark):
     ]
 
 
+def test_what_restoring_drops(spark):
+    seq = spark.createDataFrame([(1, 0, 1), (1, 1, 2), (1, 2, 99), (2, 0, 99), (2, 1, 98)], "traj_id long, site long, vertex_id long")
+    vertices = spark.createDataFrame([(1, 1.0, 1.0), (2, 2.0, 2.0)], "vertex_id long, lng double, lat double")
+    found = Observation("restore")
+    got = rows(network.restore_coordinates(seq, vertices, found), "traj_id", "site")
+    assert got == [(1, 0), (1, 1)] == rows(network.restore_coordinates(seq, vertices), "traj_id", "site")
+    assert found.get == {"kept": 2, "dropped": 3}
+    assert rows(network.unknown_vertices(seq, vertices), "vertex_id", "n") == [(98, 1), (99, 2)]
+
+
 def test_degree_counts_a_loop_twice(spark):
     edges = spark.createDataFrame([(1, 1, 1), (2, 1, 2)], "edge_id long, s_id long, e_id long")
     assert rows(network.vertex_degree(edges), "vertex_id", "in_deg", "out_deg") == [(1, 1, 2), (2, 1, 0)]

@@ -130,3 +130,15 @@ def test_transfer_matrix_is_the_literal_count(spark, walks):
 def test_unknown_destination_is_empty(spark, walks):
     nowhere = spark.createDataFrame([(999,)], "d_id long")
     assert transfer.transfer_matrix(walks.traj_edges, index.edge_index(walks.traj_edges), walks.network, nowhere).count() == 0
+
+
+def test_bit_sets_hold_the_same_trips(spark, rng):
+    """Ids of many buckets, zero and below."""
+    trips = rng.sample(range(-70_000, 200_000), 300) + [0, 1, 32768, 32769, -32768, -32767]
+    seq = [(t, i, e) for t in trips for i, e in enumerate(rng.sample([102, 203, 301, 103, 201], 3))]
+    edges = spark.createDataFrame([(e, e // 100, e % 100) for e in (102, 203, 301, 103, 201)], "edge_id long, s_id long, e_id long")
+    traj = spark.createDataFrame(seq, "traj_id long, site long, edge_id long")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 2), (3, 1), (9, 1)], "o_id long, d_id long")
+    sets = od.od_unordered_sets(index.edge_bitmap(traj), edges, pairs)
+    want = rows(od.od_unordered(index.edge_index(traj), edges, pairs), "o_id", "d_id", "traj_id")
+    assert want and rows(index.bitmap_ids(sets, "o_id", "d_id"), "o_id", "d_id", "id") == want

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from workload.queries import QUERIES
 from conftest import rows
-from tripweave.operators import anomaly, index, network, od, paths, routes
+from tripweave import schemas
+from tripweave.operators import anomaly, index, network, od, paths, routes, trie
+from tripweave.sinks import tables as stored
+from tripweave.sources import tables
 
 SF_DIR = "/root/testdata/sf0.001"
 BANNED = ["CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "EvalPython", "InPandas", "InArrow"]
@@ -163,3 +166,46 @@ def test_scores_with_shuffle_joins(spark, no_broadcast, walks):
     split = rows(anomaly.isolation_counts(given.routes, given.pool, given.postings, p), *columns)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
     assert rows(anomaly.isolation_counts(given.routes, given.pool, given.postings, p), *columns) == split
+
+
+def exchanges(df):
+    return [text.split("\n")[0] for name, text, _ in nodes(df) if name == "Exchange"]
+
+
+def test_bucketed_tables_are_not_exchanged(spark, no_broadcast, walks, tmp_path):
+    """A join on the bucketed column moves the other side only, a grouping nothing, a lookup reads one bucket."""
+    postings = index.vertex_index(walks.traj_vertices)
+    stored.write_bucketed(walks.traj_edges, "trips_by_id", f"{tmp_path}/trips", "traj_id", 8, ["site"])
+    stored.write_bucketed(postings, "postings_by_key", f"{tmp_path}/postings", "key_id", 8)
+    for name in ("trips_by_id", "postings_by_key"):
+        spark.sql(f"DROP TABLE {name}")
+    trips = tables.open_bucketed(spark, "trips_again", f"{tmp_path}/trips", schemas.TRAJ_EDGES, "traj_id", 8, ["site"])
+    keys = tables.open_bucketed(spark, "postings_again", f"{tmp_path}/postings", schemas.POSTINGS, "key_id", 8)
+    ids = spark.range(5, 25).selectExpr("id AS traj_id")
+    got = paths.restrict_trips(trips, ids)
+    assert rows(got, "*") == rows(walks.traj_edges.where("traj_id BETWEEN 5 AND 24"), "*")
+    moved = exchanges(got)
+    assert len(moved) == 1 and "site" not in moved[0]
+    assert exchanges(paths.pack(trips, "edge_id")) == []
+    wanted = spark.createDataFrame([(2,), (4,)], "key_id long")
+    assert rows(index.lookup_postings(keys, wanted), "*") == rows(postings.where("key_id IN (2, 4)"), "*")
+    assert len(exchanges(index.lookup_postings(keys, wanted))) == 1
+    one = index.postings_of(keys, 3)
+    in_bucket = postings.where("pmod(hash(key_id), 8) = pmod(hash(3L), 8)").count()
+    assert [n for name, _, n in nodes(one) if name.startswith("Scan parquet")] == [in_bucket] and in_bucket < postings.count()
+    assert rows(one, "*") == rows(postings.where("key_id = 3"), "*")
+    for name in ("trips_again", "postings_again"):
+        spark.sql(f"DROP TABLE {name}")
+
+
+def test_tree_has_no_window_and_one_exchange(spark, walks):
+    merged = spark.createDataFrame(
+        [(1, 2, 0, [1, 5, 2], 3), (1, 3, 1, [1, 5, 3], 1)], "o_id long, d_id long, route_id long, vertices array<long>, freq long"
+    )
+    ran = nodes(trie.trie_nodes(merged))
+    assert not [name for name, *_ in ran if name == "Window"] and len([n for n, *_ in ran if n == "Exchange"]) == 1
+
+
+def test_pairs_on_bit_sets_list_no_ids(spark, walks):
+    text = od.od_unordered_sets(index.edge_bitmap(walks.traj_edges), walks.network, walks.od)._jdf.queryExecution().executedPlan().toString()
+    assert "collect" not in text

@@ -166,3 +166,22 @@ def test_small_texts(spark, walks, tmp_path):
     assert [r.value for r in out.format_histogram(histogram).collect()] == [f"({a},{b})" for a, b in histogram.collect()]
     tables.write_histogram(histogram, f"{tmp_path}/h")
     assert rows(spark.read.parquet(f"{tmp_path}/h"), "*") == rows(histogram, "*")
+
+
+def test_counted_routes_with_and_without_expansions(spark):
+    expanded = spark.createDataFrame([(1, 2, [12], 3), (1, 2, [13, 32], 0), (4, 5, [], 1)], "o_id long, d_id long, edges array<long>, freq long")
+    expansions = spark.createDataFrame([(1, 2, [12], 7, 8, 9), (1, 2, [12], 7, 8, 10), (1, 2, [12], 6, 8, 5000)], "o_id long, d_id long, edges array<long>, x_o_id long, x_d_id long, x_route_id long")
+    lines = out.format_counted_routes(expanded, expansions)
+    assert sorted(r.value for r in lines.collect()) == ["(1,2)|12,3[6,8,5000|]", "(1,2)|12,3[7,8,9|7,8,10|]", "(1,2)|13,32,0[]", "(4,5)|,1[]"]
+    bad = spark.createDataFrame([("(1,2)|12,3[7,8|]",), ("x",), ("(1,2)|1,,2,x[]",)], "value string")
+    got = src.parse_counted_routes(lines.unionByName(bad))
+    assert sorted((r.o_id, tuple(r.edges), r.freq, r.x_o_id, r.x_d_id, r.x_route_id) for r in got.where("x_o_id IS NOT NULL").collect()) == [(1, (12,), 3, 6, 8, 5000), (1, (12,), 3, 7, 8, 9), (1, (12,), 3, 7, 8, 10)]
+    assert got.where("x_o_id IS NULL").count() == 2 and src.parse_counted_routes(bad, rejected=True).count() == 3
+
+
+def test_lines_that_other_parsers_reject(spark):
+    lines = spark.createDataFrame([("((1,2),3,(4,edge_id:5,6))",), ("((1,2),3,(4,edge_id:))",), ("(5,6)",), ("7|8,9,8,",), ("7|x,",), ("1,2|3|0|4|0,5|6|0|7|0",), ("1,2|3",), ("",)], "value string")
+    assert rows(src.parse_od_routes(lines), "freq", "edges") == [(4, ()), (4, (5, 6))]
+    assert rows(src.parse_histogram(lines), "*") == [(5, 6)]
+    assert (7, 9) in rows(src.parse_vertex_trajs(lines), "*") and rows(src.parse_vertex_trajs(lines, rejected=True).where("value = '7|x,'"), "value") == [("7|x,",)]
+    assert (1, 1, 5, 6, 7) in rows(src.parse_restored(lines), "*") and ("1,2|3",) in rows(src.parse_restored(lines, rejected=True), "value")

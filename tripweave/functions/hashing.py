@@ -19,5 +19,9 @@ def hash60(*parts: Column) -> Column:
 
 def hash120(*parts: Column) -> tuple[Column, Column]:
     """Two independent 60-bit hashes from one digest."""
-    digest = F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))
+    return digest_halves(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])))
+
+
+def digest_halves(digest: Column) -> tuple[Column, Column]:
+    """Two 60-bit numbers of an md5 digest in hexadecimal."""
     return _hex_to_long(digest, 1), _hex_to_long(digest, 1 + HASH_BITS // 4)

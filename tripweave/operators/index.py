@@ -39,6 +39,35 @@ def vertex_bitmap(traj_vertices: DataFrame) -> DataFrame:
     )
 
 
+def edge_bitmap(traj_edges: DataFrame) -> DataFrame:
+    """Trip ids per edge as bit sets, one row per (edge, bucket of ids) (A5, set form)."""
+    return traj_edges.groupBy("edge_id", F.bitmap_bucket_number("traj_id").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("traj_id")).alias("bits")
+    )
+
+
+#: Ids in a bucket of a bit set: a fixed value of the built-in functions.
+BUCKET_IDS = 32768
+
+
+def bitmap_ids(bitmap: DataFrame, *keys: str) -> DataFrame:
+    """(keys, id): the ids in the bit sets (keys, bucket, bits), one row each."""
+    byte = F.transform(
+        F.sequence(F.lit(0), F.length("bits") - 1),
+        lambda i: F.struct(i.alias("i"), F.conv(F.hex(F.substring("bits", i + 1, F.lit(1))), 16, 10).cast("int").alias("b")),
+    )
+    places = F.flatten(
+        F.transform(
+            F.filter(byte, lambda x: x["b"] > 0),
+            lambda x: F.transform(F.filter(F.sequence(F.lit(0), F.lit(7)), lambda k: F.getbit(x["b"].cast("bigint"), k) == 1), lambda k: x["i"] * 8 + k),
+        )
+    )
+    bucket, at = F.col("bucket"), F.col("_at")
+    # positive ids count up from bucket 1, the others down from bucket 0
+    ids = F.when(bucket > 0, (bucket - 1) * BUCKET_IDS + at + 1).otherwise(bucket * BUCKET_IDS - at)
+    return bitmap.select(*keys, "bucket", F.explode(places).alias("_at")).select(*keys, ids.alias("id"))
+
+
 def bitmap_sizes(bitmap: DataFrame) -> DataFrame:
     """Number of different trips per vertex, counted from the bit sets."""
     return bitmap.groupBy("vertex_id").agg(F.sum(F.bitmap_count("bits")).cast("bigint").alias("n"))

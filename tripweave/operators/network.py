@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, geohash
@@ -43,12 +43,29 @@ def unify_edges(edges: DataFrame, duplicates: DataFrame) -> DataFrame:
     )
 
 
-def restore_coordinates(traj_vertices: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Coordinates of every visit in 1e-7 degrees, cut to whole numbers (J8); unknown vertices drop out."""
+def restore_coordinates(traj_vertices: DataFrame, vertices: DataFrame, found: Observation | None = None) -> DataFrame:
+    """Coordinates of every visit in 1e-7 degrees, cut to whole numbers (J8); unknown vertices drop out.
+
+    ``found``, where given, counts the visits that are kept (``kept``) and dropped (``dropped``) as the result is made, without
+    another pass.  :func:`unknown_vertices` lists what is dropped.
+    """
     x = (F.col("lng") * F.lit(10000000.0)).cast("bigint").alias("x")
     y = (F.col("lat") * F.lit(10000000.0)).cast("bigint").alias("y")
     rest = [c for c in traj_vertices.columns if c not in {"traj_id", "site", "vertex_id"}]
-    return traj_vertices.join(vertices, "vertex_id").select("traj_id", "site", x, y, *rest)
+    if found is None:
+        return traj_vertices.join(vertices, "vertex_id").select("traj_id", "site", x, y, *rest)
+    located = traj_vertices.join(vertices.withColumn("_known", F.lit(True)), "vertex_id", "left")
+    located = located.observe(found, F.count("_known").alias("kept"), F.count_if(F.col("_known").isNull()).alias("dropped"))
+    return located.where("_known").select("traj_id", "site", x, y, *rest)
+
+
+def unknown_vertices(traj_vertices: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(vertex_id, n): visits of vertices without coordinates, which :func:`restore_coordinates` drops.
+
+    Visits are counted per vertex before they meet the vertices, so a place that many trips visit is one row.
+    """
+    visits = traj_vertices.groupBy("vertex_id").agg(F.count(F.lit(1)).alias("n"))
+    return visits.join(vertices.select("vertex_id"), "vertex_id", "left_anti")
 
 
 def vertex_degree(edges: DataFrame) -> DataFrame:

@@ -154,6 +154,25 @@ def od_unordered(postings: DataFrame, edges: DataFrame, od: DataFrame) -> DataFr
     return _match(_uses(postings, edges, pairs), pairs, ordered=False).select("o_id", "d_id", "traj_id")
 
 
+def od_unordered_sets(bitmap: DataFrame, edges: DataFrame, od: DataFrame) -> DataFrame:
+    """(o_id, d_id, bucket, bits): the trips of :func:`od_unordered` as bit sets, from those of edges (J6, U1 on A5).
+
+    The sets of the edges out of O are united, so are those into D, and both intersected, bucket by bucket; no id is listed.
+    A pair's sets spread over its buckets, and a row is 4 KB however many trips it holds.
+    """
+    pairs = _pairs(od)
+
+    def united(end: str, key: str) -> DataFrame:
+        ends = edges.select("edge_id", F.col(end).alias(key)).join(pairs.select(key).distinct(), key, "left_semi")
+        return bitmap.join(ends, "edge_id").groupBy(key, "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+
+    out, into = united("s_id", "o_id"), united("e_id", "d_id").withColumnRenamed("bits", "_into")
+    both = pairs.join(out, "o_id").join(into, ["d_id", "bucket"])
+    sets = both.select("o_id", "d_id", "bucket", F.explode(F.array("bits", "_into")).alias("bits"))
+    met = sets.groupBy("o_id", "d_id", "bucket").agg(F.bitmap_and_agg("bits").alias("bits"))
+    return met.where(F.bitmap_count("bits") > 0)
+
+
 def od_by_scan(traj_vertices: DataFrame, od: DataFrame) -> DataFrame:
     """(o_id, d_id, traj_id) for trips where some visit of D follows the first visit of O.
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as fp
 from .od import od_by_scan
-from .paths import packed_trips, sub_trajectory
+from .paths import packed_trips, restrict_trips, sub_trajectory
 
 PATH_COLUMNS = ("edges", "vertices", "ends")
 
@@ -43,8 +43,11 @@ def merge_routes(routes: DataFrame) -> DataFrame:
 
 
 def routes_between(traj_edges: DataFrame, edges: DataFrame, od_trajs: DataFrame) -> DataFrame:
-    """Merged routes of every listed pair, cut out of the trips that run through it."""
-    parts = sub_trajectory(packed_trips(traj_edges, edges), od_trajs)
+    """Merged routes of every listed pair, cut out of the trips that run through it.
+
+    Only these trips are packed (J12).
+    """
+    parts = sub_trajectory(packed_trips(restrict_trips(traj_edges, od_trajs), edges), od_trajs)
     return merge_routes(
         parts.select("o_id", "d_id", F.col("traj_id").alias("route_id"), "edges", F.lit(1).cast("bigint").alias("freq"))
     )

@@ -2,16 +2,17 @@
 
 A node is a different prefix (o_id, v1, ..., vk) of some route from o_id.  Writing prefixes out would
 make L routes of length L cost L^2, so a node is named by a 120-bit fingerprint instead: the running XOR
-of one hash per (depth, element).  It is computed by one running window per route, and routes that share
-a prefix meet at the same name and combine before the shuffle.
+of one hash per (depth, element).  It is scanned along the path inside the route's row, and routes that share
+a prefix meet at the same name and combine before the shuffle.  As names hang on the prefix alone, the nodes
+of a new batch of routes are simply added to stored ones.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hash120
+from ..functions.hashing import digest_halves
 
 ROOT = 0
 
@@ -25,21 +26,51 @@ def trie_nodes(routes: DataFrame, path_col: str = "vertices", skip_first: bool =
     ``routes`` are merged routes, so route_id names one path of its pair.
     """
     path = F.slice(path_col, 2, F.size(path_col)) if skip_first else F.col(path_col)
-    steps = routes.select(
-        "o_id", "d_id", "route_id", "freq", F.size(path).alias("_n"), F.posexplode(path).alias("_i", "element")
-    ).withColumn("depth", (F.col("_i") + 1).cast("bigint"))
-    hi, lo = hash120(F.col("depth"), F.col("element"))
-    hashed = steps.withColumn("_hi", hi).withColumn("_lo", lo)
-    by_route = Window.partitionBy("o_id", "d_id", "route_id").orderBy("depth")
-    upto = by_route.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    named = hashed.withColumn("node_hi", F.bit_xor("_hi").over(upto)).withColumn("node_lo", F.bit_xor("_lo").over(upto))
+    named = routes.select("o_id", "freq", F.size(path).cast("bigint").alias("_n"), F.inline(_prefixes(path)))
     ends_here = F.when(F.col("depth") == F.col("_n"), F.col("freq")).otherwise(F.lit(0))
-    return (
-        named.withColumn("parent_hi", F.col("node_hi").bitwiseXOR(F.col("_hi")))
-        .withColumn("parent_lo", F.col("node_lo").bitwiseXOR(F.col("_lo")))
-        .groupBy("o_id", "depth", "element", "node_hi", "node_lo", "parent_hi", "parent_lo")
-        .agg(F.sum(ends_here).cast("bigint").alias("end_freq"), F.sum("freq").cast("bigint").alias("pass_freq"))
-    )
+    return _added(named.select(*KEY, ends_here.alias("end_freq"), F.col("freq").alias("pass_freq")))
+
+
+KEY = ["o_id", "depth", "element", "node_hi", "node_lo", "parent_hi", "parent_lo"]
+
+
+def _prefixes(path: Column) -> Column:
+    """(depth, element, node_hi, node_lo, parent_hi, parent_lo) of every prefix of the path."""
+    zero = F.lit(ROOT).cast("bigint")
+    digest = F.transform(path, lambda x, i: F.struct((i + 1).cast("bigint").alias("depth"), x.alias("x"), F.md5(F.concat_ws("|", (i + 1).cast("string"), x.cast("string"))).alias("m")))
+
+    def halves(e: Column) -> Column:
+        hi, lo = digest_halves(e["m"])
+        return F.struct(e["depth"].alias("depth"), e["x"].alias("x"), hi.alias("hi"), lo.alias("lo"))
+
+    def node(depth: Column, x: Column, hi: Column, lo: Column, parent_hi: Column, parent_lo: Column) -> Column:
+        return F.struct(
+            depth.alias("depth"), x.alias("element"), hi.alias("node_hi"), lo.alias("node_lo"),
+            parent_hi.alias("parent_hi"), parent_lo.alias("parent_lo"),
+        )
+
+    root = node(F.lit(0).cast("bigint"), F.lit(0).cast("bigint"), zero, zero, zero, zero)
+
+    def step(seen: Column, e: Column) -> Column:
+        # the one-element array binds the node before
+        last = F.slice(seen, -1, 1)
+        return F.concat(seen, F.transform(last, lambda p: node(
+            e["depth"], e["x"], p["node_hi"].bitwiseXOR(e["hi"]), p["node_lo"].bitwiseXOR(e["lo"]), p["node_hi"], p["node_lo"],
+        )))
+
+    return F.slice(F.aggregate(F.transform(digest, halves), F.array(root), step), F.lit(2), F.size(path))
+
+
+def _added(nodes: DataFrame) -> DataFrame:
+    return nodes.groupBy(*KEY).agg(F.sum("end_freq").cast("bigint").alias("end_freq"), F.sum("pass_freq").cast("bigint").alias("pass_freq"))
+
+
+def add_nodes(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Stored nodes plus those of new routes: what the nodes of all routes together are.
+
+    The new routes are of new trips; no route is read again.
+    """
+    return _added(stored.unionByName(new.select(*stored.columns)))
 
 
 def trie_leaves(nodes: DataFrame) -> DataFrame:

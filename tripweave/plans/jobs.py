@@ -43,7 +43,7 @@ def frequent_pair_routes(
 ) -> DataFrame:
     """Routes of every frequent pair among all trips through it."""
     pairs = frequent_pairs(traj_vertices, min_count)
-    through = od.od_by_scan(traj_vertices, pairs)
+    through = cut_lineage(od.od_by_scan(traj_vertices, pairs))
     return routes.od_routes(cut_lineage(routes.routes_between(traj_edges, edges, through)))
 
 

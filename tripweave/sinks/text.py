@@ -79,6 +79,22 @@ def format_expansions(expansions: DataFrame) -> DataFrame:
     )
 
 
+def format_counted_routes(expanded: DataFrame, expansions: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
+    """``(o,d)|path,freq[x_o,x_d,x_route|x_o,...|]`` of every route, own or created, with its expansions (K9).
+
+    A route without expansions has an empty list, one with very many has several lines.
+    """
+    of = expansions.select("o_id", "d_id", "edges", "x_o_id", "x_d_id", "x_route_id")
+    listed = of.groupBy("o_id", "d_id", "edges", block_of(F.col("x_route_id"), block_bits).alias("_b")).agg(
+        F.sort_array(F.collect_list(F.struct("x_o_id", "x_d_id", "x_route_id"))).alias("_x")
+    )
+    items = F.transform("_x", lambda x: F.concat(F.concat_ws(",", *[x[c].cast("string") for c in ("x_o_id", "x_d_id", "x_route_id")]), F.lit("|")))
+    text = F.coalesce(F.array_join(items, ""), F.lit(""))
+    return expanded.join(listed, ["o_id", "d_id", "edges"], "left").select(
+        F.format_string("(%d,%d)|%s,%d[%s]", F.col("o_id"), F.col("d_id"), path_text(F.col("edges")), F.col("freq"), text).alias("value")
+    )
+
+
 def format_vertex_trajs(blocks: DataFrame) -> DataFrame:
     """``vertex|t1,t2,`` sorted by vertex (K10); ``blocks`` is the output of ``vertex_postings``."""
     ids = F.array_join(F.transform(F.col("trajs").cast("array<string>"), lambda x: F.concat(x, F.lit(","))), "")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +23,13 @@ def read_table(spark: SparkSession, path: str, schema: str, absent_is_empty: boo
         return spark.createDataFrame([], schema)
 
 
+def open_bucketed(spark: SparkSession, name: str, path: str, schema: str, by: str, buckets: int, sort: Sequence[str] = ()) -> DataFrame:
+    """The table that ``write_bucketed`` left at ``path``, named anew in this session's catalog."""
+    order = ", ".join([by, *sort])
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet CLUSTERED BY ({by}) SORTED BY ({order}) INTO {int(buckets)} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
 def read_postings(spark: SparkSession, path: str) -> DataFrame:
     """Postings sorted by key, so a filter on key_id skips the row groups of other keys."""
     return read_table(spark, path, schemas.POSTINGS, absent_is_empty=False)

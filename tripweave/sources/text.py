@@ -209,7 +209,61 @@ def parse_od_trajs(lines: DataFrame, rejected: bool = False) -> DataFrame:
     return good if rejected else good.select("o_id", "d_id", F.explode("_t").alias("traj_id"))
 
 
-def parse_transfer_matrix(lines: DataFrame) -> DataFrame:
-    """``s_id,e_id,edge_id,num`` rows of one destination, as the matrix sink writes them."""
+def parse_od_routes(lines: DataFrame, rejected: bool = False) -> DataFrame:
+    """``((o,d),n_routes,(freq,edge_id:e1,e2,...))`` to (o_id, d_id, n_routes, freq, edges) (K5)."""
+    g = lambda i: F.regexp_extract("value", r"^\(\((-?\d+),(-?\d+)\),(\d+),\((\d+),edge_id:([-\d,]*)\)\)$", i)
+    ids = F.filter(F.split(g(5), ","), lambda x: x != "")
+    parsed = lines.select("value", *[_long(g(i)).alias(c) for i, c in enumerate(("o_id", "d_id", "n_routes", "freq"), 1)], _longs(ids).alias("edges"))
+    return _split_rejected(parsed, F.col("freq").isNotNull() & _whole(F.col("edges")), rejected, "o_id", "d_id", "n_routes", "freq", "edges")
+
+
+def parse_restored(lines: DataFrame, rejected: bool = False) -> DataFrame:
+    """``traj_id,x|y|0|t|0,...`` to (traj_id, site, x, y, t) (K7); sites are numbered anew."""
+    f = F.split("value", ",")
+    point = F.transform(F.slice(f, F.lit(2), F.size(f)), lambda p: F.transform(F.split(p, "[|]"), _long))
+    parsed = lines.select("value", _long(F.get(f, F.lit(0))).alias("traj_id"), point.alias("_p"))
+    ok = F.col("traj_id").isNotNull() & ~F.exists("_p", lambda p: (F.size(p) != 5) | F.exists(p, lambda x: x.isNull()))
+    good = _split_rejected(parsed, ok, rejected, "traj_id", "_p")
+    if rejected:
+        return good
+    return good.select("traj_id", F.posexplode("_p").alias("site", "_p")).select(
+        "traj_id", F.col("site").cast("bigint").alias("site"), *[F.get("_p", F.lit(i)).alias(c) for i, c in ((0, "x"), (1, "y"), (3, "t"))]
+    )
+
+
+def parse_counted_routes(lines: DataFrame, rejected: bool = False) -> DataFrame:
+    """``(o,d)|path,freq[x_o,x_d,x_route|...]`` to (o_id, d_id, edges, freq, x_o_id, x_d_id, x_route_id) (K9).
+
+    A route without expansions has one row with NULLs.
+    """
+    g = lambda i: F.regexp_extract("value", r"^\((-?\d+),(-?\d+)\)\|([-\d,]*),(\d+)\[([-\d,|]*)\]$", i)
+    ids = F.filter(F.split(g(3), ","), lambda x: x != "")
+    items = F.transform(F.filter(F.split(g(5), "[|]"), lambda x: x != ""), lambda x: F.transform(F.split(x, ","), _long))
+    parsed = lines.select("value", *[_long(g(i)).alias(c) for i, c in ((1, "o_id"), (2, "d_id"), (4, "freq"))], _longs(ids).alias("edges"), items.alias("_x"))
+    ok = F.col("freq").isNotNull() & _whole(F.col("edges")) & ~F.exists("_x", lambda x: (F.size(x) != 3) | F.exists(x, lambda v: v.isNull()))
+    good = _split_rejected(parsed, ok, rejected, "o_id", "d_id", "edges", "freq", "_x")
+    if rejected:
+        return good
+    return good.select("o_id", "d_id", "edges", "freq", F.explode_outer("_x").alias("_x")).select(
+        "o_id", "d_id", "edges", "freq", *[F.get("_x", F.lit(i)).alias(c) for i, c in enumerate(("x_o_id", "x_d_id", "x_route_id"))]
+    )
+
+
+def parse_vertex_trajs(lines: DataFrame, rejected: bool = False) -> DataFrame:
+    """``vertex|t1,t2,`` to (vertex_id, traj_id), a row for each visit."""
+    ids = F.filter(F.split(F.split_part("value", F.lit("|"), F.lit(2)), ","), lambda x: x != "")
+    parsed = lines.select("value", _long(F.split_part("value", F.lit("|"), F.lit(1))).alias("vertex_id"), _longs(ids).alias("_t"))
+    good = _split_rejected(parsed, F.col("vertex_id").isNotNull() & _whole(F.col("_t")), rejected, "vertex_id", "_t")
+    return good if rejected else good.select("vertex_id", F.explode("_t").alias("traj_id"))
+
+
+def parse_histogram(lines: DataFrame, rejected: bool = False) -> DataFrame:
+    """``(n_edges,n)`` to (n_edges, n)."""
+    g = lambda i: _long(F.regexp_extract("value", r"^\((\d+),(\d+)\)$", i))
+    return _split_rejected(lines.select("value", g(1).alias("n_edges"), g(2).alias("n")), F.col("n").isNotNull(), rejected, "n_edges", "n")
+
+
+def parse_transfer_matrix(lines: DataFrame, *keys: str) -> DataFrame:
+    """``s_id,e_id,edge_id,num`` rows of one destination, as the matrix sink writes them, beside the columns ``keys``."""
     f = F.split("value", ",")
-    return lines.select(*[_long(F.get(f, F.lit(i))).alias(c) for i, c in enumerate(["s_id", "e_id", "edge_id", "num"])])
+    return lines.select(*keys, *[_long(F.get(f, F.lit(i))).alias(c) for i, c in enumerate(["s_id", "e_id", "edge_id", "num"])])

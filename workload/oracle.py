@@ -538,3 +538,31 @@ SELECT cell, count(*) AS n,
        round(any_value((x0 + x1) / 2 - ((x0 + x1) / 2) % 1e-8::DOUBLE), 6) AS lng
 FROM h WHERE step = 75 GROUP BY cell
 """, recursive=True)
+
+# --- stored tables and text ---------------------------------------------------------------------
+
+# Storing must not change them.
+for _name, _of in {
+    "stored_vertex_index": "vertex_index", "stored_od_routes": "od_routes", "stored_transfer_matrix": "transfer_matrix",
+    "length_histogram_lines": "path_length_histogram", "od_unordered_sets": "od_unordered", "trie_growth": "trie_nodes",
+    "stored_batches": "trie_merge",
+}.items():
+    ORACLE_SQL[_name] = ORACLE_SQL[_of]
+
+_oracle("postings_of_key", ["fb_post_v"], "SELECT key_id, traj_id, site FROM fb_post_v WHERE key_id = 8")
+_oracle("unknown_vertices", ["fb_vertices"], """
+SELECT vertex_id, count(*) AS n FROM fb_vertices
+WHERE vertex_id NOT IN (SELECT n_nationkey + 1 FROM nation WHERE (n_nationkey + 1) % 2 = 0) GROUP BY vertex_id
+""")
+_oracle("restored_lines", ["fb_vertices", "fg_vertices"], """
+SELECT traj_id, site, CAST(trunc(lng * 10000000.0::DOUBLE) AS BIGINT) AS x, CAST(trunc(lat * 10000000.0::DOUBLE) AS BIGINT) AS y,
+       CAST(0 AS BIGINT) AS t
+FROM fb_vertices JOIN fg_vertices USING (vertex_id)
+""")
+_oracle("vertex_traj_lines", ["fb_vertices"], "SELECT vertex_id, traj_id FROM fb_vertices")
+_oracle("stored_expansions", ["expansions", "fc_routes"], """
+WITH every AS (SELECT o_id, d_id, edges, freq FROM fc_routes
+               UNION SELECT o_id, d_id, edges, 0 FROM expansions WHERE created)
+SELECT v.o_id, v.d_id, array_to_string(v.edges, ',') AS path, CAST(v.freq AS BIGINT) AS freq, x_o_id, x_d_id, x_route_id
+FROM every v LEFT JOIN expansions x ON x.o_id = v.o_id AND x.d_id = v.d_id AND x.edges = v.edges
+""")

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tripweave import schemas
 from tripweave.functions.paths import contains_sub_route, edge_count, path_text, same_route
 from tripweave.operators import anomaly, index, network, od, paths, routes, transfer, trie
 from tripweave.plans import jobs
@@ -16,6 +17,8 @@ from tripweave.sinks import tables as stored
 from tripweave.sinks import text as out
 from tripweave.sources import tables
 from tripweave.sources import text as src
+from tripweave.streaming import route_store
+from tripweave.streaming.commit_log import CommitLog
 
 from .fixtures import Fixtures
 
@@ -58,6 +61,17 @@ def _text(*columns):
     return [F.col(c).cast("string") for c in columns]
 
 
+def _new_folder(f: Fixtures, name: str) -> str:
+    return f"{shared_folder(f.spark).rstrip('/')}/tripweave/{f.spark.conf.get('spark.app.id')}/{name}-{uuid.uuid4().hex}"
+
+
+def _through_text(f: Fixtures, lines: DataFrame, name: str) -> DataFrame:
+    """Lines written as text files and read back."""
+    path = _new_folder(f, name)
+    out.write_lines(lines, path)
+    return src.read_lines(f.spark, path)
+
+
 def fb_pairs(f: Fixtures) -> DataFrame:
     return jobs.frequent_pairs(f.fb_vertices, FB_MIN_COUNT)
 
@@ -458,7 +472,7 @@ def anomaly_score(f):
 @branching_query
 def load_scored_routes(f):
     """Scored routes written as a table and read back."""
-    path = f"{shared_folder(f.spark).rstrip('/')}/tripweave/{f.spark.conf.get('spark.app.id')}/routes-{uuid.uuid4().hex}"
+    path = _new_folder(f, "routes")
     stored.write_routes(jobs.score_pairs(f.fc_edges, f.fc_network, fc_pairs(f), PARAMS), path)
     read = tables.read_routes(f.spark, path)
     return read.select("o_id", "d_id", path_text(F.col("edges")).alias("path"), "freq", r6("score"))
@@ -517,3 +531,98 @@ def nearest_edge(f):
 @query
 def geohash_density(f):
     return network.geohash_density(f.fn_vertices).select("cell", "n", r6("lat"), r6("lng"))
+
+
+@query
+def unknown_vertices(f):
+    """Visits of places without coordinates, where only every other place has some."""
+    return network.unknown_vertices(f.fb_vertices, f.fg_vertices.where("vertex_id % 2 = 0"))
+
+
+# --- stored tables and text written and read back --------------------------------------------------
+
+
+def _stored_index(f):
+    name, path = f"postings_{uuid.uuid4().hex}", _new_folder(f, "postings")
+    stored.write_bucketed(index.vertex_index(f.fb_vertices), name, path, "key_id", 16, ["traj_id"])
+    f.spark.sql(f"DROP TABLE {name}")  # the files stay, as for another session
+    return tables.open_bucketed(f.spark, name, path, schemas.POSTINGS, "key_id", 16, ["traj_id"])
+
+
+@query
+def stored_vertex_index(f):
+    return _stored_index(f)
+
+
+@query
+def postings_of_key(f):
+    return index.postings_of(_stored_index(f), 8)
+
+
+@branching_query
+def stored_od_routes(f):
+    found = jobs.frequent_pair_routes(f.fc_vertices, f.fc_edges, f.fc_network, FC_MIN_COUNT)
+    read = src.parse_od_routes(_through_text(f, out.format_od_routes(found), "od_routes"))
+    return read.select("o_id", "d_id", "n_routes", "freq", path_text(F.col("edges")).alias("path"))
+
+
+@branching_query
+def stored_transfer_matrix(f):
+    path = _new_folder(f, "matrix")
+    stored.write_transfer_matrix(jobs.transfer_matrices(f.fb_edges, f.fb_network, fb_pairs(f)), path)
+    lines = f.spark.read.schema("value STRING, d_id BIGINT").option("sep", "\u0001").csv(path)
+    return src.parse_transfer_matrix(lines, "d_id")
+
+
+@query
+def restored_lines(f):
+    points = network.restore_coordinates(f.fb_vertices, f.fg_vertices)
+    return src.parse_restored(_through_text(f, out.format_restored(points), "restored"))
+
+
+@branching_query
+def stored_expansions(f):
+    found = jobs.count_routes(f.fc_edges, f.fc_network)
+    read = src.parse_counted_routes(_through_text(f, out.format_counted_routes(found.expanded, found.expansions), "expansions"))
+    return read.select("o_id", "d_id", path_text(F.col("edges")).alias("path"), "freq", "x_o_id", "x_d_id", "x_route_id")
+
+
+@query
+def vertex_traj_lines(f):
+    return src.parse_vertex_trajs(_through_text(f, out.format_vertex_trajs(index.vertex_postings(f.fb_vertices)), "vertices"))
+
+
+@query
+def length_histogram_lines(f):
+    return src.parse_histogram(_through_text(f, out.format_histogram(paths.path_length_histogram(f.fb_edges)), "histogram"))
+
+
+@branching_query
+def od_unordered_sets(f):
+    """The trips of ``od_unordered``, kept as bit sets until the end."""
+    sets = od.od_unordered_sets(index.edge_bitmap(f.fb_edges), f.fb_network, fb_pairs(f))
+    found = index.bitmap_ids(sets, "o_id", "d_id").withColumnRenamed("id", "traj_id")
+    return od.od_traj_lists(found).select("o_id", "d_id", "block", "n", ids_text("trajs"))
+
+
+@branching_query
+def trie_growth(f):
+    """The tree of all routes, grown from that of one part by the nodes of the other."""
+    old = trie.trie_nodes(routes.merge_routes(routes.trip_routes(f.fc_edges_of_status(False), f.fc_network)))
+    new = trie.trie_nodes(routes.merge_routes(routes.trip_routes(f.fc_edges_of_status(True), f.fc_network)))
+    return trie.add_nodes(old, new)
+
+
+@branching_query
+def stored_batches(f):
+    """Two batches of trips, one of them written again, put together and read."""
+    folder = _new_folder(f, "store")
+    for batch, is_open in ((0, False), (1, True), (1, True), (2, None)):
+        trips = f.fc_edges_of_status(bool(is_open))
+        new = routes.trip_routes(trips if is_open is not None else trips.limit(0), f.fc_network)
+        route_store.write_batch(new, folder, batch)
+    route_store.compact_in_place(f.spark, folder)
+    CommitLog(f.spark, folder).vacuum()
+    return route_store.read_store(f.spark, folder).select(
+        "o_id", "d_id", "route_id", path_text(F.col("edges")).alias("path"), "freq"
+    )
