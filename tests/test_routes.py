@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import itertools
+import random
 from collections import Counter
 
 import pytest
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 
 from conftest import Walks, rows
 from test_paths import literal_contains, literal_order, literal_sub
-from tripweave.operators import od, paths, routes, trie
+from tripweave.operators import od, paths, routes, scan, trie
 
 
 def literal_routes(walks):
@@ -153,3 +155,27 @@ def test_destination_routes(spark, demo):
         ((1, 2, 3, 4), 1), ((1, 2, 3, 222, 4), 2), ((1, 3, 5, 4), 1),
     ]
     assert dict((d, n) for _, d, n in rows(routes.od_trips(demo), "o_id", "d_id", "n")) == {5: 8, 4: 4, 3: 1}
+
+
+def test_long_trips_are_scanned_in_ranges(spark):
+    """One trip with half of all rows, ranges of every size, gaps between sites."""
+    r = random.Random(3)
+    trips = {1: [r.choice([5, 5, 5, 6, 7]) for _ in range(400)], 2: [5] * 50, 3: [6], 4: [5, 6] * 40, 5: [r.choice([6, 7]) for _ in range(200)]}
+    seq = spark.createDataFrame([(t, 3 * i, v) for t, p in trips.items() for i, v in enumerate(p)], "traj_id long, site long, vertex_id long")
+    want = sorted((t, i, v) for t, p in trips.items() for i, (v, _) in enumerate(itertools.groupby(p)))
+    dist = spark.createDataFrame([(5, 3.0), (6, None), (7, 1.0)], "edge_id long, dist double")
+    net = spark.createDataFrame([(5, 1, 2), (6, 2, 3), (7, 3, 1)], "edge_id long, s_id long, e_id long")
+    along = seq.withColumnRenamed("vertex_id", "edge_id")
+    mins = rows(paths.suffix_min(along, dist), "traj_id", "site", "edge_id", "dist")
+    for segment in (1, 7, 64, 1 << 16):
+        assert rows(scan.collapse_repeats(seq, segment=segment), "traj_id", "site", "vertex_id") == want
+        assert rows(scan.suffix_min(along, dist, segment), "traj_id", "site", "edge_id", "dist") == mins
+    assert rows(scan.vertex_path(along, net), "*") == rows(paths.vertex_path(along, net), "*")
+    assert rows(scan.vertex_path(along, net.where("edge_id < 7")), "*") == rows(paths.vertex_path(along, net.where("edge_id < 7")), "*")
+
+
+def test_vertices_of_routes(spark):
+    net = spark.createDataFrame([(12, 1, 2), (23, 2, 3)], "edge_id long, s_id long, e_id long")
+    given = spark.createDataFrame([(1, 3, 7, [12, 23], 2.0), (1, 9, 8, [12, 29], 1.0), (4, 4, 9, [], 0.0)], "o_id long, d_id long, route_id long, edges array<long>, score double")
+    got = rows(routes.add_vertices(given, net), "route_id", "score", "vertices", "ends")
+    assert got == [(7, 2.0, (1, 2, 3), (2, 3)), (8, 1.0, None, None), (9, 0.0, (), ())]

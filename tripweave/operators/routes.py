@@ -53,6 +53,22 @@ def routes_between(traj_edges: DataFrame, edges: DataFrame, od_trajs: DataFrame)
     )
 
 
+def add_vertices(routes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``routes`` with ``vertices`` (the starts, then the last end) and ``ends`` of their edges.
+
+    Both are NULL where an edge is not in the network, and empty where there is no edge.  Route_id names one path of its pair.
+    """
+    key = ["o_id", "d_id", "route_id"]
+    sites = routes.select(*key, F.posexplode("edges").alias("site", "edge_id"))
+    met = sites.join(edges.select("edge_id", "s_id", "e_id"), "edge_id", "left")
+    known = F.min(F.col("s_id").isNotNull() & F.col("e_id").isNotNull())
+    lists = met.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("site", "s_id", "e_id"))).alias("_l"), known.alias("_known"))
+    ends = F.when(F.col("_known"), F.col("_l.e_id")).when(F.size("edges") == 0, F.array().cast("array<bigint>"))
+    vertices = F.when(F.col("_known"), F.concat("_l.s_id", F.slice(F.col("_l.e_id"), -1, 1))).otherwise(ends)
+    rest = [c for c in routes.columns if c not in ("vertices", "ends")]
+    return routes.join(lists, key, "left").select(*rest, vertices.alias("vertices"), ends.alias("ends"))
+
+
 def route_counts(routes: DataFrame) -> DataFrame:
     """Number of routes per pair."""
     return routes.groupBy("o_id", "d_id").agg(F.count(F.lit(1)).alias("n_routes"))

@@ -36,12 +36,12 @@ def format_od_counts(counts: DataFrame) -> DataFrame:
 def format_od_trajs(blocks: DataFrame, counts: DataFrame) -> DataFrame:
     """``(n,((o,d),CompactBuffer(t1, t2)))`` per block of a pair, largest pair first (K4).
 
-    ``blocks`` and ``counts`` are the outputs of ``od_traj_lists`` and ``od_traj_counts``; n is the size
-    of the line's own list.
+    ``blocks`` and ``counts`` are the outputs of ``od_traj_lists`` and ``od_traj_counts``; n is the number of all
+    trips of the pair, which may have several lines.
     """
     sizes = counts.select("o_id", "d_id", F.col("n").alias("_total"))
     ids = F.array_join(F.col("trajs").cast("array<string>"), ", ")
-    text = F.format_string("(%d,((%d,%d),CompactBuffer(%s)))", F.col("n"), F.col("o_id"), F.col("d_id"), ids)
+    text = F.format_string("(%d,((%d,%d),CompactBuffer(%s)))", F.col("_total"), F.col("o_id"), F.col("d_id"), ids)
     ordered = blocks.join(sizes, ["o_id", "d_id"]).orderBy(F.col("_total").desc(), "o_id", "d_id", "block")
     return ordered.select(text.alias("value"))
 

@@ -545,15 +545,21 @@ FROM h WHERE step = 75 GROUP BY cell
 for _name, _of in {
     "stored_vertex_index": "vertex_index", "stored_od_routes": "od_routes", "stored_transfer_matrix": "transfer_matrix",
     "length_histogram_lines": "path_length_histogram", "od_unordered_sets": "od_unordered", "trie_growth": "trie_nodes",
-    "stored_batches": "trie_merge",
+    "stored_batches": "trie_merge", "collapse_long_trips": "collapse_repeats", "suffix_min_long_trips": "suffix_min",
+    "long_path_vertices": "path_vertices",
 }.items():
     ORACLE_SQL[_name] = ORACLE_SQL[_of]
 
-_oracle("postings_of_key", ["fb_post_v"], "SELECT key_id, traj_id, site FROM fb_post_v WHERE key_id = 8")
+_oracle("postings_of_key", ["fb_post_v"], "SELECT key_id, traj_id, site FROM fb_post_v WHERE key_id = 9")
 _oracle("unknown_vertices", ["fb_vertices"], """
 SELECT vertex_id, count(*) AS n FROM fb_vertices
 WHERE vertex_id NOT IN (SELECT n_nationkey + 1 FROM nation WHERE (n_nationkey + 1) % 2 = 0) GROUP BY vertex_id
 """)
+_oracle("scored_route_vertices", ["scored_routes"], """
+SELECT o_id, d_id, route_id, freq, array_to_string(list_transform(edges, lambda e: e % 1000), ',') AS ends,
+       array_to_string(list_append(list_transform(edges, lambda e: e // 1000), edges[len(edges)] % 1000), ',') AS vertices
+FROM scored_routes
+""")
 _oracle("restored_lines", ["fb_vertices", "fg_vertices"], """
 SELECT traj_id, site, CAST(trunc(lng * 10000000.0::DOUBLE) AS BIGINT) AS x, CAST(trunc(lat * 10000000.0::DOUBLE) AS BIGINT) AS y,
        CAST(0 AS BIGINT) AS t

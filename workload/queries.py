@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tripweave import schemas
 from tripweave.functions.paths import contains_sub_route, edge_count, path_text, same_route
-from tripweave.operators import anomaly, index, network, od, paths, routes, transfer, trie
+from tripweave.operators import anomaly, index, network, od, paths, routes, scan, transfer, trie
 from tripweave.plans import jobs
 from tripweave.session import shared_folder
 from tripweave.sinks import tables as stored
@@ -473,7 +473,8 @@ def anomaly_score(f):
 def load_scored_routes(f):
     """Scored routes written as a table and read back."""
     path = _new_folder(f, "routes")
-    stored.write_routes(jobs.score_pairs(f.fc_edges, f.fc_network, fc_pairs(f), PARAMS), path)
+    scored = jobs.score_pairs(f.fc_edges, f.fc_network, fc_pairs(f), PARAMS)
+    stored.write_routes(routes.add_vertices(scored, f.fc_network), path)
     read = tables.read_routes(f.spark, path)
     return read.select("o_id", "d_id", path_text(F.col("edges")).alias("path"), "freq", r6("score"))
 
@@ -533,6 +534,35 @@ def geohash_density(f):
     return network.geohash_density(f.fn_vertices).select("cell", "n", r6("lat"), r6("lng"))
 
 
+@branching_query
+def scored_route_vertices(f):
+    """Routes to score, written with their vertices and read back."""
+    path = _new_folder(f, "routes")
+    stored.write_routes(routes.add_vertices(jobs.scoring_input(f.fc_edges, f.fc_network, fc_pairs(f)).routes, f.fc_network), path)
+    return tables.read_routes(f.spark, path).select(
+        "o_id", "d_id", "route_id", path_text(F.col("vertices")).alias("vertices"), path_text(F.col("ends")).alias("ends"), "freq"
+    )
+
+
+# trips cut into ranges of a few sites, so that the second pass has work
+
+
+@query
+def collapse_long_trips(f):
+    return scan.collapse_repeats(f.fa_points.select("traj_id", "site", "vertex_id"), segment=16)
+
+
+@branching_query
+def suffix_min_long_trips(f):
+    dist = f.fc_network.select("edge_id", (F.col("edge_id") % 97).cast("double").alias("dist"))
+    return scan.suffix_min(f.fc_edges, dist, segment=2).select("traj_id", "site", "dist")
+
+
+@branching_query
+def long_path_vertices(f):
+    return scan.vertex_path(f.fc_edges, f.fc_network)
+
+
 @query
 def unknown_vertices(f):
     """Visits of places without coordinates, where only every other place has some."""
@@ -556,7 +586,7 @@ def stored_vertex_index(f):
 
 @query
 def postings_of_key(f):
-    return index.postings_of(_stored_index(f), 8)
+    return index.postings_of(_stored_index(f), 9)
 
 
 @branching_query
