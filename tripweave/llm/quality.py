@@ -137,21 +137,22 @@ def fit_tables(x: np.ndarray, y: np.ndarray, bins: int = 32, rounds: int = 150,
 
 def fit(labelled: DataFrame, sample: int = 12_000) -> Tables:
     """Learn from rows (doc_id, text, quality).  The fit is on a bounded sample: the ``sample`` different rows whose
-    hashed id comes first, over all rows; only their features reach the driver.  Null labels teach nothing."""
+    hashed id comes first, over all rows; only their features reach the driver.  Rows without label or doc_id teach nothing."""
     keys = ["doc_id", "quality", "digest"]
-    known = labelled.filter("quality is not null").select("doc_id", "text", "quality", F.xxhash64("text").alias("digest"))
-    picked = known.select(*keys).distinct().select(*keys, F.xxhash64("doc_id").alias("h")).orderBy("h", *keys).limit(sample).select(*keys)
-    same = [F.col(f"k.{c}").eqNullSafe(F.col(f"p.{c}")) for c in keys]
-    chosen = known.alias("k").join(picked.alias("p"), same, "left_semi")
-    # copies of a row teach once, and are put together before they are sent anywhere
+    known = labelled.filter("quality is not null").select("doc_id", "text", "quality")
+    ids = known.select("doc_id").distinct().select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(sample).select("doc_id")
+    # only texts of these ids move; copies of a row teach once, and are put together before that
+    chosen = known.join(ids, "doc_id", "left_semi").withColumn("digest", F.xxhash64("text"))
     chosen = chosen.groupBy(*keys).agg(F.first("text").alias("text"))
 
     def run(batch):
         rows = [features(t) for t in batch.column("text").to_pylist()]
-        return {"doc_id": batch.column("doc_id"), "quality": batch.column("quality"), "x": rows}
+        return {**{k: batch.column(k) for k in keys}, "x": rows}
 
-    rows = map_texts(chosen.select("doc_id", "text", "quality"), run, "doc_id long, quality int, x array<double>")
-    got = sorted(((r[0] is None, r[0] or 0), r[1], tuple(r[2])) for r in rows.collect())
+    rows = map_texts(chosen, run, "doc_id long, quality int, digest long, x array<double>")
+    # an id may have many different rows
+    rows = rows.orderBy(F.xxhash64("doc_id"), *keys).limit(sample)
+    got = sorted((r["doc_id"], r["quality"], tuple(r["x"])) for r in rows.collect())
     x = np.array([r[2] for r in got]).reshape(-1, len(FEATURES))
     return fit_tables(x, np.array([float(r[1]) for r in got]))
 
