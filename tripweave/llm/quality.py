@@ -139,7 +139,7 @@ def fit(labelled: DataFrame, sample: int = 12_000) -> Tables:
     """Learn from rows (doc_id, text, quality).  The fit is on a bounded sample: the ``sample`` different rows whose
     hashed id comes first, over all rows; only their features reach the driver.  Rows without label or doc_id teach nothing."""
     keys = ["doc_id", "quality", "digest"]
-    known = labelled.filter("quality is not null").select("doc_id", "text", "quality")
+    known = labelled.filter("quality is not null and doc_id is not null").select("doc_id", "text", "quality")
     ids = known.select("doc_id").distinct().select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(sample).select("doc_id")
     # only texts of these ids move; copies of a row teach once, and are put together before that
     chosen = known.join(ids, "doc_id", "left_semi").withColumn("digest", F.xxhash64("text"))
