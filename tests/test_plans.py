@@ -10,6 +10,7 @@ from conftest import rows
 from tripweave import schemas
 from tripweave.operators import anomaly, index, network, od, paths, routes, trie
 from tripweave.sinks import tables as stored
+from tripweave.session import cut_lineage
 from tripweave.sources import tables
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -209,3 +210,12 @@ def test_tree_has_no_window_and_one_exchange(spark, walks):
 def test_pairs_on_bit_sets_list_no_ids(spark, walks):
     text = od.od_unordered_sets(index.edge_bitmap(walks.traj_edges), walks.network, walks.od)._jdf.queryExecution().executedPlan().toString()
     assert "collect" not in text
+
+
+def test_route_expansion_joins_on_names(spark, no_broadcast, walks):
+    """Runs meet own routes by 16 bytes: no list is a key of a join, and candidates carry their part once."""
+    merged = cut_lineage(routes.merge_routes(routes.trip_routes(walks.traj_edges, walks.network)))
+    ran = nodes(routes.route_expansions(merged))
+    joins = [text.split("\n")[0] for name, text, _ in ran if name.endswith("Join")]
+    assert any("hi#" in j and "lo#" in j for j in joins)
+    assert not any(c in j for j in joins for c in ("run#", "edges#", "part#"))

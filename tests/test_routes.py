@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from conftest import Walks, rows
 from test_paths import literal_contains, literal_order, literal_sub
+from tripweave.functions import fingerprints
 from tripweave.operators import od, paths, routes, scan, trie
 
 
@@ -89,6 +90,55 @@ def test_expansion_is_the_literal_scan(spark, rng, gap):
     assert rows(counts, "o_id", "d_id", "n_routes") == sorted((*k, n) for k, n in per_pair.items())
 
 
+def test_routes_of_different_pairs_may_share_an_id(spark, rng):
+    """Route_id names one path of its pair, as routes cut out of one trip show."""
+    walks = Walks(spark, rng, trips=80, vertices=4, longest=6)
+    numbered, wants = [], {}
+    seen: Counter = Counter()
+    for (o, d, e), (n, low) in sorted(literal_routes(walks).items()):
+        numbered.append((o, d, seen[o, d], list(e), walks.vertices[low], [walks.net[x][1] for x in e], n))
+        wants[low] = seen[o, d]
+        seen[o, d] += 1
+    given = spark.createDataFrame(
+        numbered, "o_id long, d_id long, route_id long, edges array<long>, vertices array<long>, ends array<long>, freq long"
+    )
+    want = sorted((*w[:7], wants[w[7]]) for w in literal_expansions(walks))
+    got = rows(routes.route_expansions(given), "o_id", "d_id", "edges", "freq", "created", "x_o_id", "x_d_id", "x_route_id")
+    assert got == want and max(Counter(r[2] for r in numbered).values()) > 1
+
+
+def test_fingerprints_name_runs(spark):
+    """Every run of every path against a literal polynomial: equal names for equal runs and for no others."""
+    r = random.Random(5)
+    given = [[r.choice([1, 2, 3, -7, 1 << 62]) for _ in range(n)] for n in (0, 1, 2, 7, 30, 30)] + [[4] * 12]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(given)], "id long, path array<long>")
+    hi, lo = fingerprints.prefixes(F.col("path"))
+    ends = df.select("id", "path", hi.alias("hi"), lo.alias("lo"), F.explode(F.sequence(F.lit(0), F.size("path"))).alias("p"))
+    runs = ends.select("*", F.explode(F.sequence(F.lit(0), F.size("path") - F.col("p"))).alias("k"))
+    up = fingerprints.powers(F.col("k"))
+    whole = fingerprints.whole(F.slice("path", F.col("p") + 1, F.col("k")))
+    got = runs.select(
+        "id", "p", "k", *(fingerprints.run(F.get(c, F.col("p")), F.get(c, F.col("p") + F.col("k")), u).alias(f"r_{c}") for c, u in zip(("hi", "lo"), up)),
+        *(w.alias(f"w_{c}") for c, w in zip(("hi", "lo"), whole)),
+    ).collect()
+    assert len(got) == sum((len(p) + 1) * (len(p) + 2) // 2 for p in given)
+    assert all((g.r_hi, g.r_lo) == (g.w_hi, g.w_lo) for g in got)
+    names = {}
+    for g in got:
+        names.setdefault(tuple(given[g.id][g.p : g.p + g.k]), set()).add((g.r_hi, g.r_lo))
+    assert all(len(v) == 1 for v in names.values())
+    assert len(set().union(*names.values())) == len(names)
+    hashes = {x.x: x.h for x in spark.createDataFrame([(x,) for p in given for x in p], "x long").selectExpr("x", "xxhash64(x, 1) AS h").collect()}
+    a, b = fingerprints.BASES[1]
+    for run, ((_, low),) in names.items():
+        high_half = low_half = 0
+        for x in run:
+            h = hashes[x] % (1 << 64)
+            high_half = (high_half * a + h % (1 << 31)) % fingerprints.PRIME
+            low_half = (low_half * b + (h >> 31) % (1 << 31)) % fingerprints.PRIME
+        assert low == (high_half << 31) + low_half
+
+
 def test_renumbering_has_no_gaps_and_no_repeats(spark, walks):
     merged = merged_of(walks)
     numbered = routes.renumber_routes(merged)

@@ -6,9 +6,10 @@ A route row is (o_id, d_id, route_id, path columns, freq).  Path columns are ``e
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fingerprints
 from ..functions import paths as fp
 from .od import od_by_scan
 from .paths import packed_trips, restrict_trips, sub_trajectory
@@ -112,9 +113,13 @@ def add_routes(stored: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def _containing(routes: DataFrame) -> DataFrame:
-    """(o_id, d_id, f_id): route f runs through O and then D of a pair that has routes."""
-    visits = routes.select(F.col("route_id").alias("traj_id"), F.posexplode("vertices").alias("site", "vertex_id"))
-    return od_by_scan(visits, routes).withColumnRenamed("traj_id", "f_id")
+    """(o_id, d_id, x_o_id, x_d_id, x_route_id): this route of another pair runs through O and then D of a pair that has routes."""
+    visits = routes.select(F.struct("o_id", "d_id", "route_id").alias("traj_id"), F.posexplode("vertices").alias("site", "vertex_id"))
+    return (
+        od_by_scan(visits, routes)
+        .select("o_id", "d_id", *(F.col(f"traj_id.{c}").alias(f"x_{c}") for c in ("o_id", "d_id", "route_id")))
+        .where((F.col("x_o_id") != F.col("o_id")) | (F.col("x_d_id") != F.col("d_id")))
+    )
 
 
 def route_expansions(routes: DataFrame) -> DataFrame:
@@ -126,59 +131,62 @@ def route_expansions(routes: DataFrame) -> DataFrame:
       edge (ties by edges), or
     * if no own route does, F's own part from its first O to the next D, a new route of frequency 0.
 
-    One row per (pair, F): o_id, d_id, edges, freq, created, x_o_id, x_d_id, x_route_id.
+    One row per (pair, F): o_id, d_id, edges, freq, created, x_o_id, x_d_id, x_route_id.  Route_id names one path of its
+    pair, so F is told by all three.
 
     Containment is not tested route by route.  F can only contain an own route as a run that starts
     where it leaves O for the first time by some edge, has the length of an own route and ends in D.
-    Those few runs are cut out of F and matched to the own routes by equality.
+    Those few runs are named by 16-byte fingerprints, each in constant time from those of F's prefixes, and
+    meet the own routes by name; no list of edges is a key.
     """
-    own = routes.select("o_id", "d_id", F.col("edges").alias("run"), F.col("freq").alias("own_freq"))
-    lengths = routes.groupBy("o_id", "d_id").agg(F.sort_array(F.collect_set(F.size("edges"))).alias("lens"))
-    f = routes.select(
-        F.col("route_id").alias("f_id"), F.col("o_id").alias("x_o_id"), F.col("d_id").alias("x_d_id"),
-        "edges", "vertices", "ends",
+    pair, x, words = ["o_id", "d_id"], ["x_o_id", "x_d_id", "x_route_id"], ("hi", "lo")
+    hi, lo = fingerprints.whole(F.col("edges"))
+    own = routes.select(*pair, hi.alias("hi"), lo.alias("lo"), F.size("edges").alias("k"), F.col("edges").alias("run"), F.col("freq").alias("own_freq"))
+    up = fingerprints.powers(F.col("k"))
+    lengths = (
+        routes.select(*pair, F.size("edges").alias("k")).distinct()
+        .groupBy(*pair).agg(F.collect_list(F.struct("k", up[0].alias("hi"), up[1].alias("lo"))).alias("lens"))
     )
-    cand = (
-        _containing(routes)
-        .join(f, "f_id")
-        .where((F.col("x_o_id") != F.col("o_id")) | (F.col("x_d_id") != F.col("d_id")))
-        .join(lengths, ["o_id", "d_id"])
+    hi, lo = fingerprints.prefixes(F.col("edges"))
+    f = routes.select(
+        *(F.col(c).alias(f"x_{c}") for c in ("o_id", "d_id", "route_id")),
+        "edges", "vertices", "ends", hi.alias("seen_hi"), lo.alias("seen_lo"),
     )
+    cand = _containing(routes).join(lengths, pair).join(f, x)
     o, d, edges, n = F.col("o_id"), F.col("d_id"), F.col("edges"), F.size("edges")
     leaves = F.filter(
         F.sequence(F.lit(0), n - 1),
         lambda p: (F.get("vertices", p) == o) & (F.array_position(edges, F.get(edges, p)) == p + 1),
     )
-    runs = F.flatten(
-        F.transform(
-            leaves,
-            lambda p: F.transform(
-                F.filter("lens", lambda k: (p + k <= n) & (F.get("ends", p + k - 1) == d)),
-                lambda k: F.struct(k.alias("k"), F.slice(edges, p + 1, k).alias("run")),
-            ),
-        )
-    )
+
+    def runs(p: Column) -> Column:
+        fits = F.filter("lens", lambda l: (p + l["k"] <= n) & (F.get("ends", p + l["k"] - 1) == d))
+        return F.transform(fits, lambda l: F.struct(*(
+            F.struct(F.get(f"seen_{w}", p).alias("before"), F.get(f"seen_{w}", p + l["k"]).alias("end"), l[w].alias("power")).alias(w) for w in words
+        )))
+
     at = fp.first_site(F.col("vertices"), o)
     reach = F.array_position(fp.tail_after(F.col("vertices"), at), d)
     part = F.slice(edges, (at + 1).cast("int"), reach.cast("int"))
-    tried = cand.select(
-        "o_id", "d_id", "f_id", "x_o_id", "x_d_id", part.alias("part"),
-        F.posexplode_outer(F.array_sort(runs)).alias("pos", "try"),
-    ).select("*", F.col("try.run").alias("run"))
+    tried = cand.select(*pair, *x, part.alias("part"), F.posexplode_outer(F.flatten(F.transform(leaves, runs))).alias("pos", "try"))
+    tried = tried.select(
+        *pair, *x, F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("part")).alias("part"),
+        *(fingerprints.run(*(F.col(f"try.{w}.{c}") for c in ("before", "end", "power"))).alias(w) for w in words),
+    )
     found = (
-        tried.join(own, ["o_id", "d_id", "run"], "left")
-        .groupBy("o_id", "d_id", "f_id", "x_o_id", "x_d_id")
+        tried.join(own, [*pair, "hi", "lo"], "left")
+        .groupBy(*pair, *x)
         .agg(
-            F.min_by(F.struct("run", "own_freq"), F.when(F.col("own_freq").isNotNull(), F.col("pos"))).alias("m"),
-            F.first("part").alias("part"),
+            F.min(F.when(F.col("own_freq").isNotNull(), F.struct("k", "run", "own_freq"))).alias("m"),
+            F.first("part", ignorenulls=True).alias("part"),
         )
     )
     return found.select(
-        "o_id", "d_id",
+        *pair,
         F.coalesce("m.run", "part").alias("edges"),
         F.coalesce("m.own_freq", F.lit(0)).cast("bigint").alias("freq"),
         F.col("m").isNull().alias("created"),
-        "x_o_id", "x_d_id", F.col("f_id").alias("x_route_id"),
+        *x,
     )
 
 
