@@ -31,7 +31,7 @@ def counts_of(texts: list[str | None]) -> np.ndarray:
     letter = _is_letter()[a]
     use = letter | np.r_[True, letter[:-1]] | np.r_[False, doc[1:] != doc[:-1]]
     a, doc, letter = np.where(letter, a, 0)[use], doc[use], letter[use]
-    doc = np.where(letter | (np.arange(len(doc)) == len(doc) - 1), doc, np.r_[doc[1:], doc[-1:]])  # a gap opens the next word
+    doc = np.where(letter, doc, np.r_[doc[1:], -1])  # a gap opens the next word, and the last one opens none
     counts = np.zeros(len(texts) * DIM, np.float32)
     h = np.zeros(len(a), np.uint64)
     for n in range(1, 4):
