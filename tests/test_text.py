@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import Observation
 
 from conftest import rows
 from tripweave.operators import index, network, od, paths, routes, transfer, trie
@@ -185,3 +186,30 @@ def test_lines_that_other_parsers_reject(spark):
     assert rows(src.parse_histogram(lines), "*") == [(5, 6)]
     assert (7, 9) in rows(src.parse_vertex_trajs(lines), "*") and rows(src.parse_vertex_trajs(lines, rejected=True).where("value = '7|x,'"), "value") == [("7|x,",)]
     assert (1, 1, 5, 6, 7) in rows(src.parse_restored(lines), "*") and ("1,2|3",) in rows(src.parse_restored(lines, rejected=True), "value")
+
+
+PARSERS = [
+    (src.parse_edge_trajectories, {"min_samples": 2, "min_edges": 1}), (src.parse_timed_trajectories, {"min_count": 1}),
+    (src.parse_vertex_trajectories, {"min_count": 1}), (src.parse_od_endpoints, {}), (src.parse_vertices, {}), (src.parse_vertices, {"lat_first": True}),
+    (src.parse_edges, {}), (src.parse_edges, {"with_length": True}), (src.parse_index, {}), (src.parse_posting_lines, {}), (src.parse_od_counts, {}),
+    (src.parse_od_trajs, {}), (src.parse_od_routes, {}), (src.parse_restored, {}), (src.parse_counted_routes, {}), (src.parse_vertex_trajs, {}),
+    (src.parse_histogram, {}),
+]
+
+
+@pytest.mark.parametrize("parse,how", PARSERS)
+def test_kept_and_rejected_lines_from_one_pass(spark, parse, how):
+    """Lines of every layout, so each parser meets some that it reads, some that it rejects and some that it leaves out."""
+    df = lines(
+        spark, "1,11,5,100,6,110", "2,1,5", "3,12,7,1,8", "4,11,q,3", "6", "", f"8,{samples(3, 3)}", f"1,{samples(1, 2, 3)}", f"a,{samples(1, 2, 3)}",
+        "1\t116.5\t39.5", "1\t2\t3\t4.5", "2\tx\t39.5", "7|1,0,2,5,", "8|", "9|1,2,3", "9|1,b", "5,6", "((1,2),30)", "((1,2),3",
+        "(2,((1,2),CompactBuffer(5, 6)))", "((1,2),3,(4,edge_id:5,6))", "((1,2),3,(4,edge_id:))", "(5,6)", "1,2|3|0|4|0,5|6|0|7|0", "1,2|3",
+        "(1,2)|12,3[6,8,5000|7,8,9|]", "(1,2)|13,32,0[]", "(1,2)|12,3[7,8|]",
+    ).unionByName(spark.createDataFrame([(None,)], "value string"))
+    seen = Observation()
+    good, bad = src.read_once(parse, df, seen, **how)
+    text = lambda frame: sorted(str(tuple(r)) for r in frame.collect())
+    plain, out_of = parse(df, **how), parse(df, rejected=True, **how)
+    assert good.columns == plain.columns and text(good) == text(plain) and good.count() > 0
+    assert text(bad) == text(out_of) and bad.count() > 0
+    assert seen.get == {"kept": good.count(), "rejected": bad.count()}

@@ -170,6 +170,9 @@ _oracle("load_timed_trajectories", ["fa_points"], """
 SELECT traj_id, site, vertex_id, t FROM fa_points
 QUALIFY count(*) OVER (PARTITION BY traj_id) > 10
 """)
+_oracle("load_with_rejected", ["fa_points"], """
+SELECT traj_id, count(*) AS n, traj_id % 5 = 0 AS rejected FROM fa_points GROUP BY traj_id HAVING count(*) > 10
+""")
 _oracle("load_vertex_trajectories", ["fb_vertices"], """
 SELECT traj_id, arg_min(vertex_id, site) AS o_id, arg_max(vertex_id, site) AS d_id, count(*) AS n
 FROM fb_vertices GROUP BY traj_id HAVING count(*) > 10

@@ -100,6 +100,20 @@ def load_timed_trajectories(f):
     return src.parse_timed_trajectories(_lines(f.fa_points, F.concat_ws(",", *_text("vertex_id", "t")), *_text("n")))
 
 
+@query
+def load_with_rejected(f):
+    """Timed lines, some with an unreadable time: kept trips and rejected lines from one pass."""
+    unread = (F.col("traj_id") % 5 == 0) & (F.col("site") == 2)
+    t = F.when(unread, F.lit("?")).otherwise(F.col("t").cast("string"))
+    lines = _lines(f.fa_points, F.concat_ws(",", F.col("vertex_id").cast("string"), t), *_text("n"))
+    good, bad = src.read_once(src.parse_timed_trajectories, lines)
+    kept = good.groupBy("traj_id").agg(F.count(F.lit(1)).alias("n"), F.lit(False).alias("rejected"))
+    fields = F.split("value", ",")
+    return kept.unionByName(bad.select(
+        F.get(fields, F.lit(0)).cast("bigint").alias("traj_id"), F.get(fields, F.lit(1)).cast("bigint").alias("n"), F.lit(True).alias("rejected")
+    ))
+
+
 @query
 def load_vertex_trajectories(f):
     trips = src.parse_vertex_trajectories(_lines(f.fb_vertices, F.col("vertex_id").cast("string"), *_text("n")))
