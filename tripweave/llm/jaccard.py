@@ -2,9 +2,9 @@
 
 Texts of equal n-gram sets are one class from the start.  Classes that share a band of MinHash values meet in
 a bucket, where a pair's values are compared a few at a time; it is dropped when the probability, given the
-matches so far, that its similarity reaches the threshold falls below a tolerance.  The pairs that are left
-join classes to clusters, and in each cluster all pairs are pruned again on all values and the rest verified
-on the sets themselves.
+matches so far, that its similarity reaches the threshold falls below a tolerance.  A pair that meets in several
+buckets counts in the first.  The classes of a bucket that have a pair left meet there once more with all
+their values and their sets: the pruning goes on over all values, and what it leaves is verified on the sets.
 """
 
 from __future__ import annotations
@@ -74,27 +74,56 @@ def minhash(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _values_of(sets: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([minhash(sets[a : a + 64]) for a in range(0, len(sets), 64)])
+
+
+def band_keys(values: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each band of each row; bands differ in their keys."""
+    keys = np.zeros((len(values), BANDS), np.uint64)
+    for r in range(ROWS):
+        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + values[:, r::ROWS].astype(np.uint64) + np.arange(BANDS, dtype=np.uint64))
+    return keys
+
+
+def _low(values: np.ndarray) -> np.ndarray:
+    """16 bits of each value: what is compared."""
+    return (values & np.uint32(0xFFFF)).astype(np.uint16)
+
+
+def _marks(keys: np.ndarray) -> np.ndarray:
+    """32 bits of each band's key: what tells in which band two rows met first."""
+    return (keys >> np.uint64(32)).astype(np.uint32)
+
+
+def first_met(marks: np.ndarray, i: np.ndarray, j: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """Which pairs (i, j) of rows have no equal mark in a band before their ``band``."""
+    out = np.zeros(len(i), bool)
+    for at in range(0, len(i), 1 << 15):
+        a, b = i[at : at + (1 << 15)], j[at : at + (1 << 15)]
+        out[at : at + (1 << 15)] = (marks[a] == marks[b]).argmax(axis=1) == band[a]
+    return out
+
+
 def signatures(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, set_key, size, early, bands) of the texts that have a word."""
+    """(doc_id, set_key, early, marks, bands) of the texts that have a word."""
 
     def run(batch):
         sets = sets_of(batch.column("text").to_pylist(), n)
         some = [k for k, s in enumerate(sets) if len(s)]
         if not some:
-            return {"doc_id": [], "set_key": [], "size": [], "early": [], "bands": []}
-        values = np.concatenate([minhash([sets[k] for k in some[a : a + 64]]) for a in range(0, len(some), 64)])
-        keys = np.zeros((len(some), BANDS), np.uint64)
-        for r in range(ROWS):
-            keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + values[:, r::ROWS].astype(np.uint64) + np.arange(BANDS, dtype=np.uint64))
+            return {"doc_id": [], "set_key": [], "early": [], "marks": [], "bands": []}
+        values = _values_of([sets[k] for k in some])
+        keys = band_keys(values)
         return {
             "doc_id": batch.column("doc_id").take(pa.array(some)),
             "set_key": [_digest(sets[k].tobytes()) for k in some],
-            "size": [len(sets[k]) for k in some],
-            "early": [v.tobytes() for v in (values[:, :EARLY] & np.uint32(0xFFFF)).astype(np.uint16)],
+            "early": [v.tobytes() for v in _low(values[:, :EARLY])],
+            "marks": [v.tobytes() for v in _marks(keys)],
             "bands": pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())),
         }
 
-    return map_texts(docs.select("doc_id", "text"), run, "doc_id long, set_key binary, size int, early binary, bands array<long>")
+    return map_texts(docs.select("doc_id", "text"), run, "doc_id long, set_key binary, early binary, marks binary, bands array<long>")
 
 
 def _matrix(column, dtype) -> np.ndarray:
@@ -102,28 +131,29 @@ def _matrix(column, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), width)
 
 
-def _clusters(classes: DataFrame, threshold: float, tolerance: float) -> DataFrame:
-    """(rep, root) of the classes that pairs left by the pruning in buckets join."""
+def _units(classes: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """(sub, rep, band, side, cross): of the groups that buckets are dealt to, the rows with a pair that is left.
+
+    A pair counts in the first band in which its values are equal, so in one group only.
+    """
     least = least_matches(EARLY, threshold, tolerance)
-    rows = classes.select("rep", F.explode("bands").alias("bucket"))
+    rows = classes.select("rep", F.posexplode("bands").alias("band", "bucket"))
     # a class alone in its buckets carries no values to them
-    dealt = split_groups(rows, "bucket", "rep", LIMIT).join(classes.select("rep", "early"), "rep")
+    dealt = split_groups(rows, "bucket", "rep", LIMIT).join(classes.select("rep", "early", "marks"), "rep")
 
     def run(t, first):
-        rep, values = np.asarray(t.column("rep")), _matrix(t.column("early"), np.uint16)
-        side, cross = np.asarray(t.column("side")), np.asarray(t.column("cross"))
-        ii, jj = [], []
-        for i, j in pairs_of(first, len(rep), side, cross):
+        values, marks = _matrix(t.column("early"), np.uint16), _matrix(t.column("marks"), np.uint32)
+        band, side, cross = (np.asarray(t.column(c)) for c in ("band", "side", "cross"))
+        hit = np.zeros(len(band), bool)
+        for i, j in pairs_of(first, len(band), side, cross):
             ok = survivors(values, i, j, least)
-            ii.append(i[ok])
-            jj.append(j[ok])
-        label = forest(len(rep), np.concatenate(ii), np.concatenate(jj))
-        moved = np.flatnonzero(label != np.arange(len(rep)))
-        edge = np.unique(np.stack([rep[label[moved]], rep[moved]], axis=1), axis=0) if len(moved) else np.zeros((0, 2), np.int64)
-        return {"a": edge[:, 0], "b": edge[:, 1]}
+            i, j = i[ok], j[ok]
+            ok = first_met(marks, i, j, band)
+            hit[i[ok]] = hit[j[ok]] = True
+        return {c: np.asarray(t.column(c))[hit] for c in ("sub", "rep", "band", "side", "cross")}
 
-    edges = map_groups(dealt.select("sub", "rep", "early", "side", "cross"), "sub", run, "a long, b long")
-    return components(edges).withColumnRenamed("node", "rep")
+    cols = ["sub", "rep", "band", "early", "marks", "side", "cross"]
+    return map_groups(dealt.select(*cols), "sub", run, "sub long, rep long, band int, side int, cross boolean")
 
 
 def _intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -150,17 +180,16 @@ def _intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.n
 
 
 def _links(members: DataFrame, threshold: float, tolerance: float) -> DataFrame:
-    """(rep, n, root) from (cluster, rep, weight, grams): in each group of a cluster a row for each class with
-    the weight of the classes it is linked with, and the first class that links join it with there."""
+    """(rep, n, root) from (sub, band, side, cross, rep, weight, grams, values, marks): in each group a row for each
+    class with the weight of the classes it is linked with, and the first class that links join it with there."""
     least = least_matches(VALUES, threshold, tolerance)
-    dealt = split_groups(members, "cluster", "rep", LIMIT)
 
     def run(t, first):
         rep, weight = np.asarray(t.column("rep")), np.asarray(t.column("weight"))
         sets = [np.frombuffer(b, np.uint64) for b in t.column("grams").to_pylist()]
-        values = np.concatenate([minhash(sets[a : a + 64]) for a in range(0, len(sets), 64)])
+        values, marks = _matrix(t.column("values"), np.uint16), _matrix(t.column("marks"), np.uint32)
         size = np.array(list(map(len, sets)))
-        side, cross = np.asarray(t.column("side")), np.asarray(t.column("cross"))
+        band, side, cross = (np.asarray(t.column(c)) for c in ("band", "side", "cross"))
         n, label = np.zeros(len(rep), np.int64), np.arange(len(rep))
         for a, b in zip(first, np.r_[first[1:], len(rep)]):
             for i, j in pairs_of(np.array([0]), b - a, side[a:b], cross[a:b], 1 << 30):
@@ -168,6 +197,8 @@ def _links(members: DataFrame, threshold: float, tolerance: float) -> DataFrame:
                 i, j = i[near], j[near]
                 ok = survivors(values[a:b], i, j, least)
                 i, j = i[ok], j[ok]
+                ok = first_met(marks[a:b], i, j, band[a:b])
+                i, j = i[ok], j[ok]
                 both = _intersections(sets[a:b], i, j)
                 link = both >= threshold * (size[a + i] + size[a + j] - both) - 1e-9
                 i, j = a + i[link], a + j[link]
@@ -176,7 +207,8 @@ def _links(members: DataFrame, threshold: float, tolerance: float) -> DataFrame:
                 label[a:b] = a + forest(b - a, i - a, j - a)
         return {"rep": rep, "n": n, "root": rep[label]}
 
-    return map_groups(dealt.select("sub", "rep", "weight", "grams", "side", "cross"), "sub", run, "rep long, n long, root long")
+    cols = ["sub", "band", "side", "cross", "rep", "weight", "grams", "values", "marks"]
+    return map_groups(members.select(*cols), "sub", run, "rep long, n long, root long").filter("n > 0")
 
 
 def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: float = 1e-9) -> DataFrame:
@@ -192,17 +224,23 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: float =
     keys = cut_lineage(signed.groupBy("doc_id").agg(F.min("set_key").alias("set_key")))
     classes = cut_lineage(keys.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("weight")))
     first = classes.select(F.col("rep").alias("doc_id"), "set_key", "rep")
-    own = signed.join(first, ["doc_id", "set_key"]).select("rep", "early", "bands").dropDuplicates(["rep"])
-    clusters = cut_lineage(_clusters(own, threshold, tolerance))
+    own = signed.join(first, ["doc_id", "set_key"]).select("rep", "early", "marks", "bands").dropDuplicates(["rep"])
+    units = cut_lineage(_units(own, threshold, tolerance))
 
     def grams(batch):
-        sets = [s.tobytes() for s in sets_of(batch.column("text").to_pylist(), n)]
-        return {"rep": batch.column("doc_id"), "set_key": [_digest(s) for s in sets], "grams": sets}
+        sets = sets_of(batch.column("text").to_pylist(), n)
+        some = [k for k, s in enumerate(sets) if len(s)]
+        sets = [sets[k] for k in some]
+        values = _values_of(sets) if some else np.zeros((0, VALUES), np.uint32)
+        return {
+            "rep": batch.column("doc_id").take(pa.array(some, pa.int64())), "set_key": [_digest(s.tobytes()) for s in sets],
+            "grams": [s.tobytes() for s in sets], "values": [v.tobytes() for v in _low(values)], "marks": [v.tobytes() for v in _marks(band_keys(values))],
+        }
 
-    wanted = cut_lineage(clusters.join(classes, "rep").select("rep", "set_key", F.col("root").alias("cluster"), "weight"))
+    wanted = cut_lineage(units.select("rep").distinct().join(classes, "rep"))
     texts = rows.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    sets = map_texts(texts, grams, "rep long, set_key binary, grams binary").dropDuplicates(["rep", "set_key"])
-    members = wanted.join(sets, ["rep", "set_key"]).select("cluster", "rep", "weight", "grams")
+    sets = map_texts(texts, grams, "rep long, set_key binary, grams binary, values binary, marks binary").dropDuplicates(["rep", "set_key"])
+    members = units.join(wanted.join(sets, ["rep", "set_key"]).drop("set_key"), "rep")
     links = cut_lineage(_links(members, threshold, tolerance))
     roots = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     least = roots.groupBy("root").agg(F.min("node").alias("class_id"))
