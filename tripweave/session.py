@@ -50,6 +50,19 @@ def spread(df: DataFrame, *by: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
+def application_folder(spark: SparkSession) -> str:
+    """``<shared folder>/tripweave/<application id>``, for what one application writes between its jobs.
+
+    It is deleted when the application's JVM ends, by the file system itself.
+    """
+    folder = f"{shared_folder(spark).rstrip('/')}/tripweave/{spark.conf.get('spark.app.id')}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return folder
+
+
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -58,11 +71,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     For a frame that several later branches read: they prune columns on the written table, its real size
     is known to the planner, and a lost executor costs a re-read and not a recompute.  The shuffle files of
-    the job go when it ends.  The tables of one application share a folder,
-    ``<shared folder>/tripweave/<application id>``, to be dropped after it; :func:`release` drops one earlier.
+    the job go when it ends, the table with the application (:func:`application_folder`); :func:`release` drops one earlier.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/tripweave/{spark.conf.get('spark.app.id')}/{uuid.uuid4().hex}"
+    path = f"{application_folder(spark)}/{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEAN, "false")
     spark.conf.set(_CLEAN, "true")
     try:
