@@ -211,6 +211,15 @@ def test_jaccard_links_equal_all_pairs(spark, texts, monkeypatch, limit):
     assert jaccard.join(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_a_pair_counts_in_the_first_of_its_bands_only():
+    sets = [np.arange(k, k + 100, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) for k in (0, 0, 3, 8, 500)]
+    keys = jaccard.band_keys(jaccard.minhash(sets))
+    i, j = np.array([(a, b) for a in range(5) for b in range(a)]).T
+    met = [jaccard.first_met(jaccard._marks(keys), i, j, np.full(5, b)) & (keys[i, b] == keys[j, b]) for b in range(jaccard.BANDS)]
+    shared = (keys[i] == keys[j]).any(axis=1)
+    assert (np.sum(met, axis=0) == shared).all() and met[0][0] and not shared[i == 4].any()
+
+
 def test_pruning_keeps_what_may_reach_the_threshold():
     least = jaccard.least_matches(64, 0.8, 1e-9)
     assert (np.diff(least) > 0).all() and least[-1] < 0.6 * 64 and least[-1] > 0.2 * 64
