@@ -219,3 +219,26 @@ def test_route_expansion_joins_on_names(spark, no_broadcast, walks):
     joins = [text.split("\n")[0] for name, text, _ in ran if name.endswith("Join")]
     assert any("hi#" in j and "lo#" in j for j in joins)
     assert not any(c in j for j in joins for c in ("run#", "edges#", "part#"))
+
+
+def test_spans_stream_past_their_trips_unsorted(spark, no_broadcast):
+    """Many spans of a trip meet its path without a sort of the spans."""
+    packed = spark.range(40).selectExpr("id AS traj_id", "sequence(id, id + 30) AS path")
+    spans = packed.selectExpr("traj_id", "explode(sequence(0L, 19L)) AS s_site").selectExpr("7L AS o_id", "s_site AS d_id", "traj_id", "s_site", "s_site + 2 AS e_site")
+    got = paths.slice_by_site(packed, spans)
+    assert rows(got, "traj_id", "d_id", "path") == [(t, s, (t + s, t + s + 1, t + s + 2)) for t in range(40) for s in range(20)]
+    joins = [text.split("\n")[0] for name, text, _ in nodes(got) if "Join" in name]
+    assert joins and all("ShuffledHashJoin" in j and "BuildRight" in j for j in joins)
+
+
+def test_counted_routes_move_names_and_not_paths(spark, walks):
+    from tripweave.plans import jobs
+
+    whole = jobs.pair_vertex_routes(walks.traj_vertices, walks.od)
+    named = jobs.pair_vertex_routes(walks.traj_vertices, walks.od, named=True)
+    key = ["o_id", "d_id", "route_id", "freq"]
+    assert rows(whole, *key) == rows(named, *key) and len(rows(named, *key)) > 100
+    counted = routes.od_trips(named)
+    assert rows(counted, "*") == rows(routes.od_trips(whole), "*")
+    moved = [text.split("\n")[0] for name, text, _ in nodes(counted) if name == "Exchange"]
+    assert moved and not [m for m in moved if "vertices" in m]

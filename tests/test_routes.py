@@ -229,3 +229,12 @@ def test_vertices_of_routes(spark):
     given = spark.createDataFrame([(1, 3, 7, [12, 23], 2.0), (1, 9, 8, [12, 29], 1.0), (4, 4, 9, [], 0.0)], "o_id long, d_id long, route_id long, edges array<long>, score double")
     got = rows(routes.add_vertices(given, net), "route_id", "score", "vertices", "ends")
     assert got == [(7, 2.0, (1, 2, 3), (2, 3)), (8, 1.0, None, None), (9, 0.0, (), ())]
+
+
+def test_names_tell_paths_apart_as_the_paths_do(spark):
+    """NULL elements, empty paths and NULL paths too."""
+    paths = [[1, 2], [1, 2], [2, 1], [1], [1, None], [None, 1], [None], [], [], None, None, [1, None]]
+    df = spark.createDataFrame([(5, 6, i, p, 1) for i, p in enumerate(paths)], "o_id long, d_id long, route_id long, vertices array<long>, freq long")
+    key = ["o_id", "d_id", "route_id", "freq"]
+    assert rows(routes.merge_routes(df, named=True), *key) == rows(routes.merge_routes(df), *key)
+    assert len(rows(routes.merge_routes(df, named=True), *key)) == 8

@@ -54,6 +54,12 @@ def _power(length: Column, word: int) -> Column:
     return F.aggregate(F.array_repeat(F.lit(0), length), _pack(_long(1), _long(1)), lambda v, _: _times(v, by))
 
 
+def names(*paths: Column) -> list[Column]:
+    """Two longs that tell whole paths apart, also where they hold NULL; cheaper than :func:`whole`, but not of use for runs."""
+    parts = [x for p in paths for x in (p, F.transform(p, lambda v: v.isNull()), F.size(p))]
+    return [F.xxhash64(F.lit(word), *parts) for word in range(2)]
+
+
 def whole(path: Column) -> list[Column]:
     """The two longs that name the whole path."""
     return [_word_of(path, word) for word in range(len(BASES))]

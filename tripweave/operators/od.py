@@ -19,6 +19,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .lists import BLOCK_BITS, id_blocks
 
 #: Longs of the filter of pairs: 512 KB, sent to every task; good for half a million pairs.
@@ -51,8 +52,11 @@ def _endpoints(pairs: DataFrame, name: str) -> DataFrame:
 
 
 def _by_trip(df: DataFrame) -> DataFrame:
-    """One exchange by trip for all grouping and joining within trips."""
-    return df.repartition("traj_id")
+    """One exchange by trip for all grouping and joining within trips.
+
+    A trip's few rows turn into a row for each of its pairs, so the partitions must not be merged by their bytes.
+    """
+    return spread(df, "traj_id")
 
 
 def _bits() -> list[Column]:

@@ -129,11 +129,12 @@ def packed_trips(traj_edges: DataFrame, edges: DataFrame) -> DataFrame:
 def slice_by_site(packed: DataFrame, spans: DataFrame, path_col: str = "path") -> DataFrame:
     """Part of each trip between two sites, both included.
 
-    ``spans`` has traj_id, s_site and e_site plus any key columns; one output row per span.
+    ``spans`` has traj_id, s_site and e_site plus any key columns; one output row per span.  There are many spans to
+    a trip, so the trips are hashed, a partition at a time, and the spans stream past them unsorted.
     """
     keys = [c for c in spans.columns if c not in {"traj_id", "s_site", "e_site"}]
     part = fp.slice_sites(F.col(path_col), F.col("s_site"), F.col("e_site"))
-    return spans.join(packed.select("traj_id", path_col), "traj_id").select(*keys, "traj_id", part.alias(path_col))
+    return spans.join(packed.select("traj_id", path_col).hint("shuffle_hash"), "traj_id").select(*keys, "traj_id", part.alias(path_col))
 
 
 def sub_trajectory(packed: DataFrame, od_trajs: DataFrame) -> DataFrame:

@@ -31,16 +31,19 @@ def trip_routes(traj_edges: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def merge_routes(routes: DataFrame) -> DataFrame:
+def merge_routes(routes: DataFrame, named: bool = False) -> DataFrame:
     """One row per different path of an OD pair; frequencies add, the smallest id stays.
 
     Equal paths combine before the shuffle, and rows are spread by pair *and* path, so a hot pair is not
-    one task.
+    one task.  With ``named`` the paths are told apart by 16-byte names (:func:`fingerprints.names`) and left out of the
+    result, where ``route_id`` stands for them: a row moves few bytes however long its path.
     """
     paths = [c for c in PATH_COLUMNS if c in routes.columns]
-    return routes.groupBy("o_id", "d_id", *paths).agg(
+    keys = fingerprints.names(*map(F.col, paths)) if named else paths
+    merged = routes.groupBy("o_id", "d_id", *keys).agg(
         F.min("route_id").alias("route_id"), F.sum("freq").cast("bigint").alias("freq")
     )
+    return merged.select("o_id", "d_id", "route_id", "freq") if named else merged
 
 
 def routes_between(traj_edges: DataFrame, edges: DataFrame, od_trajs: DataFrame) -> DataFrame:

@@ -47,16 +47,17 @@ def frequent_pair_routes(
     return routes.od_routes(cut_lineage(routes.routes_between(traj_edges, edges, through)))
 
 
-def pair_vertex_routes(traj_vertices: DataFrame, pairs: DataFrame) -> DataFrame:
+def pair_vertex_routes(traj_vertices: DataFrame, pairs: DataFrame, named: bool = False) -> DataFrame:
     """Merged vertex routes of the given pairs, cut between the first visits of O and D.
 
-    ``trie.trie_nodes`` turns them into one prefix tree per origin, ``routes.od_trips`` into trips per pair.
+    ``trie.trie_nodes`` turns them into one prefix tree per origin, ``routes.od_trips`` into trips per pair.  With ``named`` the
+    routes come without their vertices (``routes.merge_routes``), for counts.
     """
     spans = od.od_by_vertex_index(index.vertex_index(traj_vertices), pairs)
     involved = paths.restrict_trips(traj_vertices, spans)
     cut = paths.slice_by_site(paths.pack(involved, "vertex_id", "vertices"), spans, "vertices")
     trips = cut.select("o_id", "d_id", F.col("traj_id").alias("route_id"), "vertices", F.lit(1).cast("bigint").alias("freq"))
-    return routes.merge_routes(trips)
+    return routes.merge_routes(trips, named)
 
 
 def transfer_matrices(traj_edges: DataFrame, edges: DataFrame, destinations: DataFrame) -> DataFrame:

@@ -434,7 +434,7 @@ def pair_tries(f):
 
 @branching_query
 def pair_trips(f):
-    return routes.od_trips(jobs.pair_vertex_routes(f.fb_vertices, fb_pairs(f)))
+    return routes.od_trips(jobs.pair_vertex_routes(f.fb_vertices, fb_pairs(f), named=True))
 
 
 @branching_query
