@@ -242,3 +242,13 @@ def test_counted_routes_move_names_and_not_paths(spark, walks):
     assert rows(counted, "*") == rows(routes.od_trips(whole), "*")
     moved = [text.split("\n")[0] for name, text, _ in nodes(counted) if name == "Exchange"]
     assert moved and not [m for m in moved if "vertices" in m]
+
+
+def test_a_listed_trip_is_sorted_once(spark, no_broadcast):
+    """A trip listed for many pairs: its id goes once from a task to the join."""
+    trips = spark.range(200).selectExpr("id % 100 AS traj_id", "id DIV 100 AS site", "id AS edge_id")
+    ids = spark.range(20_000).selectExpr("id % 50 AS traj_id", "id AS d_id")
+    got = paths.restrict_trips(trips, ids)
+    assert rows(got, "edge_id") == [(e,) for e in range(200) if e % 100 < 50]
+    moved = [n for name, _, n in nodes(got) if name == "Exchange"]
+    assert moved and max(moved) <= 50 * ids.rdd.getNumPartitions()

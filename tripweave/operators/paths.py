@@ -165,8 +165,11 @@ def containing_vertex(traj_vertices: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def restrict_trips(trips: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of the trips whose traj_id is listed."""
-    return trips.join(ids.select("traj_id"), "traj_id", "left_semi")
+    """Rows of the trips whose traj_id is listed.
+
+    A trip may be listed for hundreds of pairs; each id is kept once before the join sorts them.
+    """
+    return trips.join(ids.select("traj_id").distinct(), "traj_id", "left_semi")
 
 
 # Fixed value: what an edge without a distance counts as.
