@@ -252,3 +252,12 @@ def test_a_listed_trip_is_sorted_once(spark, no_broadcast):
     assert rows(got, "edge_id") == [(e,) for e in range(200) if e % 100 < 50]
     moved = [n for name, _, n in nodes(got) if name == "Exchange"]
     assert moved and max(moved) <= 50 * ids.rdd.getNumPartitions()
+
+
+def test_matching_of_pairs_is_not_merged_by_bytes(spark, walks):
+    """Few bytes of a trip become many rows of pairs: the step keeps all partitions, also where its input is small."""
+    postings = index.edge_index(walks.traj_edges)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert n > 1
+    assert od.od_unordered(postings, walks.network, walks.od).rdd.getNumPartitions() == n
+    assert od.od_by_scan(walks.traj_vertices, walks.od).rdd.getNumPartitions() == n
